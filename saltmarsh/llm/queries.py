@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import frequencies, packing, tokens
+from saltmarsh.llm import frequencies, packing, scans, sentences, tokens
 from saltmarsh.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,21 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return sentences.split_documents(table(spark, base, "documents"), table(spark, base, "segments"))
+
+
+@query()
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return scans.repair_scans(table(spark, base, "segments"), table(spark, base, "evidence"))
+
+
+@query()
+def p5_paragraphs(spark: SparkSession, base: str) -> DataFrame:
+    return scans.repaired_pages(table(spark, base, "segments"))
+
+
 @query(r"""
 with seen as (
   select trim(regexp_replace(lower(regexp_replace(nfc_normalize(c.term), '[‐‑‒–—―⁃−﹘﹣－]', '-', 'g')), '[\s\x{00a0}]+', ' ', 'g')) as term,

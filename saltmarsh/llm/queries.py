@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import frequencies, packing, scans, sentences, tokens
+from saltmarsh.llm import frequencies, languages, packing, scans, sentences, tokens
 from saltmarsh.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,13 @@ def p7_ids(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def p8_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack_documents(table(spark, base, "documents"))
+
+
+@query()
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return languages.wrong_labels(table(spark, base, "documents"))
+
+
+@query()
+def p9_stretches(spark: SparkSession, base: str) -> DataFrame:
+    return languages.language_stretches(table(spark, base, "documents")).drop("stretches", "label")

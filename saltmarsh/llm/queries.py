@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import frequencies, languages, packing, scans, sentences, tokens
+from saltmarsh.llm import frequencies, languages, linking, packing, scans, sentences, tokens
 from saltmarsh.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return sentences.split_documents(table(spark, base, "documents"), table(spark, base, "segments"))
 
 
+@query()
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return linking.link_novel(table(spark, base, "mentions"), table(spark, base, "concepts"), table(spark, base, "ornl_tm_2316_gold"))
+
+
 @query()
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return scans.repair_scans(table(spark, base, "segments"), table(spark, base, "evidence"))

@@ -11,12 +11,17 @@ from saltmarsh.functions.text import camel_sequence, ngrams, plain_sequence, sal
 GLUE = "\u001f"
 
 
+def _words(rows: DataFrame, *keep) -> DataFrame:
+    """rows with their words as a column of its own: an n-gram refers to it many times and must not read the text anew."""
+    return rows.select(*keep, tokens(F.col("text")).alias("_words"))
+
+
 def term_counts(documents: DataFrame, key: str = "doc_id", longest: int = 3, terms: DataFrame | None = None) -> DataFrame:
     """key, term, occurrences of every n-gram, or of the given terms only (term).
 
     With terms, the join comes before the aggregation; Spark broadcasts the terms if they are small enough.
     """
-    each = documents.select(key, F.explode(ngrams(tokens(F.col("text")), longest)).alias("term"))
+    each = _words(documents, key).select(key, F.explode(ngrams(F.col("_words"), longest)).alias("term"))
     if terms is not None:
         each = each.join(terms.select("term").distinct(), "term", "left_semi")
     return each.groupBy(key, "term").agg(F.count("*").alias("occurrences"))
@@ -27,7 +32,7 @@ def document_frequency(documents: DataFrame, longest: int = 3, key: str = "doc_i
 
     With terms, one that no document holds has 0.
     """
-    each = documents.select(F.explode(F.array_distinct(ngrams(tokens(F.col("text")), longest))).alias("term"))
+    each = _words(documents, key).select(F.explode(F.array_distinct(ngrams(F.col("_words"), longest))).alias("term"))
     if terms is None:
         return each.groupBy("term").agg(F.count("*").alias("doc_frequency"))
     wanted = terms.select("term").distinct()
@@ -53,7 +58,7 @@ def exclusion_keys(labels: DataFrame, surfaces: DataFrame | None = None) -> Data
 
 def excluded(candidates: DataFrame, keys: DataFrame) -> DataFrame:
     """candidates (term) that hold no known sequence whole: an anti-join on exploded runs."""
-    hit = candidates.select("term", F.explode(runs(camel_sequence(F.col("term")))).alias("run")).join(keys, "run", "left_semi").select("term").distinct()
+    hit = candidates.select("term", camel_sequence(F.col("term")).alias("_s")).select("term", F.explode(runs(F.col("_s"))).alias("run")).join(keys, "run", "left_semi").select("term").distinct()
     return candidates.join(hit, "term", "left_anti")
 
 
@@ -62,7 +67,8 @@ def evidence(segments: DataFrame, terms: DataFrame | None = None, longest: int =
 
     A hot term's places are deduplicated before they are gathered.
     """
-    each = segments.select("report", F.col("text").alias("sentence_text"), F.col("char_start").alias("start_offset"), F.col("char_end").alias("end_offset"), F.explode(F.array_distinct(ngrams(tokens(F.col("text")), longest))).alias("term"))
+    each = _words(segments, "report", F.col("text").alias("sentence_text"), F.col("char_start").alias("start_offset"), F.col("char_end").alias("end_offset"))
+    each = each.select("report", "sentence_text", "start_offset", "end_offset", F.explode(F.array_distinct(ngrams(F.col("_words"), longest))).alias("term"))
     if terms is not None:
         each = each.join(terms.select("term").distinct(), "term", "left_semi")
     return each.dropDuplicates(["term", "report", "start_offset"])

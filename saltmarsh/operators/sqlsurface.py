@@ -67,6 +67,7 @@ def select(spark: SparkSession, query: str, views: dict[str, DataFrame]) -> Data
 
 
 def _relations(plan: str) -> set[str]:
+    """Names of tables in a parsed plan, without those that the query defines itself."""
     names = {m[1].strip("`") for m in re.finditer(r"UnresolvedRelation \[([^\]]+)\]", plan)}
-    own = set(re.findall(r"(?:CTE|UnresolvedWith|:- |\+- )\[?(\w+)", plan))
-    return {n for n in names if n not in own}
+    own = {n.strip("` ") for m in re.finditer(r"CTE \[([^\]]+)\]", plan) for n in m[1].split(",")}
+    return names - own

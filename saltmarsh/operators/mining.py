@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.functions.text import camel_sequence, ngrams, plain_sequence, salt_sequence, signal_kind, tokens
+from saltmarsh.session import cut
 
 #: Stands between the tokens of a run; no token holds it.
 GLUE = "\u001f"
@@ -80,18 +81,23 @@ def with_first_evidence(each: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(first, F.count("*").alias("places")).select("term", "places", "f.*")
 
 
+def frequencies(documents: DataFrame, longest: int = 3) -> DataFrame:
+    """term, doc_frequency, total_occurrences of all n-grams in one pass: each row gives its distinct n-grams and all of them, marked apart."""
+    g = _words(documents).select(ngrams(F.col("_words"), longest).alias("_g"))
+    presence = F.transform(F.array_distinct("_g"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("n")))
+    each = F.transform("_g", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("n")))
+    return g.select(F.explode(F.concat(presence, each)).alias("x")).groupBy("x.term").agg(F.sum("x.d").alias("doc_frequency"), F.sum("x.n").alias("total_occurrences"))
+
+
 def mine(documents: DataFrame, known: DataFrame | None = None, floor: int = 50, ceiling: int | None = 5000, longest: int = 3) -> DataFrame:
     """term, doc_frequency, total_occurrences of the candidates: n-grams, without known ones, not below the floor, the most frequent `ceiling`.
 
-    The ceiling is a report's top-k; ties go by term. Presence is counted first, occurrences only for survivors.
+    The ceiling is a report's top-k; ties go by term. What passes the floor is checkpointed, as the exclusion reads it twice.
     """
-    df = document_frequency(documents, longest).where(F.col("doc_frequency") >= floor)
+    f = frequencies(documents, longest).where(F.col("doc_frequency") >= floor)
     if known is not None:
-        df = excluded(df, known)
-    if ceiling is not None:
-        df = df.orderBy(F.desc("doc_frequency"), "term").limit(ceiling)
-    tf = term_counts(documents, longest=longest, terms=df).groupBy("term").agg(F.sum("occurrences").alias("total_occurrences"))
-    return df.join(tf, "term")
+        f = excluded(cut(f), known)
+    return f if ceiling is None else f.orderBy(F.desc("doc_frequency"), "term").limit(ceiling)
 
 
 def observations(documents: DataFrame, terms: DataFrame, corpus: str = "corpus", longest: int = 3) -> DataFrame:

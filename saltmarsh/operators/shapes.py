@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.operators.graph import TYPE, core
+from saltmarsh.session import cut
 
 #: Predicates that subjects of a type must carry.
 REQUIRED: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
@@ -60,8 +61,8 @@ def unit_not_allowed(triples: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def validate(quads: DataFrame, allowed_units: DataFrame | None = None) -> DataFrame:
-    """All violations of the core: focus_node, constraint, shape, path, value, message."""
-    t = core(quads)
+    """All violations of the core: focus_node, constraint, shape, path, value, message. The core is merged once for all shapes."""
+    t = cut(core(quads))
     parts = [missing(t, n, *x) for n, x in REQUIRED.items()] + [wrong_target(t, n, *x) for n, x in TARGETS.items()] + [bad_range(t)]
     if allowed_units is not None:
         parts.append(unit_not_allowed(t, allowed_units))

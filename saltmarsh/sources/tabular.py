@@ -57,7 +57,7 @@ def one_text_each(corpus: DataFrame, documents: list[str]) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """report_number, title, date, ocr_path of a Markdown table; separators, rows without four cells and without an `ocr/*.txt` link are skipped."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     df = spark.read.text(path).where(F.trim("value").startswith("|")).select(cells.alias("c")).where(F.size("c") == 4)
     df = df.where(~F.forall("c", lambda x: x.rlike(r"^:?-+:?$")))
     link = F.regexp_extract(F.col("c")[3], r"(ocr/[^)\s\"]+\.txt)", 1)

@@ -52,7 +52,9 @@ def plan(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, opening:
             open_[room].append([count, contents, used])
 
     def least(size: int) -> int:
-        """The permitted length of least cost for each token that it will hold."""
+        """The permitted length of least cost for each token that it will hold; what is left goes into one container if it can."""
+        if left <= lengths[-1]:
+            return min(x for x in lengths if x >= max(left, size))
         return min((x for x in lengths if x >= size), key=lambda x: ((x + opening) / max(size, min(x, left)), -x))
 
     for size in sorted(histogram, reverse=True):

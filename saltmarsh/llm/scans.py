@@ -40,14 +40,14 @@ LEAST = 2e-6
 PAGES = 0.02
 #: Share of words that are torn by a blank, and the least probability of a confusion.
 TORN, FLOOR = 2e-3, 1e-6
-UNKNOWN = 1e-10
+UNKNOWN = 1e-13
 MOST_UNDONE = 3
 
 _EDGE = ".,;:()[]{}\"'’‘«»“”„?!…—–¿¡*"
 _HYPHENS = "-‐‑¬\xad"
 _NUMBER = re.compile(r"[+-]?\d+(?:[.,:]\d+)*(?:[eE]-?\d+)?%?(?:[-–/]\d+(?:[.,]\d+)*)?\Z")
 _COMPOUND = re.compile(r"(?:[A-Z][a-z]?F\d?)(?:[-/][A-Z][a-z]?F\d?)*\Z")
-_ROMAN = re.compile(r"[ivxlc]{1,8}\Z")
+_ROMAN = re.compile(r"(?:[ivxlc]{1,8}|[IVXLC]{2,8})\Z")
 _PAGE_NO = re.compile(r"(?:[\[({<]?\s*[\dlIOSB]{1,4}\s*[\])}>]?|[-–—]\s*[\dlIOSB]{1,4}\s*[-–—]|P\S{2,3}\s+[\dlIOSB]{1,4}(?:\s+\S{2}\s+[\dlIOSB]{1,4})?)\Z")
 _NUMBERED = re.compile(r"(?:[\dlIOSB]{1,4}\s{2,}\S.*[^.!?]|\S.*\S\s{2,}[\dlIOSB]{1,4})\Z")
 _SMALL = {"of", "the", "and", "for", "in", "on", "at", "a"}

@@ -33,6 +33,8 @@ ABBREVIATION = 0.25
 ENDS, MOSTLY = 0.1, 0.5
 #: A share of successors too small to tell anything.
 STRAY = 0.02
+#: Occurrences that speak for a word being none of the abbreviations, before any are seen.
+FEW = 4
 
 _TERMINATORS = ".!?…。！？．｡‼⁉"
 _WIDE = "。！？．｡"
@@ -99,7 +101,7 @@ class Statistics:
                 row[0] += n
                 row[1] += n * (b[:1].isupper() and openers.get(b, 0) >= OPENER)
                 row[2] += n * b[:1].isupper()
-        return cls(openers, {a: (1 - o / n, o / c if c > n * STRAY else 0.0) for a, (n, o, c) in stops.items()})
+        return cls(openers, {a: ((n - o) / (n + FEW), o / c if c > n * STRAY else 0.0) for a, (n, o, c) in stops.items()})
 
 
 def _shut(p: str) -> list[tuple[int, int]]:
@@ -297,8 +299,8 @@ def corpus_statistics(documents: DataFrame) -> Statistics:
         .groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(upper & F.col("opens").isNotNull(), F.col("n")).otherwise(0)).alias("o"), F.sum(F.when(upper, F.col("n")).otherwise(0)).alias("c"))
     )
     every = stops.agg(F.sum("n")).first()[0] or 0
-    kept = stops.where(F.col("n") >= F.lit(every * LEAST)).where(1 - F.col("o") / F.col("n") >= ABBREVIATION)
-    abbreviations = {r[0]: (1 - r[2] / r[1], r[2] / r[3] if r[3] > r[1] * STRAY else 0.0) for r in kept.select("word", "n", "o", "c").collect()}  # at most 1 / LEAST rows
+    kept = stops.where(F.col("n") >= F.lit(every * LEAST)).where((F.col("n") - F.col("o")) / (F.col("n") + FEW) >= ABBREVIATION)
+    abbreviations = {r[0]: ((r[1] - r[2]) / (r[1] + FEW), r[2] / r[3] if r[3] > r[1] * STRAY else 0.0) for r in kept.select("word", "n", "o", "c").collect()}  # at most 1 / LEAST rows
     c.unpersist()
     return Statistics(openers, abbreviations)
 

@@ -146,7 +146,7 @@ def _ends(p: str, dot: int, after: int, doc: str, st: Statistics) -> bool:
     if p[dot - 1] == ".":  # an ellipsis
         return bool(word) and (word[0].isupper() or st.openers.get(word, 0) >= OPENER)
     known = st.stops.get(token)
-    abbreviated = len(token) == 1 and token.isalpha() or "." in token[1:-1] and not token[-1].isdigit() or bool(known and known[0] >= ABBREVIATION and not token.isdigit())
+    abbreviated = len(token) == 1 and token.isalpha() or "." in token[1:-1] and not token[-1].isdigit() or bool(known and known[0] >= ABBREVIATION and not any(ch.isdigit() for ch in token))
     if not word:
         if abbreviated and k < len(p) and p[k].isdigit():
             return False

@@ -29,7 +29,7 @@ ALIKE = (
     ("e", "c"), ("c", "e"), ("t", "†"), ("a", "á"), ("i", "!"), ("l", "!"), ("n", "ri"), ("ri", "n"), ("d", "cl"), ("cl", "d"), ("o", "0"), ("O", "0"), ("l", "1"), ("I", "1"), ("i", "1"),
     ("u", "ii"), ("h", "li"), ("li", "h"), ("b", "h"), ("h", "b"), ("m", "rn"), ("rn", "m"), ("m", "nn"), ("w", "vv"), ("vv", "w"), ("é", "ê"), ("è", "ê"), ("i", "l"), ("l", "i"), ("l", "I"), ("I", "l"), ("i", "í"),
     ("o", "ó"), ("u", "ú"), ("e", "é"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("ffi", "ﬃ"), ("ffl", "ﬄ"), ("S", "5"), ("s", "5"), ("B", "8"), ("Z", "2"), ("g", "9"), ("g", "q"), ("q", "g"), ("G", "6"), ("b", "6"), ("ö", "6"), ("ó", "6"),
-    ("E", "F"), ("F", "E"), ("F", "P"), ("3", "8"), ("8", "3"), ("3", "s"), ("2", ","), ("2", "z"), ("2", "Z"), ("4", "q"), ("4", "a"), ("4", "A"), ("t", "f"), ("f", "t"), ("s", "8"), ("y", "v"), ("v", "y"), ("r", "n"), ("n", "r"), ("u", "n"), ("n", "u"),
+    ("E", "F"), ("F", "E"), ("F", "P"), ("3", "8"), ("8", "3"), ("3", "s"), ("2", ","), ("2", "z"), ("2", "Z"), ("4", "q"), ("4", "a"), ("4", "A"), ("4", "h"), ("t", "f"), ("f", "t"), ("s", "8"), ("y", "v"), ("v", "y"), ("r", "n"), ("n", "r"), ("u", "n"), ("n", "u"),
     ("o", "c"), ("c", "o"), ("ä", "a"), ("ü", "u"), ("ö", "o"), ("ß", "B"), ("ß", "b"), ("ç", "c"), ("ã", "a"), ("ñ", "n"), ("D", "O"), ("O", "D"), ("Q", "O"), ("O", "Q"),
 )
 #: Letters that are read for figures (fixed values).

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.functions import chem, equations, text
+from saltmarsh.functions import chem, equations, segmenter, text
 from saltmarsh.functions.numbers import confidence
-from saltmarsh.operators import graph, grounding, ingest, linker, mining, relations, review, shapes, sqlsurface
+from saltmarsh.operators import bgp, bundles, graph, grounding, ingest, linker, mining, relations, review, shapes, sqlsurface
 from saltmarsh.operators.packed import split_packed
 from saltmarsh.operators.quantities import to_common_units
 from saltmarsh.session import scratch, table
@@ -678,3 +678,49 @@ select user_id, min(ts) as started, max(ts) + interval '30 minutes' as ended, co
 def event_sessions(spark: SparkSession, base: str) -> DataFrame:
     s = observations.sessions(table(spark, base, "events"))
     return s.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
+# ---- patterns, segments, bundles ------------------------------------------------------------------------------------
+
+
+@query(f"""
+with {_QUADS}, t as (select distinct s, p, o from quads where g in ('ontology', 'data', 'vocab')),
+m as (select distinct a.s as m, a.o as salt from t a join t b on a.s = b.s where a.p = 'msr:ofSalt' and b.p = 'rdf:type' and b.o = 'msr:PropertyMeasurement')
+select distinct m.salt, l.o as label, u.o as unit from m left join t l on l.s = m.salt and l.p = 'skos:prefLabel' left join t u on u.s = m.m and u.p = 'msr:hasUnit'
+where not exists (select 1 from t x where x.s = m.m and x.p = 'msr:disposition' and x.o = 'rejected')
+""")
+def graph_patterns(spark: SparkSession, base: str) -> DataFrame:
+    t = graph.core(_quads(spark, base)).select("s", "p", "o")
+    return bgp.select(
+        t, ["salt", "label", "unit"], [("?m", graph.TYPE, "msr:PropertyMeasurement"), ("?m", "msr:ofSalt", "?salt")],
+        optional=[[("?salt", "skos:prefLabel", "?label")], [("?m", "msr:hasUnit", "?unit")]], absent=[[("?m", "msr:disposition", "rejected")]],
+    )
+
+
+@query(f"""
+with {_QUADS}, t as (select distinct s, p, o from quads where g in ('ontology', 'data', 'vocab'))
+select distinct a.s as m, b.o as label from t a join t b on a.o = b.s where a.p = 'msr:linksTo' and b.p = 'skos:prefLabel'
+""")
+def graph_path(spark: SparkSession, base: str) -> DataFrame:
+    return bgp.select(graph.core(_quads(spark, base)).select("s", "p", "o"), ["m", "label"], [("?m", "msr:linksTo/skos:prefLabel", "?label")])
+
+
+@query()
+def report_segments(spark: SparkSession, base: str) -> DataFrame:
+    return segmenter.segments(table(spark, base, "documents"), "doc_id")
+
+
+@query("""
+with k as (select target_iri as iri from concepts where target_kind in ('concept', 'class')), r as (select distinct reactor_iri as iri, role_iri as broader from relations where reactor_iri is not null or role_iri is not null)
+select iri, broader, coalesce(broader in (select iri from k) or broader in (select regexp_extract(iri, '([^#/:]*)$', 1) from k), false) and coalesce(regexp_full_match(broader, '(?:[A-Za-z][\\w-]*:)?[A-Za-z][\\w-]*'), false) as accepted from r
+""")
+def accepted_individuals(spark: SparkSession, base: str) -> DataFrame:
+    r = table(spark, base, "relations").where("reactor_iri is not null or role_iri is not null").select(F.col("reactor_iri").alias("iri"), F.col("role_iri").alias("broader")).distinct()
+    return bundles.accepted(r, graph.core(_quads(spark, base))).select("iri", "broader", "accepted")
+
+
+@query()
+def proposal_bundle(spark: SparkSession, base: str) -> DataFrame:
+    c = table(spark, base, "candidates").where("term is not null").select("candidate_id", F.lower(F.trim("term")).alias("term"), F.coalesce("source", F.lit("lexical")).alias("kind"), "observations")
+    e = table(spark, base, "evidence").where("candidate_id is not null").distinct().groupBy("candidate_id").agg(F.collect_list(F.struct("report", "document_iri", "sentence_text", "start_offset", "end_offset")).alias("evidence"))  # quotations of one candidate row
+    return bundles.bundle(c.join(e, "candidate_id", "left"))

@@ -235,3 +235,42 @@ def test_stream_is_idempotent(spark, tmp_path):
     for check in ("c1", "c2"):  # a second checkpoint delivers everything again
         observations.run_available(observations.event_stream(spark, src, rows.schema), observations.latest_sink(st, "t", ["k"], "n"), str(tmp_path / check))
         assert {tuple(r) for r in st.read("t").collect()} == {(1, "b", 2), (2, "c", 1)}
+
+
+def test_patterns(spark):
+    from saltmarsh.operators import bgp
+
+    t = _quads(spark, [("data", "m:1", "p:salt", "s:1"), ("data", "m:1", "p:form", "f:1"), ("data", "m:2", "p:salt", "s:1"), ("ontology", "f:1", "p:formula", "x"), ("data", "s:1", "p:label", "Salt"), ("data", "m:1", "p:self", "m:1")]).select("s", "p", "o")
+    got = bgp.select(t, ["m", "l", "f", "none"], [("?m", "p:salt", "?s")], optional=[[("?s", "p:label", "?l")], [("?m", "p:form/p:formula", "?f")]], order=["m"]).collect()
+    assert [tuple(r) for r in got] == [("m:1", "Salt", "x", None), ("m:2", "Salt", None, None)]
+    assert [r.m for r in bgp.select(t, ["m"], [("?m", "p:salt", "?s")], absent=[[("?m", "p:form", "?x")]]).collect()] == ["m:2"]
+    assert [r.x for r in bgp.select(t, ["x"], [("?x", "p:self", "?x")]).collect()] == ["m:1"]
+    with pytest.raises(ValueError):
+        bgp.block(t, [("?a", "p:salt", "?b"), ("?c", "p:form", "?d")])
+
+
+def test_segments(spark):
+    from saltmarsh.functions.segmenter import segments, spans
+
+    text = "It is approx. 0.084 at 900 K. Dr. X agreed (cf. Fig. 2).  Next one!\n\nNew paragraph"
+    assert [text[a:b] for a, b in spans(text)] == ["It is approx. 0.084 at 900 K.", "Dr. X agreed (cf. Fig. 2).", "Next one!", "New paragraph"]
+    rows = segments(spark.createDataFrame([("r", text), ("n", None), ("e", " ")], "report string, text string")).collect()
+    assert [(r.report, r.seg_index) for r in rows] == [("r", 0), ("r", 1), ("r", 2), ("r", 3)] and all(text[r.char_start:r.char_end] == r.text for r in rows)
+
+
+def test_bundles(spark):
+    from saltmarsh.operators import bundles
+
+    c = spark.createDataFrame([("fuel salt", "class", [("r", "d:1", "It is.", 0, 6)], [("d:1", "corpus:chemistry", 2), (None, "x", 1)])], "term string, kind string, evidence array<struct<report:string,document_iri:string,sentence_text:string,start_offset:int,end_offset:int>>, observations array<struct<document_iri:string,corpus:string,occurrence_count:int>>")
+    q = bundles.bundle(c)
+    assert graph.insert(q, bundles.bundle(c)).count() == q.count() == 15
+    assert bundles.edited(q, "msrd:proposal-class-fuel-salt", "msr:term", "x").where("o = 'x'").count() == 1
+    assert bundles.edited(q, "msrd:proposal-class-fuel-salt", "msr:note", "y").count() == 16
+    assert bundles.edited(q, "msrd:proposal-class-fuel-salt", "msr:term", None).count() == 14
+    i = spark.createDataFrame([("i:1", "msr:Pump"), ("i:2", "Pump"), ("i:3", "Other"), ("i:4", None)], "iri string, broader string")
+    core = _quads(spark, [("ontology", "msr:Pump", "rdf:type", "owl:Class")])
+    assert {r.iri: r.accepted for r in bundles.accepted(i, core).collect()} == {"i:1": True, "i:2": True, "i:3": False, "i:4": False}
+    t = spark.createDataFrame([("a\n" * 60,)], "x string").select(bundles.truncated(F.col("x")).alias("t")).first().t
+    assert t.truncated and t.text.count("a") == 50
+    ch = spark.createDataFrame([("r", 0, 0, 3, False), ("r", 0, 5, 8, True), ("r", 0, 9, 10, False)], "report string, sentence int, start int, end int, bridge boolean")
+    assert sorted((r.start, r.end, r.n) for r in bundles.bridged_chunks(ch).collect()) == [(0, 8, 2), (9, 10, 1)]

@@ -19,7 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.session import written
@@ -460,8 +460,9 @@ def repair_scans(segments: DataFrame, evidence: DataFrame) -> DataFrame:
     spark = segments.sparkSession
     sent = spark.sparkContext.broadcast(trained(segments))
     pages = segments.where("layout = 'page'").select("segment_id", "doc_id", "seg_index", "report", "text").distinct()
-    following = F.lead("text").over(Window.partitionBy("doc_id").orderBy("seg_index", "segment_id"))  # pages of one document
-    a = pages.select(F.lit("segments").alias("src"), F.col("segment_id").alias("rec_id"), "report", "text", following.alias("following"))
+    # the page after each page by its place, so a document of very many pages is spread over all tasks
+    after = pages.select("doc_id", (F.col("seg_index") - 1).alias("seg_index"), F.col("text").alias("following"))
+    a = pages.join(after, ["doc_id", "seg_index"], "left").select(F.lit("segments").alias("src"), F.col("segment_id").alias("rec_id"), "report", "text", "following")
     b = evidence.select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("rec_id"), "report", F.col("sentence_text").alias("text"), F.lit(None).cast("string").alias("following")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from saltmarsh.functions.units import DEGREES, find_unit, parse_form, parse_unit
 
 #: A number this much beyond the span of the stated values of its property (on either side, as a factor) is ruled out.
-SPAN_SLACK = 1.05
+SPAN_SLACK = 1.5
 #: Unit texts that say nothing (fixed values); everything else that isn't a unit is a wrong statement.
 SILENT = ("", "-", "see text")
 _READ = "state int, scale double, shift double, plain boolean, t_scale double, t_shift double"

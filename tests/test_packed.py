@@ -9,7 +9,7 @@ def _split(spark, rows):
     out: dict = {}
     for r in split_packed(spark.createDataFrame(rows, SCHEMA)).collect():
         out.setdefault((r.case_id, r.field), {})[r.pos] = r.val
-    return out
+    return {k: dict(sorted(v.items())) for k, v in out.items()}
 
 
 @pytest.mark.parametrize("salt, composition, salts, values", [

@@ -17,7 +17,7 @@ import itertools
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Separators that are tried (fixed values); a record's candidates are the sets of those it holds.
@@ -128,30 +128,34 @@ def _read_canonical(text: pd.Series) -> pd.Series:
     return pd.Series([_canonical(t if isinstance(t, str) else None) for t in text])
 
 
-def delimiter_scores(candidates: DataFrame) -> DataFrame:
+def delimiter_scores(judged: DataFrame) -> DataFrame:
     """source, field, seps, score: how regular and consistent the pieces of a delimiter set are over all records of a source."""
-    return candidates.groupBy("source", "field", "seps").agg((F.avg("regular") * (0.5 + F.avg("agrees") / 2) * F.log1p(F.count("*"))).alias("score"))
+    return judged.groupBy("source", "field", "seps").agg((F.avg("regular") * (0.5 + F.avg("agrees") / 2) * F.log1p(F.count("*"))).alias("score"))
 
 
 def split_packed(cases: DataFrame) -> DataFrame:
-    """case_id, field, pos, val of every value of a field that holds more than one."""
+    """case_id, field, pos, val of every value of a field that holds more than one.
+
+    Only the judgements are aggregated, a row a source and delimiter set in each task; records take their source's
+    scores as a map and choose where they lie, so pieces aren't shuffled before they are rows of the result.
+    """
     # distinct records first: an exact double is one record, and a hot source is spread by its records
     cases = cases.select("case_id", F.coalesce("source", F.lit("")).alias("source"), "raw_salt", "raw_composition", "canonical").distinct()
-    c = (
-        cases.select("case_id", "source", "raw_salt", "raw_composition", F.explode(F.pandas_udf(_read, _CANDIDATES)("raw_salt", "raw_composition")).alias("c"))
-        .select("case_id", "source", "raw_salt", "raw_composition", "c.*")
-    )
-    scores = delimiter_scores(c)
-    best = (
-        c.join(scores, ["source", "field", "seps"])
-        .groupBy("case_id", "source", "raw_salt", "raw_composition", "field")
-        .agg(F.max_by("pieces", F.struct("regular", "agrees", "score", -F.length("seps"))).alias("pieces"))
-        .select("case_id", "field", "pieces")
-    )
-    canonical = cases.select("case_id", F.lit("canonical").alias("field"), F.pandas_udf(_read_canonical, "array<string>")("canonical").alias("pieces"))
-    full = best.unionByName(canonical).where(F.size(F.filter("pieces", lambda p: p != "")) > 1)
+    c = cases.withColumn("c", F.pandas_udf(_read, _CANDIDATES)("raw_salt", "raw_composition"))
+    judged = c.select("source", F.explode(F.transform("c", lambda x: x.dropFields("pieces"))).alias("j")).select("source", "j.*")
+    key = lambda field, seps: F.concat(field, F.lit(" "), seps)
+    scores = delimiter_scores(judged).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(key(F.col("field"), F.col("seps")), "score"))).alias("scores"))  # delimiter sets of one source
+
+    def best(field: str) -> Column:
+        own = F.filter("c", lambda x: x["field"] == field)
+        rated = F.transform(own, lambda x: F.struct(x["regular"], x["agrees"], F.coalesce(F.col("scores")[key(x["field"], x["seps"])], F.lit(0.0)).alias("score"), (-F.length(x["seps"])).alias("few"), x["pieces"]))
+        return F.struct(F.lit(field).alias("field"), F.array_max(rated)["pieces"].alias("pieces"))
+
+    canonical = F.struct(F.lit("canonical").alias("field"), F.pandas_udf(_read_canonical, "array<string>")("canonical").alias("pieces"))
+    full = c.join(scores, "source", "left").select("case_id", F.explode(F.array(best("raw_salt"), best("raw_composition"), canonical)).alias("f")).select("case_id", "f.*")
     return (
-        full.select("case_id", "field", F.posexplode("pieces").alias("pos", "val"))
+        full.where(F.size(F.filter("pieces", lambda p: p != "")) > 1)
+        .select("case_id", "field", F.posexplode("pieces").alias("pos", "val"))
         .where("val <> ''")
         .select("case_id", "field", (F.col("pos") + 1).cast("int").alias("pos"), "val")
         .distinct()

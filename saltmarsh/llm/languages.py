@@ -316,7 +316,7 @@ def sample_of(documents: DataFrame, size: int = SAMPLE) -> list[tuple[str, str,
     share = F.create_map(*[F.lit(x) for c, k in n.items() for x in (c, min(1.0, size / k))])
     drawn = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share[F.col("code")]).where(F.length("text") < 100_000)
     rows = drawn.select("doc_id", "code", "text", "report").collect()  # about `size` a language
-    return [(r[1], r[2], r[3]) for r in sorted(rows)]
+    return [(r[1], r[2], r[3]) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
 
 
 def language_stretches(documents: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ PREFIXES: dict[str, float] = {
 
 NONE: Dimension = (0, 0, 0, 0, 0)
 _POWER = re.compile(r"\s*(?:[x×*]\s*)?(?:10\s*(?:\^|\*\*)?\s*\(?([+-]?\d+)\)?|(\d+(?:\.\d+)?)[eE]([+-]?\d+))(?=$|[\s*·.x×]|[^\W\d])\s*[*·×]?\s*")
-_TOKEN = re.compile(r"\s*(?:(°\s?[CFKR]|[^\W\d_]+)|(\^|\*\*)?\(?([+-]?\d+)\)?|([/()*.·-]))")
+_TOKEN = re.compile(r"\s*(?:(°\s?[CFKR]|[^\W\d_]+)|(?:\^|\*\*)?(?:\(([+-]?\d+)\)|([+-]?\d+))|([/()*.·-]))")
 _WORDS = (
     (re.compile(r"\b(?:cubic|cu\.?)\s+([A-Za-z]+)"), r"\1^3"),
     (re.compile(r"\b(?:square|sq\.?)\s+([A-Za-z]+)"), r"\1^2"),
@@ -117,8 +117,8 @@ def parse_unit(text: str | None) -> Unit | None:
             return None
         if m[1]:
             tokens.append(("name", m[1]))
-        elif m[3] is not None:
-            tokens.append(("power", m[3]))
+        elif m[2] or m[3]:
+            tokens.append(("power", m[2] or m[3]))
         else:
             tokens.append(("op", m[4]))
         at = m.end()

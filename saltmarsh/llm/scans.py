@@ -38,6 +38,8 @@ FIGURES = {"l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "O": "0", "o": "0",
 LEAST = 2e-6
 #: Weight of words seen on scanned pages only, against those of clean text.
 PAGES = 0.02
+#: A word of clean text is known if its share there is at least this part of its share on scanned pages: a misreading is far more frequent on them, whatever the size of the input.
+KNOWN = 0.02
 #: Share of words that are torn by a blank, and the least probability of a confusion.
 TORN, FLOOR = 2e-3, 1e-6
 UNKNOWN = 1e-13
@@ -112,8 +114,9 @@ def _class(word: str) -> str:
 class Model:
     """Words, pairs and confusions; picklable, of bounded size."""
 
-    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], int], confusions: dict[tuple[str, str], float] | None = None) -> None:
+    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], int], confusions: dict[tuple[str, str], float] | None = None, known: frozenset[str] | None = None) -> None:
         self.words, self.pairs = words, pairs
+        self.known = frozenset(w for w, n in words.items() if n >= 1) if known is None else known
         self.total = sum(words.values()) or 1.0
         self.confusions = confusions or {r: 1e-4 for r in ALIKE}
         self.undo: dict[str, list[tuple[str, float]]] = {}
@@ -123,13 +126,13 @@ class Model:
 
     def knows(self, word: str) -> bool:
         """Whether a word is a word of the corpus, a number, or made of known parts."""
-        if not word or word in self.words and self.words[word] >= 1:
+        if not word or word in self.known:
             return True
         if _NUMBER.match(word):
             return True
         for sep in ("-", "/"):
             if sep in word.strip(sep):
-                return all(self.words.get(p, 0) >= 1 or _NUMBER.match(p) for p in word.split(sep))
+                return all(p in self.known or _NUMBER.match(p) for p in word.split(sep))
         return False
 
     def log(self, word: str, before: str | None) -> float:
@@ -170,7 +173,7 @@ class Model:
                                 nxt[v] = lp + p
                         at = w.find(y, at + 1)
             for v, p in nxt.items():
-                if v != word and (v in self.words and self.words[v] >= 1 or (not _NUMBER.match(v) and any(c in v for c in "-/'’") and self._parts(v))) and out.get(v, -1e9) < p:
+                if v != word and (v in self.known or (not _NUMBER.match(v) and any(c in v for c in "-/'’") and self._parts(v))) and out.get(v, -1e9) < p:
                     out[v] = p
             if out and depth or depth + 1 == MOST_UNDONE:
                 break
@@ -182,13 +185,13 @@ class Model:
                 out[figures] = -7.0
         elif re.search(r"\dc-\d", word) and _NUMBER.match(v := word.replace("c-", "e-")):
             out[v] = -7.0
-        elif figures != word and figures.isdigit() and word not in self.words:
+        elif figures != word and figures.isdigit() and word not in self.known:
             out[figures] = -9.0 * len(word)
         return list(out.items())
 
     def _parts(self, word: str) -> bool:
         parts = re.split(r"[-/'’]", word)
-        return all(parts) and all(self.words.get(p, 0) >= 1 or p.isdigit() for p in parts)
+        return all(parts) and all(p in self.known or p.isdigit() for p in parts)
 
 
 def _cores(token: str, model: Model) -> list[str]:
@@ -220,7 +223,7 @@ def decode(tokens: list[str], model: Model) -> list[tuple[int, int, str]]:
         if i + 1 < n and cores[i][0] and cores[i + 1][0] and (doubt[i] or doubt[i + 1]) and tokens[i][-1:] == cores[i][0][-1:] and tokens[i + 1][:1] == cores[i + 1][0][:1]:
             whole = cores[i][0] + cores[i + 1][0]
             if whole[-1].isalnum() and not _NUMBER.match(whole):
-                if model.words.get(whole, 0) >= 1 or ("-" in whole and model.knows(whole)):
+                if whole in model.known or ("-" in whole and model.knows(whole)):
                     here.append((2, whole, math.log(TORN), True))
                 elif doubt[i] and doubt[i + 1]:
                     here += [(2, w, math.log(TORN) + p, True) for w, p in model.candidates(whole)]
@@ -256,7 +259,7 @@ def _joined(a: str, b: str, model: Model) -> str | None:
         if _NUMBER.match(a) and _NUMBER.match(b):
             return None
         plain, kept = a + b, f"{a}-{b}"
-        p, k = model.words.get(plain, 0.0), model.words.get(kept, 0.0)
+        p, k = (model.words.get(w, 1.0) if w in model.known else 0.0 for w in (plain, kept))
         if p or k:
             return plain if p >= k else kept
         if _COMPOUND.match(a.split("-")[-1]) or _COMPOUND.match(b):
@@ -270,9 +273,9 @@ def _joined(a: str, b: str, model: Model) -> str | None:
     whole = a + b
     if not a[-1].isalpha() or not b[0].islower():
         return None
-    if model.words.get(whole, 0) >= 1 and not (model.knows(a) and model.knows(b)):
+    if whole in model.known and not (model.knows(a) and model.knows(b)):
         return whole
-    if model.words.get(whole, 0) >= 1 and not model.pairs.get((a, b)) and model.words[whole] > 10 * min(model.words.get(a, 0), model.words.get(b, 0)):
+    if whole in model.known and not model.pairs.get((a, b)) and model.words[whole] > 10 * min(model.words.get(a, 0), model.words.get(b, 0)):
         return whole
     if not model.knows(a) and not model.knows(b):
         got = [(lp + model.log(w, None), w) for w, lp in model.candidates(whole)]
@@ -403,12 +406,15 @@ def language_model(segments: DataFrame) -> Model:
     c = written(c.groupBy("word", "next").agg(F.sum("clean").alias("clean"), F.sum("read").alias("read")), "model")
     singles = c.where("next = ''")
     totals = c.groupBy((F.col("next") == "").alias("single")).agg(F.sum("clean"), F.sum("read")).collect()  # two rows
-    words_total = sum((r[1] or 0) + (r[2] or 0) for r in totals if r[0])
+    clean_total, read_total = (sum(r[i] or 0 for r in totals if r[0]) for i in (1, 2))
+    words_total = clean_total + read_total
     pairs_total = sum(r[1] or 0 for r in totals if not r[0])
     clean = singles.where((F.col("clean") >= 2) & (F.col("clean") >= words_total * LEAST) | (F.col("read") >= 3) & (F.col("read") >= words_total * LEAST))
-    words = {r[0]: r[1] + PAGES * r[2] for r in clean.select("word", "clean", "read").collect()}  # at most 1 / LEAST rows
+    kept = clean.select("word", "clean", "read").collect()  # at most 1 / LEAST rows
+    words = {r[0]: r[1] + PAGES * r[2] for r in kept}
+    known = frozenset(r[0] for r in kept if r[1] >= 2 and r[1] * read_total >= KNOWN * r[2] * clean_total)
     pairs = {(r[0], r[1]): r[2] for r in c.where("next <> ''").where((F.col("clean") >= 2) & (F.col("clean") >= pairs_total * LEAST)).select("word", "next", "clean").collect()}  # at most 1 / LEAST rows
-    return Model(words, pairs)
+    return Model(words, pairs, known=known)
 
 
 def confusion_model(spark: SparkSession, pages: DataFrame, model: Model) -> Model:
@@ -433,7 +439,7 @@ def confusion_model(spark: SparkSession, pages: DataFrame, model: Model) -> Mode
                         while at >= 0:
                             for x, _ in xs:
                                 v = w[:at] + x + w[at + len(y):]
-                                if m.words.get(v, 0) >= 1:
+                                if v in m.known:
                                     hits[v] = (x, y)
                             at = w.find(y, at + 1)
                     if len(hits) == 1:
@@ -447,7 +453,7 @@ def confusion_model(spark: SparkSession, pages: DataFrame, model: Model) -> Mode
     for x, y, n in got.collect():  # one row a confusion or character
         (rules if y else chars)[(x, y) if y else x] = n
     base = sum(chars.values()) or 1
-    return Model(model.words, model.pairs, {(x, y): (rules.get((x, y), 0) + 0.01) / (min((chars.get(c, 0) for c in x), default=0) + base * 1e-3) for x, y in ALIKE})
+    return Model(model.words, model.pairs, {(x, y): (rules.get((x, y), 0) + 0.01) / (min((chars.get(c, 0) for c in x), default=0) + base * 1e-3) for x, y in ALIKE}, model.known)
 
 
 def trained(segments: DataFrame) -> Model:

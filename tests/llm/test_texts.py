@@ -4,7 +4,7 @@ import pytest
 
 from saltmarsh.llm import sentences as S
 from saltmarsh.llm.languages import Language, label_code, language_stretches, without_page_matter, words_of, wrong_labels
-from saltmarsh.llm.scans import Model, decode, furniture, repair, repaired_text
+from saltmarsh.llm.scans import Model, decode, furniture, repair, repaired_text, trained
 
 CORPUS = """Above 900 K, the salt turned dark. Nobody expected the density to matter. The crew weighed screws, washers, etc. Above 910 K, Dr. Marrowby noted a change.
 
@@ -69,6 +69,16 @@ def test_decode(line, want, model):
     assert [w for _, _, w in decode(line.split(), model)] == want
 
 
+def test_frequent_misreadings_stay_doubtful(spark):
+    """A misreading is no word however often it is read: ten times the input gives the same repairs."""
+    clean, read = "the curve showed a station near the pump", "the curvc showcd a sta-\ntion near the curve"
+    for times in (1, 10, 100):
+        rows = [("para", clean)] * (40 * times) + [("page", read)] * (6 * times) + [("para", "curvc tion")] * (times > 10)
+        m = trained(spark.createDataFrame(rows, "layout string, text string"))
+        assert not m.knows("curvc") and not m.knows("tion") and m.knows("curve")
+        assert repair(read, None, None, False, m) == [(1, "char", "curve"), (1, "char", "showed"), (1, "joined", "station")], times
+
+
 def test_page(model):
     page = "MSX-TM-1027  —  Chemistry of the Ostrel pump bowl\nthe salt in the pump bowl turned dark beca- \nuse of a change of solu\nbility. Osterlund-\nVey held the tem-\n18"
     following = "19    Chemistry of the pump bowl\nperature, of dense salt.\n\n[19]"

@@ -40,7 +40,7 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def p5_paragraphs(spark: SparkSession, base: str) -> DataFrame:
-    return scans.repaired_pages(table(spark, base, "segments"))
+    return scans.repaired_pages(table(spark, base, "segments"), table(spark, base, "evidence"))
 
 
 @query(r"""

@@ -315,35 +315,68 @@ def repair(text: str | None, following: str | None, report: str | None, everywhe
     return out
 
 
-def repaired_text(text: str | None, report: str | None, model: Model) -> str:
-    """The text of a page as paragraphs of continuous text, without page matter, with right words."""
+def _first_line(text: str | None, report: str | None) -> list[str] | None:
+    """Tokens of the first line of a page that isn't page matter."""
+    lines = (text or "").split("\n")
+    off = furniture(lines, report, False)
+    return next((x.split() for i, x in enumerate(lines) if i not in off and x.strip()), None)
+
+
+def _over_page(text: str | None, following: str | None, report: str | None, model: Model) -> str | None:
+    """The word that a page's last token and the first one of the page after it make, or None."""
+    rest = _first_line(following, report)
+    if not rest or not text:
+        return None
+    lines = text.split("\n")
+    matter = furniture(lines, report, False)
+    body = [(i, x.split()) for i, x in enumerate(lines) if i not in matter and x.strip()]
+    if not body:
+        return None
+    # lines of one token may belong to the line before, so the last line with more is where to start
+    at = next((k for k in range(len(body) - 1, -1, -1) if len(body[k][1]) > 1), 0)
+    word = None
+    for k in range(at, len(body)):
+        i, tokens = body[k]
+        carried = word is not None
+        nxt = body[k + 1][1] if k + 1 < len(body) else rest
+        apart = k + 1 < len(body) and any(not lines[j].strip() for j in range(i + 1, body[k + 1][0]))
+        word = _joined(tokens[-1], nxt[0], model) if len(tokens) > carried and not apart else None
+    return word
+
+
+def repaired_text(text: str | None, report: str | None, model: Model, following: str | None = None, before: str | None = None, everywhere: bool = False) -> str:
+    """The text of a page or quotation as paragraphs of continuous text, without page matter, with right words.
+
+    following, before: the pages after and before it. A word broken at the end of a page is whole on that page, and its
+    rest is left out on the next one.
+    """
     if not text:
         return ""
     lines = text.split("\n")
-    matter = furniture(lines, report, False)
+    matter = furniture(lines, report, everywhere)
     out: list[list[str]] = [[]]
-    carried = None
-    body = [(i, x) for i, x in enumerate(lines) if i not in matter]
-    for k, (_, x) in enumerate(body):
+    carried = _over_page(before, text, report, model)
+    rest = _first_line(following, report)
+    body = [(i, x) for i, x in enumerate(lines) if i not in matter and x.strip()]
+    for k, (i, x) in enumerate(body):
         tokens = x.split()
-        if not tokens:
-            if out[-1]:
+        if k and out[-1] and carried is None:
+            between = range(body[k - 1][0] + 1, i)
+            if x.startswith("   ") or any(not lines[j].strip() for j in between) and not any(j in matter for j in between):
                 out.append([])
-            continue
-        if x.startswith("   ") and out[-1] and carried is None:
-            out.append([])
         skip = carried is not None
         carried = None
-        nxt = body[k + 1][1].split() if k + 1 < len(body) else []
-        word = _joined(tokens[-1], nxt[0], model) if nxt and len(tokens) > skip else None
+        nxt = body[k + 1][1].split() if k + 1 < len(body) else rest
+        apart = k + 1 < len(body) and not everywhere and any(not lines[j].strip() for j in range(i + 1, body[k + 1][0]))
+        word = _joined(tokens[-1], nxt[0], model) if nxt and not apart and len(tokens) > skip else None
         own = tokens[skip:len(tokens) - (word is not None)]
         at = 0
-        for i, n, w in decode(own, model):
-            out[-1] += own[at:i]
-            joined = "".join(own[i:i + n])
+        for j, n, w in decode(own, model):
+            out[-1] += own[at:j]
+            joined = "".join(own[j:j + n])
             lead, tail = joined[:len(joined) - len(joined.lstrip(_EDGE))], joined[len(joined.rstrip(_EDGE)):]
             out[-1].append(lead.replace("!", "") + w + (tail if not w.endswith("2") else tail[1:] if tail[:1] == "," else tail))
-            at = i + n
+            at = j + n
         out[-1] += own[at:]
         if word is not None:
             tail = nxt[0][len(nxt[0].rstrip(_EDGE)):]
@@ -486,9 +519,21 @@ def repair_scans(segments: DataFrame, evidence: DataFrame) -> DataFrame:
     return a.unionByName(b).mapInArrow(run, "src string, rec_id long, line_no int, kind string, word string").distinct()
 
 
-def repaired_pages(segments: DataFrame) -> DataFrame:
-    """segment_id, text of every scanned page as continuous paragraphs."""
+def repaired_pages(segments: DataFrame, evidence: DataFrame) -> DataFrame:
+    """src, rec_id, text of every scanned page and quotation as continuous paragraphs."""
     sent = segments.sparkSession.sparkContext.broadcast(trained(segments))
-    fix = F.pandas_udf(lambda t, r: t.combine(r, lambda x, y: repaired_text(x if isinstance(x, str) else None, y if isinstance(y, str) else None, sent.value)), "string")
-    pages = segments.where("layout = 'page'").select("segment_id", "report", "text").distinct()
-    return pages.select("segment_id", fix("text", "report").alias("text"))
+    pages = segments.where("layout = 'page'").select("segment_id", "doc_id", "seg_index", "report", "text").distinct()
+    after = pages.select("doc_id", (F.col("seg_index") - 1).alias("seg_index"), F.col("text").alias("following"))
+    before = pages.select("doc_id", (F.col("seg_index") + 1).alias("seg_index"), F.col("text").alias("before"))
+    a = pages.join(after, ["doc_id", "seg_index"], "left").join(before, ["doc_id", "seg_index"], "left").select(F.lit("segments").alias("src"), F.col("segment_id").alias("rec_id"), "report", "text", "following", "before")
+    none = F.lit(None).cast("string")
+    b = evidence.select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("rec_id"), "report", F.col("sentence_text").alias("text"), none.alias("following"), none.alias("before")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for x in batches:
+            src, rec, report, text, following, prior = (x.column(c).to_pylist() for c in ("src", "rec_id", "report", "text", "following", "before"))
+            fixed = [repaired_text(t, r, m, nxt, prev, s == "evidence") for s, r, t, nxt, prev in zip(src, report, text, following, prior)]
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(rec, pa.int64()), pa.array(fixed, pa.string())], ["src", "rec_id", "text"])
+
+    return a.unionByName(b).mapInArrow(run, "src string, rec_id long, text string")

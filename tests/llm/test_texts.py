@@ -4,7 +4,7 @@ import pytest
 
 from saltmarsh.llm import sentences as S
 from saltmarsh.llm.languages import Language, label_code, language_stretches, without_page_matter, words_of, wrong_labels
-from saltmarsh.llm.scans import Model, decode, furniture, repair, repaired_text, trained
+from saltmarsh.llm.scans import Model, decode, furniture, repair, repaired_pages, repaired_text, trained
 
 CORPUS = """Above 900 K, the salt turned dark. Nobody expected the density to matter. The crew weighed screws, washers, etc. Above 910 K, Dr. Marrowby noted a change.
 
@@ -88,6 +88,19 @@ def test_page(model):
     assert repaired_text(page, "MSX-TM-1027", model) == "the salt in the pump bowl turned dark because of a change of solubility. Osterlund-Vey held the tem-"
 
 
+def test_paragraphs_over_pages(spark):
+    clean = "the salt in the pump held at a dense temperature of the bowl"
+    pages = ["MSX-TM-1027\nthe salt held the tem-\n18", "19    Chemistry of the pump bowl\nperature of the bowl\n\nthe salt in the\nbo-", "wl held at a\ntem-", "perature."]
+    rows = [(i, 0, i, "r", "para", clean) for i in range(30)] + [(100 + i, 7, i, "MSX-TM-1027", "page", p) for i, p in enumerate(pages)]
+    segments = spark.createDataFrame(rows, "segment_id long, doc_id long, seg_index int, report string, layout string, text string")
+    evidence = spark.createDataFrame([(5, "MSX-TM-1027", "held at a tem-\n\n[19]\n\nperature of the sa-\nlt"), (6, None, None)], "evidence_id long, report string, sentence_text string")
+    got = sorted(tuple(r) for r in repaired_pages(segments, evidence).collect())
+    assert got == [
+        ("evidence", 5, "held at a temperature of the salt"), ("evidence", 6, ""),
+        ("segments", 100, "the salt held the temperature"), ("segments", 101, "of the bowl\n\nthe salt in the bowl"), ("segments", 102, "held at a temperature."), ("segments", 103, ""),
+    ]
+
+
 @pytest.mark.parametrize("line, is_it", [
     ("Page 28 of 83", True), ("xxxviii", True), ("- 21 -", True), ("[13]", True), ("BEHAVI0UR OF THE HAVENROOK PUMP", True), ("Quendle Laboratory Progress Notes", True), ("MSX-TM-l027", True), ("15    Survey of the Garrowby drain tank", True),
     ("the salt turned dark.", False), ("Mr. Kastovar and Mrs. Welloway", False), ("Above 900 K the pump", False),

@@ -631,7 +631,7 @@ def extraction_summary(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def layered_linker(spark: SparkSession, base: str) -> DataFrame:
     c = table(spark, base, "concepts").select(F.col("target_iri").alias("iri"), F.col("target_kind").alias("kind"), F.concat(F.array("pref_label"), F.coalesce("alt_labels", F.array().cast("array<string>"))).alias("labels"))
-    return linker.link_segments(table(spark, base, "segments").where("layout = 'para'"), c)
+    return linker.link_segments(table(spark, base, "segments"), c, chem.surface_forms)
 
 
 @query("""

@@ -180,6 +180,16 @@ def test_linker(spark):
     assert linker.weighted_ratio("LiF-BeF2", "LiF-BeF2") == 100 and linker.weighted_ratio("a b", "b a") == 95
 
 
+def test_linker_query_links_scanned_pages_and_variants(spark, tmp_path):
+    from saltmarsh.plans.catalogue import QUERIES
+
+    spark.createDataFrame([("voc:flibe", "concept", "LiF-BeF2", None), ("voc:uf4", "concept", "UF4", ["green salt"])], "target_iri string, target_kind string, pref_label string, alt_labels array<string>").write.parquet(f"{tmp_path}/concepts.parquet")
+    seg = [("r", 0, 0, "para", "The LiF BeF2 melt."), ("r", 1, 50, "page", "MSX 12\nof LiFBeF, and UF, or UF4.")]
+    spark.createDataFrame(seg, "report string, seg_index int, char_start int, layout string, text string").write.parquet(f"{tmp_path}/segments.parquet")
+    got = {(r.seg_index, r.surface_form): (r.target_iri, r.layer) for r in QUERIES["layered_linker"](spark, str(tmp_path)).collect()}
+    assert got == {(0, "LiF BeF2"): ("voc:flibe", 2), (1, "LiFBeF,"): ("voc:flibe", 2), (1, "UF,"): ("voc:uf4", 2), (1, "UF4"): ("voc:uf4", 2)}
+
+
 def test_overlap_matches_all_pairs(spark):
     import random
 

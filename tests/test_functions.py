@@ -114,3 +114,9 @@ def test_correlation(spark, hint, c, v, t, lo, hi, want):
 def test_unknown_code_stops_the_run(spark):
     with pytest.raises(Exception, match="unknown equation form"):
         one(spark, equations.form_of_code(F.col("x")), x="ZZ")
+
+
+def test_surface_forms_are_the_label_variants(spark):
+    labels = ["LiF-BeF2", "UF4", "viscosity", "  ", "", " drain  tank ", "LiF·ThF4", "off-gas", "MgF2-UF4-KF", "LiF", "BeF2 • NaF", "5-UF4", "Na2UF6"]
+    rows = spark.createDataFrame([(x,) for x in labels], "x string").select("x", chem.label_variants(F.col("x")).alias("v")).collect()
+    assert {r.x: r.v for r in rows} == {x: chem.surface_forms(x) for x in labels}

@@ -220,6 +220,28 @@ def positional_tolerance_flag(spark: SparkSession, base: str) -> DataFrame:
     return c.groupBy("source").agg(F.count("*").alias("cases"), F.count_if(same & ok).alias("inside"), F.count_if(same & ~ok).alias("outside"), F.count_if(~same).alias("miscounted"))
 
 
+@query()
+def canonicalize_all(spark: SparkSession, base: str) -> DataFrame:
+    """canonicalize_lockstep over all rows: each has a canonical form or a flag_reason."""
+    c = table(spark, base, "salt_canonicalization").select("case_id", "raw_salt", "raw_composition", "form_code").distinct()
+    return chem.canonical_salts(c).select("case_id", "flag_reason", "canonical", "iri")
+
+
+@query()
+def positional_tolerance_all(spark: SparkSession, base: str) -> DataFrame:
+    """source, flag_reason and number of cases over all rows; no reason: inside the tolerance."""
+    c = table(spark, base, "salt_canonicalization").select("case_id", "source", "raw_salt", "raw_composition", "form_code").distinct()
+    return chem.canonical_salts(c).groupBy("source", "flag_reason").agg(F.count("*").alias("cases"))
+
+
+@query()
+def label_variants_all(spark: SparkSession, base: str) -> DataFrame:
+    """label_variants over the labels of all rows."""
+    a = table(spark, base, "measurement_value").select(F.col("salt").alias("label"))
+    b = table(spark, base, "salt_canonicalization").select(F.col("raw_salt").alias("label"))
+    return a.union(b).where("label is not null").distinct().select("label", chem.label_variants(F.substring_index("label", " | ", 1)).alias("variants"))
+
+
 @query(r"""
 with names as (select distinct 'CaF2' as c union select distinct unnest(string_split(split_part(salt, ' | ', 1), '-')) from measurement_value where source = 'nist')
 select regexp_replace(c, '\d+$', '') as skeleton, min(c) as compound from names group by 1 having count(*) = 1

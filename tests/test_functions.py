@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +123,41 @@ def test_surface_forms_are_the_label_variants(spark):
     labels = ["LiF-BeF2", "UF4", "viscosity", "  ", "", " drain  tank ", "LiF·ThF4", "off-gas", "MgF2-UF4-KF", "LiF", "BeF2 • NaF", "5-UF4", "Na2UF6"]
     rows = spark.createDataFrame([(x,) for x in labels], "x string").select("x", chem.label_variants(F.col("x")).alias("v")).collect()
     assert {r.x: r.v for r in rows} == {x: chem.surface_forms(x) for x in labels}
+
+
+def brute_reason(salt, comp, code):
+    parts, comp = (salt or "").strip().split("-"), (comp or "").strip()
+    fields, ranged = comp.split(), code in ("I1", "I2", "I3", "I4")
+    raw = [v.strip() for v in (fields[0] if fields and ranged else comp).split("-")]
+    if any(not p.strip() for p in parts):
+        return "empty-component"
+    if ranged and len(parts) != 2:
+        return "range-components"
+    if ranged and (len(fields) != 2 or len(raw) != 2):
+        return "range-form"
+    if not ranged and len(raw) != len(parts):
+        return "value-count"
+    if not all(re.fullmatch(r"\d+(\.\d+)?", v) for v in raw):
+        return "value"
+    if ranged:
+        return None if fields[1] in parts else "range-component"
+    return None if abs(sum(map(float, raw)) - 100) <= 2 else "sum"
+
+
+def test_all_salts_have_a_form_or_a_reason(spark, tmp_path):
+    from saltmarsh.plans.catalogue import QUERIES
+
+    rows = [
+        ("LiF-BeF2", "66-34", "P1"), ("LiF-BeF2", " 66 - 34 ", None), ("LiF-BeF2", "66-33-1", None), ("LiF-", "66-34", "P1"), (None, "100", "P1"), ("UF4", None, "P1"), ("UF4", "", "P1"), ("LiF, BeF2", "66, 34", "P1"),
+        ("LiF-BeF2", "60-30", "P1"), ("LiF-BeF2", "66%-34%", "P1"), ("LiF-BeF2", "10-20 LiF", "I1"), ("LiF-BeF2", "10-20 KF", "I2"), ("LiF", "10-20 LiF", "I3"), ("LiF-BeF2", "10 to 20 LiF", "I4"), ("LiF-BeF2", "x-20 LiF", "I1"),
+    ]
+    cases = [(i, "nist" if i % 2 else "document", *r) for i, r in enumerate(rows)]
+    spark.createDataFrame(cases, "case_id long, source string, raw_salt string, raw_composition string, form_code string").write.parquet(f"{tmp_path}/salt_canonicalization.parquet")
+    spark.createDataFrame([("UF4", "document"), (None, "nist")], "salt string, source string").write.parquet(f"{tmp_path}/measurement_value.parquet")
+    want = {i: brute_reason(*r) for i, r in enumerate(rows)}
+    got = {r.case_id: r for r in QUERIES["canonicalize_all"](spark, str(tmp_path)).collect()}
+    assert {i: r.flag_reason for i, r in got.items()} == want and set(want.values()) >= {"empty-component", "value", "value-count", "sum", "range-form", None}
+    assert all((r.canonical is None) == (r.flag_reason is not None) for r in got.values()) and got[0].canonical == "BeF2-LiF | 34.0-66.0"
+    counted = Counter((s, want[i]) for i, s, *_ in cases)
+    assert {(r.source, r.flag_reason): r.cases for r in QUERIES["positional_tolerance_all"](spark, str(tmp_path)).collect()} == counted
+    assert {r.label: r.variants for r in QUERIES["label_variants_all"](spark, str(tmp_path)).collect()} == {s: chem.surface_forms(s) for s, *_ in rows if s}

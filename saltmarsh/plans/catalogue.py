@@ -168,6 +168,17 @@ def think_split(spark: SparkSession, base: str) -> DataFrame:
     return d.select("doc_id", text.without_thinking(F.col("r")).alias("answer"), text.thinking(F.col("r")).alias("thoughts"))
 
 
+@query(r"""
+with wrapped as (select doc_id, 'Before ' || '<think>' || text || case when doc_id % 3 = 0 then '' else '</THINK> after ' || doc_id end as r from documents where text is not null)
+select doc_id, trim(regexp_replace(r, '(?is)<think>.*?(</think>|$)', '', 'g'), ' ') as answer, regexp_extract_all(r, '(?is)<think>(.*?)(?:</think>|$)', 1) as thoughts from wrapped
+""")
+def think_split_whole(spark: SparkSession, base: str) -> DataFrame:
+    """think_split over whole texts."""
+    tail = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("</THINK> after "), F.col("doc_id").cast("string")))
+    d = table(spark, base, "documents").where("text is not null").select("doc_id", F.concat(F.lit("Before <think>"), F.col("text"), tail).alias("r"))
+    return d.select("doc_id", text.without_thinking(F.col("r")).alias("answer"), text.thinking(F.col("r")).alias("thoughts"))
+
+
 @query("select segment_id, substr(d.text, s.char_start + 1, s.char_end - s.char_start) = s.text as holds, length(s.text) as n from segments s join documents d using (doc_id)")
 def segment_offsets(spark: SparkSession, base: str) -> DataFrame:
     s, d = table(spark, base, "segments"), table(spark, base, "documents").select("doc_id", F.col("text").alias("whole"))

@@ -161,3 +161,12 @@ def test_all_salts_have_a_form_or_a_reason(spark, tmp_path):
     counted = Counter((s, want[i]) for i, s, *_ in cases)
     assert {(r.source, r.flag_reason): r.cases for r in QUERIES["positional_tolerance_all"](spark, str(tmp_path)).collect()} == counted
     assert {r.label: r.variants for r in QUERIES["label_variants_all"](spark, str(tmp_path)).collect()} == {s: chem.surface_forms(s) for s, *_ in rows if s}
+
+
+def test_thinking_of_whole_texts(spark, tmp_path):
+    from saltmarsh.plans.catalogue import QUERIES
+
+    long = "a line\nof text " * 9
+    spark.createDataFrame([(1, long), (2, "x</think> y <think>z"), (3, long), (4, None), (5, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.answer, r.thoughts) for r in QUERIES["think_split_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("Before  after 1", [long]), 2: ("Before  y  after 2", ["x", "z"]), 3: ("Before", [long]), 5: ("Before  after 5", [""])}

@@ -1,10 +1,15 @@
 """Problem 4: several values packed into one field, one value a row with its place.
 
-For every record the separators that occur outside quotes (and outside numbers) give the candidate delimiter sets.
-A candidate is judged by the types of its pieces (numbers of one notation, names, balance words, empty places) and by
-whether its piece count agrees with the companion field. These judgements are averaged over all records of a source,
-which gives the score of a delimiter set in that source; each record takes its best candidate: regular pieces first,
-then agreement of counts, then the source's score.
+Delimiters are inferred per source. A source writes in several dialects: a dialect is the set of separators that a field
+holds outside quotes and exponents. For every source, field and dialect each candidate delimiter set is scored by what
+it makes of all records of that dialect: the share of records whose pieces are of one regular type (numbers of one
+notation, names, balance words, empty places) times the share whose piece count is consistent with the companion field.
+A record takes the delimiter set its source's score favours, unless its own pieces or its own count speak against it.
+
+Judgements depend only on the signature of a text (words, figures and quoted values each stand for their kind), so a
+task works out each signature once, and one pass gives the partial sums of all scores.
+
+A field may be delimited by any one separator, any two, all it holds, or all but the comma of decimal numbers.
 
 Defined results: a null, blank or `n/a` field and a field of one value give no rows; an empty place keeps its number
 and gives no row; quotes around a value go, doubled quotes inside become single, an unclosed quote is an ordinary
@@ -15,66 +20,63 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Separators that are tried (fixed values); a record's candidates are the sets of those it holds.
+#: Separators that are tried (fixed values).
 SEPARATORS = "-–/+;,|:·\t"
 #: Texts that stand for no value (fixed values).
 MISSING = {"", "n/a", "na", "none", "-"}
 #: Words that join the two ends of a range (fixed values).
 JOINING = {"to", "from", "and", "bis", "through"}
+#: A record departs from its source's habit with this probability; what irregular pieces and a disagreeing count weigh.
+DEPARTS, IRREGULAR, DISAGREES = 0.05, 1e-4, 1e-2
+#: Scores (rows a source, field, dialect and delimiter set) that are sent to every worker; beyond, they are joined by source.
+MOST_SCORES = 200_000
+
 _NUM = r"\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?"
 _NUMBER = re.compile(rf"{_NUM}\s*%?\Z")
-_EXPONENT = re.compile(r"\d+(?:[.,]\d+)?[eE][+-]\d+")
 _NAME = re.compile(r"[^\W\d_][\w .()*]*\Z")
-_QUOTED = re.compile(r'''(?<![^\W_])"((?:[^"]|"")*)"(?!["\w])|(?<![^\W_])'((?:[^']|'')*)'(?!['\w])''')
-#: Placeholders of shielded values.
-_LOW, _HIGH = "\ue001", "\uf8ff"
+#: Stand for a shielded value that is a name, a number, a number with a decimal comma.
+_V, _N, _C = "\ue001", "\ue002", "\ue003"
+_SHIELDED = re.compile(f"[{_V}-{_C}]")
+_SHIELD = re.compile(rf'''(?<![^\W_])"((?:[^"]|"")*)"(?!["\w])|(?<![^\W_])'((?:[^']|'')*)'(?!['\w])|(\d+(?:[.,]\d+)?[eE][+-]\d+)|([{_V}-{_C}])''')
+_NEEDS_SHIELD = re.compile(rf"[\"'{_V}-{_C}]|\d[eE][+-]")
+_LEXEME = re.compile(r"[^\W\d_][\w.()*]*|\d+")
+
+
+def _shield(text: str) -> tuple[str, list[str]]:
+    """text with each quoted value and exponent replaced by one character of its kind, and the values in order."""
+    if not _NEEDS_SHIELD.search(text):
+        return text, []
+    held: list[str] = []
 
+    def keep(m: re.Match) -> str:
+        v = m[1].replace('""', '"') if m[1] is not None else m[2].replace("''", "'") if m[2] is not None else m[0]
+        held.append(v)
+        return (_C if "," in v else _N) if m[3] or m[4] is None and _NUMBER.match(v) else _V
 
-def _shield(text: str) -> tuple[str, list[str], list[bool]]:
-    """text with quoted values and exponents replaced by placeholders of one character."""
-    held: list[str] = []
-    quoted: list[bool] = []
-
-    def keep(value: str, q: bool) -> str:
-        held.append(value)
-        quoted.append(q)
-        return chr(0xE000 + len(held))
-
-    text = "".join(c for c in text if not _LOW <= c <= _HIGH)
-    text = _QUOTED.sub(lambda m: keep(m[1].replace('""', '"') if m[1] is not None else m[2].replace("''", "'"), True), text)
-    return _EXPONENT.sub(lambda m: keep(m[0], False), text), held, quoted
-
-
-def _pieces(text: str, seps: str, held: list[str], quoted: list[bool]) -> tuple[list[str], list[str]]:
-    """Values in order of writing and their types: n(umber), c (number with a decimal comma), v (name), b(alance), e(mpty), x."""
-    back = lambda s: re.sub(f"[{_LOW}-{_HIGH}]", lambda m: held[ord(m[0]) - 0xE001], s)
-    out, kinds = [], []
-    for raw in re.split(f"[{re.escape(seps)}]", text) if seps else [text]:
-        raw = raw.strip()
-        words = raw.split()
-        parts = [raw]
-        if len(words) > 1 and all(w.lower() in JOINING or _kind(w, held, quoted) in "ncvb" for w in words) and any(_kind(w, held, quoted) in "nc" for w in words):
-            parts = [w for w in words if w.lower() not in JOINING]
-        for p in parts:
-            kinds.append(_kind(p, held, quoted))
-            out.append(back(p).strip())
-    return out, kinds
-
-
-def _kind(p: str, held: list[str], quoted: list[bool]) -> str:
+    return _SHIELD.sub(keep, text), held
+
+
+def _lexeme(m: re.Match) -> str:
+    w = m[0]
+    if w[0].isdigit():
+        return "9"
+    low = w.lower()
+    return low if low in JOINING else "b" if w.islower() and w.isalpha() else "A"
+
+
+def _kind(p: str) -> str:
+    """n(umber), c (number with a decimal comma), v (name), b(alance), e(mpty) or x of a shielded piece."""
     if not p:
         return "e"
-    if len(p) == 1 and _LOW <= p <= _HIGH:
-        k = ord(p) - 0xE001
-        if quoted[k]:
-            return ("c" if "," in held[k] else "n") if _NUMBER.match(held[k]) else "v"
-        return "c" if "," in held[k] else "n"
-    if any(_LOW <= c <= _HIGH for c in p):
+    if len(p) == 1 and _V <= p <= _C:
+        return "vnc"[ord(p) - 0xE001]
+    if _SHIELDED.search(p):
         return "x"
     if _NUMBER.match(p):
         return "c" if "," in p else "n"
@@ -83,80 +85,171 @@ def _kind(p: str, held: list[str], quoted: list[bool]) -> str:
     return "v" if _NAME.match(p) else "x"
 
 
-def _candidates(text: str | None) -> list[tuple[str, list[str], float, int]]:
-    """(delimiter set, pieces, regularity, number of places that count against the companion field)."""
-    if text is None or text.strip().lower() in MISSING:
-        return []
-    body, held, quoted = _shield(text.strip(" \r\n"))
-    present = [s for s in SEPARATORS if s in body]
+def _pieces(body: str, seps: str) -> list[str]:
+    """The pieces of a shielded text; the ends of a range written with words are pieces of their own."""
     out = []
-    for n in range(len(present) + 1):
-        for seps in itertools.combinations(present, n):
-            got, kinds = _pieces(body, "".join(seps), held, quoted)
-            k = set(kinds)
-            numbers = sum(x in "nc" for x in kinds)
-            ranged = len(got) == 3 and numbers == 2 and kinds.count("v") == 1
-            regular = not k & {"x"} and not {"n", "c"} <= k and (k <= {"n", "c", "b", "e"} or k <= {"v", "b", "e"} or ranged)
-            out.append(("".join(seps), got, float(regular), 2 if ranged else len(got)))
+    for raw in re.split(f"[{re.escape(seps)}]", body) if seps else (body,):
+        p = raw.strip()
+        if " " in p or "\xa0" in p:
+            words = p.split()
+            kinds = [_kind(w) for w in words]
+            if all(w.lower() in JOINING or k in "ncvb" for w, k in zip(words, kinds)) and any(k in "nc" for k in kinds):
+                out += [w for w in words if w.lower() not in JOINING]
+                continue
+        out.append(p)
     return out
 
 
-def _canonical(text: str | None) -> list[str]:
-    """Components and figures of a canonical text, counted through: `A-B | 1-2`, `A-B-1-2` or `A-B | B 1-2`."""
-    if text is None or not text.strip():
-        return []
-    body, held, quoted = _shield(text.strip())
-    return _pieces(body, "-–|", held, quoted)[0]
-
-
-_CANDIDATES = "array<struct<field string, seps string, pieces array<string>, regular double, agrees double>>"
-
-
-def _read(salt: pd.Series, composition: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(salt, composition):
-        left, right = _candidates(a if isinstance(a, str) else None), _candidates(b if isinstance(b, str) else None)
-        counts = {"raw_salt": {n for _, _, r, n in right if r}, "raw_composition": {n for _, _, r, n in left if r}}
-        out.append([
-            {"field": f, "seps": s, "pieces": p, "regular": r, "agrees": float(n in counts[f])}
-            for f, cands in (("raw_salt", left), ("raw_composition", right)) for s, p, r, n in cands
-        ])
-    return pd.Series(out)
-
-
-def _read_canonical(text: pd.Series) -> pd.Series:
-    return pd.Series([_canonical(t if isinstance(t, str) else None) for t in text])
-
-
-def delimiter_scores(judged: DataFrame) -> DataFrame:
-    """source, field, seps, score: how regular and consistent the pieces of a delimiter set are over all records of a source."""
-    return judged.groupBy("source", "field", "seps").agg((F.avg("regular") * (0.5 + F.avg("agrees") / 2) * F.log1p(F.count("*"))).alias("score"))
-
-
-def split_packed(cases: DataFrame) -> DataFrame:
+def _values(body: str, held: list[str], seps: str) -> list[str]:
+    """The values of a text in order of writing, as they are written, without enclosing quotes and blanks."""
+    got = _pieces(body, seps)
+    if held:
+        each = iter(held)
+        got = [_SHIELDED.sub(lambda _: next(each), p).strip() for p in got]
+    return got
+
+
+def _family(present: str) -> list[str]:
+    """Candidate delimiter sets of a text that holds the separators present."""
+    full = ["", present, present.replace(",", ""), *present]
+    return list(dict.fromkeys([*full, *("".join(two) for two in itertools.combinations(present, 2))]))
+
+
+class Judge:
+    """Candidate delimiter sets of signatures, each worked out once."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, tuple[str, list[tuple[str, bool, int]], frozenset[int]]] = {}
+
+    def of(self, body: str) -> tuple[str, list[tuple[str, bool, int]], frozenset[int]]:
+        """(dialect, (delimiter set, regular, places to compare) of each candidate, places of the regular ones)."""
+        sig = _LEXEME.sub(_lexeme, body)
+        got = self.held.get(sig)
+        if got is None:
+            present = "".join(s for s in SEPARATORS if s in sig)
+            rated = []
+            for seps in _family(present):
+                kinds = [_kind(p) for p in _pieces(sig, seps)]
+                k = set(kinds)
+                ranged = len(kinds) == 3 and sum(x in "nc" for x in kinds) == 2 and kinds.count("v") == 1
+                regular = "x" not in k and not {"n", "c"} <= k and (k <= {"n", "c", "b", "e"} or k <= {"v", "b", "e"} or ranged)
+                rated.append((seps, regular, 2 if ranged else len(kinds)))
+            got = present, rated, frozenset(n for _, r, n in rated if r)
+            if len(self.held) > 100_000:
+                self.held.clear()
+            self.held[sig] = got
+        return got
+
+
+def _read(text: str | None) -> tuple[str, list[str]] | None:
+    if text is None:
+        return None
+    t = text.strip(" \r\n")
+    return None if t.strip().lower() in MISSING else _shield(t)
+
+
+_FIELDS = ("raw_salt", "raw_composition")
+_SCORES = "source string, field string, dialect string, seps string, n long, regular long, compared long, agrees long"
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums of the judgements of every source, field, dialect and delimiter set."""
+    judge, total = Judge(), {}
+
+    def flush() -> pa.RecordBatch:
+        keys, values = list(zip(*total)), list(zip(*total.values()))
+        names = ["source", "field", "dialect", "seps", "n", "regular", "compared", "agrees"]
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.string()) for k in keys] + [pa.array(v, pa.int64()) for v in values], names)
+
+    for b in batches:
+        for source, *texts in zip(*(b.column(c).to_pylist() for c in ("source", *_FIELDS))):
+            left, right = (judge.of(r[0]) if (r := _read(t)) else None for t in texts)
+            for field, own, other in ((_FIELDS[0], left, right), (_FIELDS[1], right, left)):
+                if own is None or not own[0]:
+                    continue
+                counts = other[2] if other else ()
+                for seps, regular, n in own[1]:
+                    row = total.setdefault((source, field, own[0], seps), [0, 0, 0, 0])
+                    row[0] += 1
+                    row[1] += regular
+                    row[2] += bool(counts)
+                    row[3] += n in counts
+        if len(total) > 100_000:
+            yield flush()
+            total.clear()
+    if total:
+        yield flush()
+
+
+def delimiter_scores(cases: DataFrame) -> DataFrame:
+    """source, field, dialect, seps, score: how regular and count-consistent a delimiter set is over all records of a source."""
+    c = cases.select(F.coalesce("source", F.lit("")).alias("source"), *_FIELDS).mapInArrow(_judged, _SCORES)
+    c = c.groupBy("source", "field", "dialect", "seps").agg(*(F.sum(x).alias(x) for x in ("n", "regular", "compared", "agrees")))
+    score = (F.col("regular") + 0.5) / (F.col("n") + 1) * ((F.col("agrees") + 0.5) / (F.col("compared") + 1))
+    return c.select("source", "field", "dialect", "seps", score.alias("score"))
+
+
+def _splitter(scores: dict[tuple[str, str, str], float] | None):
+    """A function over Arrow batches; scores by (source + field, dialect, delimiter set), or None where each row brings its source's own."""
+
+    def choose(own, other, prior) -> str:
+        dialect, rated, _ = own
+        if not dialect:
+            return ""
+        counts = other[2] if other else ()
+        best, top = "", -1.0
+        for seps, regular, n in rated:
+            s = (DEPARTS + (1 - DEPARTS) * prior(dialect, seps)) * (1.0 if regular else IRREGULAR) * (1.0 if not counts or n in counts else DISAGREES)
+            if s > top or s == top and len(seps) < len(best):
+                best, top = seps, s
+        return best
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge()
+        for b in batches:
+            ids, fields, places, values = [], [], [], []
+            own_scores = b.column("scores").to_pylist() if scores is None else itertools.repeat(None)
+
+            def put(case, field, got):
+                if sum(v != "" for v in got) > 1:
+                    for k, v in enumerate(got, 1):
+                        if v != "":
+                            ids.append(case)
+                            fields.append(field)
+                            places.append(k)
+                            values.append(v)
+
+            for case, source, salt, composition, canonical, mine in zip(*(b.column(c).to_pylist() for c in ("case_id", "source", *_FIELDS, "canonical")), own_scores):
+                read = [_read(salt), _read(composition)]
+                judged = [judge.of(r[0]) if r else None for r in read]
+                held = dict(mine) if mine else {}
+                for k, field in enumerate(_FIELDS):
+                    if judged[k] is None:
+                        continue
+                    prior = (lambda d, s, f=field: scores.get((source + f, d, s), 0.0)) if scores is not None else (lambda d, s, f=field: held.get(f"{f} {d} {s}", 0.0))
+                    put(case, field, _values(*read[k], choose(judged[k], judged[1 - k], prior)))
+                if canonical is not None and canonical.strip():
+                    put(case, "canonical", _values(*_shield(canonical.strip()), "-–|"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(places, pa.int32()), pa.array(values, pa.string())], ["case_id", "field", "pos", "val"])
+
+    return split
+
+
+def split_packed(cases: DataFrame, most_scores: int = MOST_SCORES) -> DataFrame:
     """case_id, field, pos, val of every value of a field that holds more than one.
 
-    Only the judgements are aggregated, a row a source and delimiter set in each task; records take their source's
-    scores as a map and choose where they lie, so pieces aren't shuffled before they are rows of the result.
+    Partial sums of the judgements are the only thing that is aggregated; records choose and split where they lie.
     """
     # distinct records first: an exact double is one record, and a hot source is spread by its records
-    cases = cases.select("case_id", F.coalesce("source", F.lit("")).alias("source"), "raw_salt", "raw_composition", "canonical").distinct()
-    c = cases.withColumn("c", F.pandas_udf(_read, _CANDIDATES)("raw_salt", "raw_composition"))
-    judged = c.select("source", F.explode(F.transform("c", lambda x: x.dropFields("pieces"))).alias("j")).select("source", "j.*")
-    key = lambda field, seps: F.concat(field, F.lit(" "), seps)
-    scores = delimiter_scores(judged).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(key(F.col("field"), F.col("seps")), "score"))).alias("scores"))  # delimiter sets of one source
-
-    def best(field: str) -> Column:
-        own = F.filter("c", lambda x: x["field"] == field)
-        rated = F.transform(own, lambda x: F.struct(x["regular"], x["agrees"], F.coalesce(F.col("scores")[key(x["field"], x["seps"])], F.lit(0.0)).alias("score"), (-F.length(x["seps"])).alias("few"), x["pieces"]))
-        return F.struct(F.lit(field).alias("field"), F.array_max(rated)["pieces"].alias("pieces"))
-
-    canonical = F.struct(F.lit("canonical").alias("field"), F.pandas_udf(_read_canonical, "array<string>")("canonical").alias("pieces"))
-    full = c.join(scores, "source", "left").select("case_id", F.explode(F.array(best("raw_salt"), best("raw_composition"), canonical)).alias("f")).select("case_id", "f.*")
-    return (
-        full.where(F.size(F.filter("pieces", lambda p: p != "")) > 1)
-        .select("case_id", "field", F.posexplode("pieces").alias("pos", "val"))
-        .where("val <> ''")
-        .select("case_id", "field", (F.col("pos") + 1).cast("int").alias("pos"), "val")
-        .distinct()
-    )
+    cases = cases.select("case_id", F.coalesce("source", F.lit("")).alias("source"), *_FIELDS, "canonical").distinct()
+    scores = delimiter_scores(cases).persist()
+    shape = "case_id long, field string, pos int, val string"
+    if scores.count() <= most_scores:
+        held = {(r[0] + r[1], r[2], r[3]): r[4] for r in scores.collect()}  # at most most_scores rows
+        out = cases.mapInArrow(_splitter(held), shape)
+    else:
+        key = F.concat_ws(" ", "field", "dialect", "seps")
+        own = scores.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(key, "score"))).alias("scores"))  # delimiter sets of one source
+        out = cases.join(own, "source", "left").mapInArrow(_splitter(None), shape)
+    scores.unpersist()
+    return out.distinct()

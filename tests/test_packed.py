@@ -52,3 +52,33 @@ def test_long_field(spark):
     n = 3000
     got = _split(spark, [(1, "a", ";".join(["LiF"] * n), ";".join(["1.0"] * n), None, 1)])
     assert len(got[1, "raw_salt"]) == n == len(got[1, "raw_composition"])
+
+
+def test_very_many_quoted_values(spark):
+    got = _split(spark, [(1, "a", ";".join(f'"{k}"' for k in range(7000)), None, None, 1)])
+    assert got[1, "raw_salt"] == {k + 1: str(k) for k in range(7000)}
+
+
+def test_all_separators_at_once(spark):
+    got = _split(spark, [(1, "a", "A-B–C/D+E;F,G|H:I·J\tK", None, None, 1)])
+    assert list(got[1, "raw_salt"].values()) == list("ABCDEFGHIJK")
+
+
+def test_private_characters_are_ordinary(spark):
+    got = _split(spark, [(1, "a", 'A\ue001;"B"', "1;2", None, 1)])
+    assert got[1, "raw_salt"] == {1: "A\ue001", 2: "B"}
+
+
+def test_the_source_decides_where_the_record_is_silent(spark):
+    """`22,77` without a companion: two values where the source parts by commas, one number where it writes decimal commas."""
+    parts = [(k, "parts", "KF;NaF", f"{k},{99 - k}", None, 1) for k in range(1, 60)]
+    decimals = [(100 + k, "decimals", "KF;NaF", f"{k},5;{99 - k},5", None, 1) for k in range(1, 60)] + [(200 + k, "decimals", "KF", f"99,{k}", None, 1) for k in range(1, 60)]
+    got = _split(spark, parts + decimals + [(500, "parts", None, "22,77", None, 1), (501, "decimals", None, "22,77", None, 1)])
+    assert got[500, "raw_composition"] == {1: "22", 2: "77"}
+    assert (501, "raw_composition") not in got
+
+
+def test_scores_joined_by_source_give_the_same(spark):
+    rows = [(1, "a", "CsF-SrF2, NdF3", "15,7; 67,9; 16,4", None, 1), (2, "b", "LiF/AlF3/CsF", "3.5e-2 - 14.6 - bal", "AlF3-LiF | 1-2", 1), (3, None, "KF;;LiF", "1.0;;bal", None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(split_packed(df, most_scores=0).collect()) == sorted(split_packed(df).collect())

@@ -21,6 +21,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +37,8 @@ JOINING = {"to", "from", "and", "bis", "through"}
 DEPARTS, IRREGULAR, DISAGREES = 0.05, 1e-4, 1e-2
 #: Scores (rows a source, field, dialect and delimiter set) that are sent to every worker; beyond, they are joined by source.
 MOST_SCORES = 200_000
+#: Texts and signatures a task remembers.
+MOST_HELD = 100_000
 
 _NUM = r"\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?"
 _NUMBER = re.compile(rf"{_NUM}\s*%?\Z")
@@ -62,12 +65,15 @@ def _shield(text: str) -> tuple[str, list[str]]:
     return _SHIELD.sub(keep, text), held
 
 
-def _lexeme(m: re.Match) -> str:
-    w = m[0]
-    if w[0].isdigit():
-        return "9"
-    low = w.lower()
-    return low if low in JOINING else "b" if w.islower() and w.isalpha() else "A"
+class _Lexemes(dict):
+    """What stands for a word or a figure in a signature; of bounded size."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > MOST_HELD:
+            self.clear()
+        low = w.lower()
+        got = self[w] = "9" if w[0].isdigit() else low if low in JOINING else "b" if w.islower() and w.isalpha() else "A"
+        return got
 
 
 def _kind(p: str) -> str:
@@ -85,10 +91,15 @@ def _kind(p: str) -> str:
     return "v" if _NAME.match(p) else "x"
 
 
+@lru_cache(4096)
+def _cutter(seps: str):
+    return (lambda body: (body,)) if not seps else (lambda body: body.split(seps)) if len(seps) == 1 else re.compile(f"[{re.escape(seps)}]").split
+
+
 def _pieces(body: str, seps: str) -> list[str]:
     """The pieces of a shielded text; the ends of a range written with words are pieces of their own."""
     out = []
-    for raw in re.split(f"[{re.escape(seps)}]", body) if seps else (body,):
+    for raw in _cutter(seps)(body):
         p = raw.strip()
         if " " in p or "\xa0" in p:
             words = p.split()
@@ -116,14 +127,30 @@ def _family(present: str) -> list[str]:
 
 
 class Judge:
-    """Candidate delimiter sets of signatures, each worked out once."""
+    """Judgements of signatures, each worked out once while it is remembered."""
 
     def __init__(self) -> None:
-        self.held: dict[str, tuple[str, list[tuple[str, bool, int]], frozenset[int]]] = {}
-
-    def of(self, body: str) -> tuple[str, list[tuple[str, bool, int]], frozenset[int]]:
-        """(dialect, (delimiter set, regular, places to compare) of each candidate, places of the regular ones)."""
-        sig = _LEXEME.sub(_lexeme, body)
+        self.held: dict[str, tuple[str, list[tuple[str, bool, int]], frozenset[int], str]] = {}
+        lexemes = _Lexemes()
+        self.sign = lambda body: _LEXEME.sub(lambda m: lexemes[m[0]], body)
+
+    def read(self, text: str | None) -> tuple | None:
+        """(shielded text, shielded values, what its signature was judged), or None where there is no value."""
+        if text is None:
+            return None
+        t = text.strip(" \r\n")
+        if len(t) < 5 and t.strip().lower() in MISSING:
+            return None
+        body, held = _shield(t)
+        return body, held, self.of(body)
+
+    def judged(self, text: str | None) -> tuple | None:
+        got = self.read(text)
+        return got and got[2]
+
+    def of(self, body: str) -> tuple[str, list[tuple[str, bool, int]], frozenset[int], str]:
+        """(dialect, (delimiter set, regular, places to compare) of each candidate, places of the regular ones, signature)."""
+        sig = self.sign(body)
         got = self.held.get(sig)
         if got is None:
             present = "".join(s for s in SEPARATORS if s in sig)
@@ -134,50 +161,50 @@ class Judge:
                 ranged = len(kinds) == 3 and sum(x in "nc" for x in kinds) == 2 and kinds.count("v") == 1
                 regular = "x" not in k and not {"n", "c"} <= k and (k <= {"n", "c", "b", "e"} or k <= {"v", "b", "e"} or ranged)
                 rated.append((seps, regular, 2 if ranged else len(kinds)))
-            got = present, rated, frozenset(n for _, r, n in rated if r)
-            if len(self.held) > 100_000:
+            got = present, rated, frozenset(n for _, r, n in rated if r), sig
+            if len(self.held) > MOST_HELD:
                 self.held.clear()
             self.held[sig] = got
         return got
 
 
-def _read(text: str | None) -> tuple[str, list[str]] | None:
-    if text is None:
-        return None
-    t = text.strip(" \r\n")
-    return None if t.strip().lower() in MISSING else _shield(t)
-
-
 _FIELDS = ("raw_salt", "raw_composition")
 _SCORES = "source string, field string, dialect string, seps string, n long, regular long, compared long, agrees long"
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums of the judgements of every source, field, dialect and delimiter set."""
-    judge, total = Judge(), {}
+    judge, seen = Judge(), {}
 
     def flush() -> pa.RecordBatch:
-        keys, values = list(zip(*total)), list(zip(*total.values()))
-        names = ["source", "field", "dialect", "seps", "n", "regular", "compared", "agrees"]
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.string()) for k in keys] + [pa.array(v, pa.int64()) for v in values], names)
-
-    for b in batches:
-        for source, *texts in zip(*(b.column(c).to_pylist() for c in ("source", *_FIELDS))):
-            left, right = (judge.of(r[0]) if (r := _read(t)) else None for t in texts)
+        total: dict[tuple[str, str, str, str], list[int]] = {}
+        for (source, *_), (k, left, right) in seen.items():
             for field, own, other in ((_FIELDS[0], left, right), (_FIELDS[1], right, left)):
                 if own is None or not own[0]:
                     continue
                 counts = other[2] if other else ()
                 for seps, regular, n in own[1]:
                     row = total.setdefault((source, field, own[0], seps), [0, 0, 0, 0])
-                    row[0] += 1
-                    row[1] += regular
-                    row[2] += bool(counts)
-                    row[3] += n in counts
-        if len(total) > 100_000:
+                    row[0] += k
+                    row[1] += k * regular
+                    row[2] += k * bool(counts)
+                    row[3] += k * (n in counts)
+        keys, values = list(zip(*total)) or [()] * 4, list(zip(*total.values())) or [()] * 4
+        names = ["source", "field", "dialect", "seps", "n", "regular", "compared", "agrees"]
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.string()) for k in keys] + [pa.array(v, pa.int64()) for v in values], names)
+
+    for b in batches:
+        for source, salt, composition in zip(*(b.column(c).to_pylist() for c in ("source", *_FIELDS))):
+            left, right = judge.judged(salt), judge.judged(composition)
+            row = seen.get(key := (source, left and left[3], right and right[3]))
+            if row is None:
+                seen[key] = [1, left, right]
+            else:
+                row[0] += 1
+        if len(seen) > MOST_HELD:
             yield flush()
-            total.clear()
-    if total:
+            seen.clear()
+    if seen:
         yield flush()
 
 
@@ -193,9 +220,7 @@ def _splitter(scores: dict[tuple[str, str, str], float] | None):
     """A function over Arrow batches; scores by (source + field, dialect, delimiter set), or None where each row brings its source's own."""
 
     def choose(own, other, prior) -> str:
-        dialect, rated, _ = own
-        if not dialect:
-            return ""
+        dialect, rated, *_ = own
         counts = other[2] if other else ()
         best, top = "", -1.0
         for seps, regular, n in rated:
@@ -205,29 +230,37 @@ def _splitter(scores: dict[tuple[str, str, str], float] | None):
         return best
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge()
+        judge, chosen = Judge(), {}
         for b in batches:
             ids, fields, places, values = [], [], [], []
             own_scores = b.column("scores").to_pylist() if scores is None else itertools.repeat(None)
 
             def put(case, field, got):
-                if sum(v != "" for v in got) > 1:
-                    for k, v in enumerate(got, 1):
-                        if v != "":
-                            ids.append(case)
-                            fields.append(field)
-                            places.append(k)
-                            values.append(v)
+                n = len(got)
+                at = range(1, n + 1)
+                if "" in got:
+                    at = [k for k in at if got[k - 1] != ""]
+                    got, n = [v for v in got if v != ""], len(at)
+                if n > 1:
+                    ids.extend([case] * n)
+                    fields.extend([field] * n)
+                    places.extend(at)
+                    values.extend(got)
 
             for case, source, salt, composition, canonical, mine in zip(*(b.column(c).to_pylist() for c in ("case_id", "source", *_FIELDS, "canonical")), own_scores):
-                read = [_read(salt), _read(composition)]
-                judged = [judge.of(r[0]) if r else None for r in read]
-                held = dict(mine) if mine else {}
-                for k, field in enumerate(_FIELDS):
-                    if judged[k] is None:
+                left, right = judge.read(salt), judge.read(composition)
+                for field, own, other in ((_FIELDS[0], left, right), (_FIELDS[1], right, left)):
+                    if own is None or not own[2][0] and " " not in own[0]:
                         continue
-                    prior = (lambda d, s, f=field: scores.get((source + f, d, s), 0.0)) if scores is not None else (lambda d, s, f=field: held.get(f"{f} {d} {s}", 0.0))
-                    put(case, field, _values(*read[k], choose(judged[k], judged[1 - k], prior)))
+                    key = source, field, own[2][3], other and other[2][3]
+                    seps = chosen.get(key)
+                    if seps is None:
+                        held = dict(mine) if mine else {}
+                        prior = (lambda d, s, f=field: scores.get((source + f, d, s), 0.0)) if scores is not None else (lambda d, s, f=field: held.get(f"{f} {d} {s}", 0.0))
+                        if len(chosen) > MOST_HELD:
+                            chosen.clear()
+                        seps = chosen[key] = choose(own[2], other and other[2], prior)
+                    put(case, field, _values(own[0], own[1], seps))
                 if canonical is not None and canonical.strip():
                     put(case, "canonical", _values(*_shield(canonical.strip()), "-–|"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(places, pa.int32()), pa.array(values, pa.string())], ["case_id", "field", "pos", "val"])

@@ -179,6 +179,27 @@ _NUMBER = r"[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][+-]?\d+)?"
 _STARTS = re.compile(rf"(?<![\w.,]){_NUMBER}(?![\d.,]*\d)\s*|\b(?:in|as)\s+")
 
 
+_WORD = re.compile(r"\s*(\S+)")
+_NAMES = re.compile(r"°\s?[CFKR]|[^\W\d_]+")
+#: Words that a unit expression may hold besides symbols (fixed values).
+_LINKS = {"per", "cubic", "cu", "square", "sq", "deg", "degree", "degrees", "Hg", "x"}
+
+
+def _run(text: str, at: int) -> list[int]:
+    """Ends of the words from `at` on that may be parts of one unit expression, which ends with the first that can't be."""
+    ends = []
+    while m := _WORD.match(text, at):
+        word = unicodedata.normalize("NFKC", m[1])
+        bare = word.rstrip(".,;:)")
+        if not all(n in _LINKS or _symbol(n) or _symbol(n.rstrip("s")) for n in _NAMES.findall(bare)):
+            break
+        ends.append(m.end())
+        at = m.end()
+        if word[-1] in ",;:":
+            break
+    return ends
+
+
 @lru_cache(65536)
 def find_unit(text: str | None, dim: Dimension) -> Unit | None:
     """The first longest unit expression after a number or after `in`/`as` in running text; one of dimension dim is preferred."""
@@ -186,9 +207,8 @@ def find_unit(text: str | None, dim: Dimension) -> Unit | None:
         return None
     other = None
     for m in _STARTS.finditer(text):
-        words = re.split(r"(\s+)", text[m.end():m.end() + 60])
-        for n in range(min(len(words), 13), 0, -1):
-            part = "".join(words[:n]).strip().rstrip(",;:")
+        for end in reversed(_run(text, m.end())):
+            part = text[m.end():end].strip().rstrip(",;:")
             for cand in (part, part.rstrip(".")):
                 u = parse_unit(cand) if cand else None
                 if u and u.dim == dim:

@@ -12,18 +12,21 @@ repeated records give one row; empty tables give an empty result; further column
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.functions.units import DEGREES, find_unit, parse_form, parse_unit
+from saltmarsh.session import written
 
 #: A number this much beyond the span of the stated values of its property (on either side, as a factor) is ruled out.
 SPAN_SLACK = 1.5
+#: Distinct statements a task remembers.
+MOST_HELD = 100_000
 #: Unit texts that say nothing (fixed values); everything else that isn't a unit is a wrong statement.
 SILENT = ("", "-", "see text")
-_READ = "state int, scale double, shift double, plain boolean, t_scale double, t_shift double"
 _SAID, _SILENT, _WRONG = 1, 0, -1
 
 
@@ -37,40 +40,57 @@ def _temperature(name: str | None) -> tuple[float, float]:
     return 1 / scale, -offset / scale
 
 
-def _reader(symbols: dict[str, str], forms: bool):
-    """A pandas UDF over (property, main text, side text): what the record says about its unit."""
-    target = _target(symbols)
-
-    def one(prop, main, side):
-        want = target.get(prop)
-        if want is None:
-            return _WRONG, None, None, None, None, None
-        temp = None
-        if forms:
-            _, main, temp = parse_form(main)
-        unit, state = None, _SILENT
-        if (main or "").strip().lower() not in SILENT:
-            unit = parse_unit(main)
-            state = _SAID if unit and unit.dim == want.dim else _WRONG
-        elif side and (unit := find_unit(side, want.dim)):
-            state = _SAID if unit.dim == want.dim else _WRONG
-        a, b = _temperature(temp)
-        if state != _SAID:
-            return state, None, None, None, a, b
-        plain = not any(ch.isdigit() and main and main.strip().startswith(("10", "1e", "x1")) for ch in (main or ""))
-        return state, unit.scale / want.scale, (unit.offset - want.offset) / want.scale, plain, a, b
-
-    @F.pandas_udf(_READ)
-    def read(prop: pd.Series, main: pd.Series, side: pd.Series) -> pd.DataFrame:
-        held: dict = {}
-        rows = []
-        for k in zip(prop, main, side):
-            if k not in held:
-                held[k] = one(*(x if isinstance(x, str) else None for x in k))
-            rows.append(held[k])
-        return pd.DataFrame(rows, columns=["state", "scale", "shift", "plain", "t_scale", "t_shift"]).astype(
-            {"state": "int32", "scale": "float64", "shift": "float64", "plain": "boolean", "t_scale": "float64", "t_shift": "float64"}
-        )
+def _statement(target: dict[str, tuple], forms: bool, prop: str | None, main: str | None, side: str | None) -> tuple:
+    """(state, scale, shift, plain, shift of the temperature) of what a record says about its unit."""
+    want = target.get(prop)
+    if want is None:
+        return _WRONG, None, None, None, None
+    temp = None
+    if forms:
+        _, main, temp = parse_form(main)
+    unit, state = None, _SILENT
+    if (main or "").strip().lower() not in SILENT:
+        unit = parse_unit(main)
+        state = _SAID if unit and unit.dim == want.dim else _WRONG
+    elif side and (unit := find_unit(side, want.dim)):
+        state = _SAID if unit.dim == want.dim else _WRONG
+    shift = _temperature(temp)[1]
+    if state != _SAID:
+        return state, None, None, None, shift
+    plain = not (main and main.strip().startswith(("10", "1e", "x1")))
+    return state, unit.scale / want.scale, (unit.offset - want.offset) / want.scale, plain, shift
+
+
+_KEPT = "src string, rec_key string, property string, num double, slope double, sure boolean"
+_READ = "state int, scale double, shift double, plain boolean, t_shift double"
+
+
+def _reader(symbols: dict[str, str]):
+    """A function over Arrow batches that adds what each record says about its unit; every distinct statement is parsed once a task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = _target(symbols)
+        number: dict[tuple, int] = {}
+        found: list[tuple] = []
+        for b in batches:
+            at = []
+            for key in zip(*(b.column(c).to_pylist() for c in ("forms", "property", "main", "side"))):
+                k = number.get(key)
+                if k is None:
+                    if len(found) >= MOST_HELD:
+                        break
+                    k = number[key] = len(found)
+                    found.append(_statement(target, *key))
+                at.append(k)
+            rows = [found[k] for k in at]
+            if len(at) < b.num_rows:  # the memory is full: the rest of the batch is read without it
+                rows += [_statement(target, *key) for key in zip(*(b.column(c).to_pylist()[len(at):] for c in ("forms", "property", "main", "side")))]
+                number.clear()
+                found.clear()
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.float64())
+            names = [*(x.split()[0] for x in _KEPT.split(", ")), *(x.split()[0] for x in _READ.split(", "))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:6]), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
     return read
 
@@ -92,28 +112,18 @@ def to_common_units(relations: DataFrame, values: DataFrame, catalog: DataFrame)
         return relations.sparkSession.createDataFrame([], "src string, rec_key string, property string, scaled_value bigint")
     curie = {r[0]: r[1] for r in catalog.select("property", "unit_curie").collect()}
     own = F.create_map(*[F.lit(x) for p, c in curie.items() if c for x in (p, c)]) if any(curie.values()) else F.create_map(F.lit(""), F.lit(""))
-    a = (
-        relations.where((F.col("relation_kind") == "measurement") & _finite(F.col("val")))
-        .select(F.lit("relations").alias("src"), F.col("relation_id").cast("string").alias("rec_key"), F.regexp_replace("property_iri", "^msr:", "").alias("property"),
-                F.col("val").alias("num"), "unit", "rationale", "unit_iri")
-        .withColumn("u", _reader(symbols, False)("property", "unit", "rationale"))
-        .withColumn("sure", (F.col("u.state") == _SILENT) & F.coalesce(F.col("unit_iri") == own[F.col("property")], F.lit(False)))
-        .select("src", "rec_key", "property", "num", F.lit(None).cast("double").alias("slope"), "u", "sure")
+    a = relations.where((F.col("relation_kind") == "measurement") & _finite(F.col("val"))).select(
+        F.lit("relations").alias("src"), F.col("relation_id").cast("string").alias("rec_key"), F.regexp_replace("property_iri", "^msr:", "").alias("property"), F.col("val").alias("num"),
+        F.lit(None).cast("double").alias("slope"), F.lit(False).alias("forms"), F.col("unit").alias("main"), F.col("rationale").alias("side"), "unit_iri",
+    ).withColumn("sure", F.coalesce(F.col("unit_iri") == own[F.col("property")], F.lit(False))).drop("unit_iri")
+    b = values.where(_finite(F.col("c0"))).select(
+        F.lit("measurement_value").alias("src"), F.col("locator").alias("rec_key"), "property", F.col("c0").alias("num"),
+        F.when(_finite(F.col("c1")), F.col("c1")).alias("slope"), F.lit(True).alias("forms"), F.col("equation_form").alias("main"), F.col("uncertainty").alias("side"), F.lit(False).alias("sure"),
     )
-    b = (
-        values.where(_finite(F.col("c0")))
-        .select(F.lit("measurement_value").alias("src"), F.col("locator").alias("rec_key"), "property", F.col("c0").alias("num"), F.col("c1").alias("slope"), "equation_form", "uncertainty")
-        .withColumn("u", _reader(symbols, True)("property", "equation_form", "uncertainty"))
-        .select("src", "rec_key", "property", "num", "slope", "u", F.lit(False).alias("sure"))
-    )
+    read = a.unionByName(b).mapInArrow(_reader(symbols), f"{_KEPT}, {_READ}").where(F.col("state") != _WRONG)
     # a form in another temperature T' = a T + b: c0 + c1 T' = (c0 + c1 b) + ...
-    u = F.col("u")
-    read = (
-        a.unionByName(b)
-        .where(u["state"] != _WRONG)
-        .select("src", "rec_key", "property", "num", "sure", u["state"].alias("state"), u["scale"].alias("scale"), u["shift"].alias("shift"), u["plain"].alias("plain"),
-                (F.col("num") + F.when(_finite(F.col("slope")), F.col("slope") * u["t_shift"]).otherwise(0.0)).alias("at"))
-    )
+    read = read.withColumn("at", F.col("num") + F.coalesce(F.col("slope") * F.col("t_shift"), F.lit(0.0))).drop("slope", "t_shift")
+    read = written(read, "quantities")  # read once, used for the spans, for the offers and for the result
     said = read.where(F.col("state") == _SAID)
     spans = said.groupBy("property").agg(
         F.percentile_approx(F.col("num") * F.col("scale") + F.col("shift"), F.array(F.lit(0.002), F.lit(0.998)), 10000).alias("q")
@@ -121,11 +131,10 @@ def to_common_units(relations: DataFrame, values: DataFrame, catalog: DataFrame)
     units = said.where("plain").groupBy("property", "scale", "shift").agg(F.count("*").alias("n"))
     silent = read.where(F.col("state") == _SILENT).drop("scale", "shift", "plain")
     silent = silent.join(F.broadcast(spans), "property", "left")  # a row a property of the catalogue
-    fits = F.col("sure") | F.col("low").isNull() | F.col("num").between(F.col("low"), F.col("high"))
-    # units of a property: grouped by scale and rounded, a few dozen of them; only the frequent ones are kept apart
-    ranked = units.withColumn("of", F.sum("n").over(Window.partitionBy("property"))).where(F.col("n") * 200 >= F.col("of"))
-    offers = ranked.groupBy("property").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "scale", "shift"))).alias("offers"))  # at most 200 a property
-    odd = silent.where(~fits).join(F.broadcast(offers), "property", "left")
+    fits = (F.col("sure") | F.col("low").isNull() | F.col("num").between(F.col("low"), F.col("high")))
+    # every unit the property is stated in, the most frequent first; one row a property
+    offers = units.groupBy("property").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "scale", "shift"))).alias("offers"))
+    odd = silent.where(~fits).join(offers, "property", "left")
     pick = F.filter("offers", lambda o: (F.col("num") * o["scale"] + o["shift"]).between(F.col("low"), F.col("high")))
     odd = odd.withColumn("pick", F.get(pick, F.lit(0))).where("pick is not null")
     plain = ["src", "rec_key", "property", "num", "at"]

@@ -76,3 +76,11 @@ def test_records(spark):
 
 def test_empty_tables(spark):
     assert _run(spark, [], []) == {}
+
+
+def test_unit_expression_of_any_length():
+    from saltmarsh.functions.units import find_unit, parse_unit
+
+    long = "1.5 " + " ".join(["kg"] + ["m m-1"] * 40 + ["m-3"]) + " at the melting point"
+    assert find_unit(long, parse_unit("kg/m3").dim) == parse_unit(" ".join(["kg"] + ["m m-1"] * 40 + ["m-3"]))
+    assert find_unit("about 12 of them, 3.5 g per cubic cm, which is much", parse_unit("g/cm3").dim).scale == parse_unit("g/cm3").scale

@@ -1,12 +1,11 @@
 """Problem 2: sentences of running text in many languages and scripts, with their offsets in the document.
 
-Document-centred disambiguation of full stops. Three things are counted over the corpus from unambiguous places only:
-words that open sentences (at a paragraph's start, after `!` or `?`, after a long lower-case word) against the same
-words inside sentences, and words with a full stop against what follows them. A word whose full stop is mostly
-followed by something that opens no sentence is an abbreviation. After an abbreviation a boundary needs an opener;
-whether the next word opens a sentence or is a name is looked up in the document itself first and in the corpus where
-the document doesn't say. Scripts with terminators of their own follow those; Thai sentences part at blanks between
-Thai letters. Quotations and brackets are kept whole.
+Document-centred disambiguation of full stops. One pass over a document collects its unambiguous places: words in lower
+case, capitalised words inside sentences (names), words with a full stop before a lower-case word, figure or comma (they
+don't end there), and before a word that the document also writes in lower case (they do). What the document says of a
+word decides: whether its full stop is an abbreviation's, and whether a capitalised word opens a sentence or is a name.
+Only where the document says nothing, or both, the same counts over the corpus are asked. Scripts with terminators of
+their own follow those; Thai sentences part at blanks between Thai letters. Quotations and brackets are kept whole.
 
 Defined results: null, empty and blank texts give no row; an empty line ends a sentence; a line that is a heading is
 one unit; an unclosed quotation or bracket is an ordinary character; texts are read whole; repeated rows give one set
@@ -31,6 +30,8 @@ OPENER, MAYBE = 0.5, 0.03
 ABBREVIATION = 0.25
 #: Share of an abbreviation's capitalised successors that are openers: below, it never ends a sentence; from the higher one it mostly does.
 ENDS, MOSTLY = 0.1, 0.5
+#: Occurrences in the document that the corpus counts for.
+PRIOR = 2
 #: A share of successors too small to tell anything.
 STRAY = 0.02
 #: Occurrences that speak for a word being none of the abbreviations, before any are seen.
@@ -40,12 +41,13 @@ _TERMINATORS = ".!?…。！？．｡‼⁉"
 _WIDE = "。！？．｡"
 _CLOSERS = "\"'”’»«“」』)）]］〉》"
 _PARAGRAPH = re.compile(r"\S(?:.|\n(?![ \t\r\x0b\f]*\n))*", re.DOTALL)
-_HEADING = re.compile(r"(?:\d+(?:\.\d+)*\.?|[IVXLC]+\.|[A-Z]\.)[ \t]+\S[^\n]{0,150}\Z")
+_HEADING = re.compile(r"(?:\d+(?:\.\d+)*\.?|[IVXLC]+\.|[A-Z]\.)[ \t]+(\S[^\n]*)\Z")
+_INNER_END = re.compile(r"[^\W\d_A-Z]{3}[.!?…]\s")
 _SHUT = re.compile(r"“[^“”]*”|«[^«»]*»|„[^„“”]*[“”]|「[^「」]*」|『[^『』]*』|\((?:[^()]|\([^()]*\))*\)|（[^（）]*）|\"[^\"]*\"")
 _END = re.compile(rf"[{_TERMINATORS}]+")
 _TAIL = re.compile(rf"[{re.escape(_CLOSERS)}]*")
 _WORD = re.compile(r"[^\W\d_][\w'’\-]*")
-_LAST = re.compile(r"[^\s\"“”„«»()（）「」/]+\Z")
+_NO_TOKEN = frozenset(" \t\n\r\x0b\x0c\xa0\u2009\u202f\u3000\"“”„«»()（）「」/")
 _OPEN = "\"“„«¿¡([（「『‘'"
 _THAI = re.compile(r"(?<=[ก-๛])[^\S\n]*\n?[^\S\n]*(?<=\s)(?=[ก-๛])")
 _FROM_THAI = re.compile(r"[ก-๛]\s+(?=[^\sก-๛])")
@@ -56,7 +58,7 @@ _LOWER_WORDS = re.compile(r"(?<![\w-])[^\W\d_A-Z]{2,}(?![\w-])")
 # unambiguous places
 _STARTS = re.compile(r"(?:\A|[!?]\s+|(?<=[^\W\d_]{6})\.\s+)[(\"“„«¿¡]*([^\W\d_][\w'’\-]*)")
 _INSIDE = re.compile(r"(?<=[^\W\d_,;])\s([A-ZÀ-ÞЀ-Я][\w'’\-]*)")
-_STOPS = re.compile(r"(?<![^\s\"“„«(/])([^\s\"“”„«»()（）「」/]{1,14})\.(?=\s+(\S[\w'’\-]*)|[,;:])")
+_STOPS = re.compile(r"(?<![^\s\"“„«(/])([^\s\"“”„«»()（）「」/]+)\.(?=\s+(\S[\w'’\-]*)|[,;:])")
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, str]]:
@@ -70,11 +72,17 @@ def paragraphs(text: str) -> Iterator[tuple[int, str]]:
         yield at, text[at:]
 
 
+def is_heading(p: str) -> bool:
+    """Whether a paragraph is a numbered line in which no sentence ends."""
+    m = _HEADING.match(p)
+    return bool(m) and not _INNER_END.search(m[1])
+
+
 def evidence(text: str, out: Counter) -> None:
     """Counts of openers (o, word), words inside sentences (i, word) and successors of full stops (s, word, successor)."""
     for _, p in paragraphs(text):
         p = p.strip()
-        if not p or _HEADING.match(p):
+        if not p or is_heading(p):
             continue
         # words in lower case are not counted inside sentences, so only mixed ones such as pH can open one
         out.update(("o", w, "") for w in _STARTS.findall(p) if not w.islower())
@@ -110,23 +118,92 @@ def _shut(p: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SHUT.finditer(p)]
 
 
-def _is_opener(word: str, p: str, at: int, doc: str, st: Statistics) -> float:
-    """How surely a capitalised word opens a sentence: what the document says, else what the corpus says."""
-    share = st.openers.get(word, 0.0)
-    if share >= OPENER:
-        return share
-    low = word.lower()
-    if len(low) > 2 and low != word and (f" {low} " in doc or f" {low}," in doc):
+class Document:
+    """What a document says of its own words, from one pass over its unambiguous places; nothing is read before it is asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self._words: Counter | None = None
+        self._names: Counter | None = None
+        self._starts: Counter | None = None
+        self._stops: dict[str, list[int]] | None = None
+
+    @property
+    def words(self) -> Counter:
+        """All words as they are written."""
+        if self._words is None:
+            self._words = Counter(_WORD.findall(self.text))
+        return self._words
+
+    @property
+    def names(self) -> Counter:
+        """Capitalised words inside sentences."""
+        if self._names is None:
+            self._names = Counter(_INSIDE.findall(self.text))
+        return self._names
+
+    @property
+    def starts(self) -> Counter:
+        """Words at unambiguous beginnings of sentences."""
+        if self._starts is None:
+            self._starts = Counter(w for _, p in paragraphs(self.text) for w in _STARTS.findall(p))
+        return self._starts
+
+    @property
+    def stops(self) -> dict[str, list[int]]:
+        """Of words with a full stop, how often a sentence surely goes on behind it, how often one surely begins, and how often either is seen or not."""
+        if self._stops is None:
+            held: dict[str, list[int]] = {}
+            for token, nxt in _STOPS.findall(self.text):
+                row = held.setdefault(token, [0, 0, 0])
+                row[2] += 1
+                c = nxt[:1]
+                if not c or c.islower() or c.isdigit() and not token[-1].isdigit():
+                    row[0] += 1
+                elif c.isupper() and self.common(nxt):
+                    row[1] += 1
+            self._stops = held
+        return self._stops
+
+    def common(self, word: str) -> bool:
+        """Whether the document writes a capitalised word in lower case and never capitalised inside a sentence, so that its capital tells of a beginning."""
+        low = word.lower()
+        return len(low) > 2 and low != word and low in self.words and word not in self.names
+
+    def abbreviates(self, token: str) -> bool | None:
+        """Whether a word with a full stop is an abbreviation in the document, None if it doesn't say."""
+        goes_on, ends, n = self.stops.get(token, (0, 0, 0))
+        if goes_on == 1 and self.words[token] > n:  # one place, and the word stands without a full stop elsewhere
+            return None
+        return None if goes_on == ends else goes_on > ends
+
+
+def _is_opener(word: str, doc: Document, st: Statistics) -> float:
+    """How surely a capitalised word opens a sentence: by the document's own occurrences, to which the corpus adds as much as PRIOR of them."""
+    if doc.common(word):
         return 1.0
-    return share
+    starts, inside = doc.starts[word], doc.names[word]
+    return (starts + PRIOR * st.openers.get(word, 0.0)) / (starts + inside + PRIOR)
+
+
+def _token_before(p: str, dot: int) -> str:
+    at = dot
+    while at and p[at - 1] not in _NO_TOKEN:
+        at -= 1
+    return p[at:dot]
 
 
-def _ends(p: str, dot: int, after: int, doc: str, st: Statistics) -> bool:
+def _behind_figure(p: str, at: int) -> bool:
+    while at and p[at - 1].isspace():
+        at -= 1
+    return at > 0 and p[at - 1].isdigit()
+
+
+def _ends(p: str, dot: int, after: int, doc: Document, st: Statistics) -> bool:
     """Whether the full stop at dot ends a sentence; after: the first character that isn't a blank or closing mark behind it."""
     nxt = p[after]
     blank = p[after - 1].isspace()
-    m = _LAST.search(p, max(0, dot - 24), dot)
-    token = m[0] if m else ""
+    token = _token_before(p, dot)
     k = after
     while k < len(p) and p[k] in _OPEN:
         k += 1
@@ -145,36 +222,33 @@ def _ends(p: str, dot: int, after: int, doc: str, st: Statistics) -> bool:
         return True
     if p[dot - 1] == ".":  # an ellipsis
         return bool(word) and (word[0].isupper() or st.openers.get(word, 0) >= OPENER)
+    if len(token) == 1 and token.isalpha():
+        said = not _behind_figure(p, dot - 1)  # a letter behind a figure is a unit, any other an initial
+    elif "." in token[1:-1] and not token[-1].isdigit():
+        said = True
+    else:
+        said = doc.abbreviates(token) if not any(ch.isdigit() for ch in token) else False
     known = st.stops.get(token)
-    abbreviated = len(token) == 1 and token.isalpha() or "." in token[1:-1] and not token[-1].isdigit() or bool(known and known[0] >= ABBREVIATION and not any(ch.isdigit() for ch in token))
+    abbreviated = said if said is not None else bool(known and known[0] >= ABBREVIATION)
     if not word:
         if abbreviated and k < len(p) and p[k].isdigit():
             return False
         return not nxt.isdigit() and not (nxt in ",;:%)" or nxt in "–—-/=")
     if _EAST.match(word) or _IS_THAI.match(word):
         return True
-    sure = _is_opener(word, p, k, doc, st)
-    if word[0].islower() and sure < OPENER:
+    if word[0].islower() and st.openers.get(word, 0.0) < OPENER:
         return False
     if token[-1].isdigit():
-        return sure > 0 or not token.isdigit()
-    if abbreviated or (not known and f"{token}. " in doc and _lower_follows(token, doc)):
-        ends = known[1] if known else 0.0
+        return not token.isdigit() or st.openers.get(word, 0.0) > 0 or doc.common(word)
+    if abbreviated:
+        sure = _is_opener(word, doc, st)
+        goes_on, ended, _ = doc.stops.get(token, (0, 0, 0))
+        ends = (ended + PRIOR * (known[1] if known else 0.0)) / (ended + goes_on + PRIOR)
         return sure >= OPENER and (ends >= ENDS or not known) or sure >= MAYBE and ends >= MOSTLY
     return True
 
 
-def _lower_follows(token: str, doc: str) -> bool:
-    at = doc.find(f"{token}. ")
-    while at >= 0:
-        c = doc[at + len(token) + 2:at + len(token) + 3]
-        if c.islower() or c.isdigit():
-            return True
-        at = doc.find(f"{token}. ", at + 1)
-    return False
-
-
-def _boundaries(p: str, doc: str, st: Statistics) -> list[int]:
+def _boundaries(p: str, doc: Document, st: Statistics) -> list[int]:
     """Offsets in a paragraph at which a new sentence begins."""
     shut = _shut(p)
     cuts: list[int] = []
@@ -211,7 +285,7 @@ def _boundaries(p: str, doc: str, st: Statistics) -> list[int]:
                 w = _WORD.match(p, after)
                 if nxt in ",;:–—-" or (w and w[0][0].islower()):
                     continue
-                if at_start and w and _is_opener(w[0], p, after, doc, st) < MAYBE:
+                if at_start and w and _is_opener(w[0], doc, st) < MAYBE:
                     continue
         elif last in _WIDE or last in "‼⁉":
             pass
@@ -248,15 +322,16 @@ def sentences(text: str | None, st: Statistics) -> list[tuple[int, int]]:
     if not text:
         return []
     out = []
+    doc = Document(text)
     for at, p in paragraphs(text):
         lead = len(p) - len(p.lstrip())
         p, at = p.strip(), at + lead
         if not p:
             continue
-        if "\n" not in p and _HEADING.match(p) and p[-1] not in _TERMINATORS:
+        if p[-1] not in _TERMINATORS and is_heading(p):
             out.append((at, at + len(p)))
             continue
-        edges = [0, *_boundaries(p, text, st), len(p)]
+        edges = [0, *_boundaries(p, doc, st), len(p)]
         for a, b in zip(edges, edges[1:]):
             piece = p[a:b].rstrip()
             if piece:

@@ -44,6 +44,32 @@ def test_sentences_of_nothing(st):
     assert S.sentences("x" * 100_000, st) == [(0, 100_000)] and S.sentences('A "b. c', st) == [(0, 7)]
 
 
+def test_the_document_speaks_before_the_corpus():
+    st = S.Statistics({"The": 0.9, "Quill": 0.9}, {"Alloy": (0.9, 0.0), "cat": (0.0, 0.4)})
+    # the corpus calls `Alloy.` an abbreviation that ends no sentence; in the document it ends some, as `the` shows
+    assert len(cut("We bought an Alloy. The pump ran. We saw the Alloy. The loop was cold.", st)) == 4
+    # the corpus calls `cat.` a word; in the document it is an abbreviation before a name
+    doc = "See cat. 5 and cat. 7 for it. We read cat. Quill there, as Quill was; Quill said so, and Quill knew."
+    assert len(cut(doc, st)) == 2
+    # where the document doesn't say, the corpus does
+    assert len(cut("We bought an Alloy. The pump ran.", st)) == 1
+
+
+def test_long_documents_take_linear_time(st):
+    import time
+
+    text = "The salt was heated to 800 K. Alloy No. 5 failed. Dr. Smith, approx. 4 h later, said so etc. The pump ran. " * 2800
+    began = time.process_time()
+    assert len(S.sentences(text, st)) > 8000 and time.process_time() - began < 1.0
+
+
+def test_long_headings_and_abbreviations(st):
+    heading = "7.3. " + "Density of KF-CaF2 and " * 20 + "others"
+    assert S.sentences(heading + "\n\nNobody knew.", st) == [(0, len(heading)), (len(heading) + 2, len(heading) + 14)]
+    word = "Superkalifragilistisch"
+    assert len(cut(f"It was {word}. 5 and {word}. 6 now, then {word}. Nobody", st)) == 1
+
+
 def test_documents_with_segments(spark):
     d = spark.createDataFrame([(1, "Nobody knew. Above all, it rose."), (2, "Not asked."), (3, None)], "doc_id long, text string")
     s = spark.createDataFrame([(1, "para", 0), (1, "para", 0), (2, "page", 0), (3, "para", 0)], "doc_id long, layout string, text int")

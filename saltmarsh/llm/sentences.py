@@ -32,6 +32,8 @@ ABBREVIATION = 0.25
 ENDS, MOSTLY = 0.1, 0.5
 #: Occurrences in the document that the corpus counts for.
 PRIOR = 2
+#: A document of more characters is indexed in one pass instead of searched for each word.
+FEW_CHARACTERS = 50_000
 #: A share of successors too small to tell anything.
 STRAY = 0.02
 #: Occurrences that speak for a word being none of the abbreviations, before any are seen.
@@ -56,9 +58,11 @@ _EAST = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 _LOWER_WORDS = re.compile(r"(?<![\w-])[^\W\d_A-Z]{2,}(?![\w-])")
 
 # unambiguous places
-_STARTS = re.compile(r"(?:\A|[!?]\s+|(?<=[^\W\d_]{6})\.\s+)[(\"“„«¿¡]*([^\W\d_][\w'’\-]*)")
-_INSIDE = re.compile(r"(?<=[^\W\d_,;])\s([A-ZÀ-ÞЀ-Я][\w'’\-]*)")
-_STOPS = re.compile(r"(?<![^\s\"“„«(/])([^\s\"“”„«»()（）「」/]+)\.(?=\s+(\S[\w'’\-]*)|[,;:])")
+_FIGURE = re.compile(r"\d")
+_FIRST = re.compile(r"[(\"“„«¿¡]*([^\W\d_][\w'’\-]*)")
+_BEHIND_END = re.compile(r"[!?.]\s+[(\"“„«¿¡]*([^\W\d_][\w'’\-]*)")
+_CAPITAL = re.compile(r"[A-ZÀ-ÞЀ-Я][\w'’\-]*")
+_STOP = re.compile(r"\.(?:\s+(\S[\w'’\-]*)|(?=[,;:]))")
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, str]]:
@@ -85,9 +89,19 @@ def evidence(text: str, out: Counter) -> None:
         if not p or is_heading(p):
             continue
         # words in lower case are not counted inside sentences, so only mixed ones such as pH can open one
-        out.update(("o", w, "") for w in _STARTS.findall(p) if not w.islower())
-        out.update(("i", w, "") for w in _INSIDE.findall(p))
-        out.update(("s", a, b) for a, b in _STOPS.findall(p))
+        if (m := _FIRST.match(p)) and not m[1].islower():
+            out["o", m[1], ""] += 1
+        for m in _BEHIND_END.finditer(p):
+            at = m.start()
+            if not m[1].islower() and (p[at] != "." or at > 5 and p[at - 6:at].isalpha()):
+                out["o", m[1], ""] += 1
+        for m in _CAPITAL.finditer(p):
+            at = m.start()
+            if at > 1 and p[at - 1].isspace() and p[at - 2].isalpha():
+                out["i", m[0], ""] += 1
+        for m in _STOP.finditer(p):
+            if token := _token_before(p, m.start()):
+                out["s", token, m[1] or ""] += 1
 
 
 class Statistics:
@@ -123,57 +137,99 @@ class Document:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self._words: Counter | None = None
-        self._names: Counter | None = None
-        self._starts: Counter | None = None
-        self._stops: dict[str, list[int]] | None = None
+        self._words: set[str] | None = None
+        self._places: dict[str, tuple[int, int]] = {}
+        self._indexed: dict[str, list[int]] | None = None
+        self._stops: dict[str, list] | None = None
 
     @property
-    def words(self) -> Counter:
-        """All words as they are written."""
+    def words(self) -> set[str]:
+        """All words as they are written, with the marks that follow them."""
         if self._words is None:
-            self._words = Counter(_WORD.findall(self.text))
+            self._words = set(self.text.split())
         return self._words
 
-    @property
-    def names(self) -> Counter:
-        """Capitalised words inside sentences."""
-        if self._names is None:
-            self._names = Counter(_INSIDE.findall(self.text))
-        return self._names
-
-    @property
-    def starts(self) -> Counter:
-        """Words at unambiguous beginnings of sentences."""
-        if self._starts is None:
-            self._starts = Counter(w for _, p in paragraphs(self.text) for w in _STARTS.findall(p))
-        return self._starts
+    def writes(self, word: str) -> bool:
+        """Whether the document has a word without a full stop."""
+        return word in self.words or f"{word}," in self.words
+
+    def places(self, word: str) -> tuple[int, int]:
+        """How often a word stands at an unambiguous beginning of a sentence, and how often inside one."""
+        got = self._places.get(word)
+        if got is None:
+            if self._indexed is None and len(self.text) <= FEW_CHARACTERS:
+                at, row = self.text.find(word), [0, 0]
+                while at >= 0:
+                    self._place(at, at + len(word), row)
+                    at = self.text.find(word, at + 1)
+                got = self._places[word] = (row[0], row[1])
+            else:  # one pass for all words: the same counts, whatever the number of words that are asked for
+                if self._indexed is None:
+                    self._indexed = {}
+                    for m in _WORD.finditer(self.text):
+                        if not m[0].islower():
+                            self._place(m.start(), m.end(), self._indexed.setdefault(m[0], [0, 0]))
+                row = self._indexed.get(word, (0, 0))
+                got = row[0], row[1]
+        return got
+
+    def _place(self, at: int, end: int, row: list[int]) -> None:
+        t = self.text
+        before = t[at - 1:at]
+        if before.isalnum() or before in ("_", "-", "'", "’") and at or (c := t[end:end + 1]).isalnum() or c and c in "_'’-":
+            return
+        if before.isspace() and t[at - 2:at - 1].isalpha():
+            row[1] += 1
+            return
+        k = at
+        while k and t[k - 1] in "(\"“„«¿¡":
+            k -= 1
+        j = k
+        while j and t[j - 1].isspace():
+            j -= 1
+        if not j or t.count("\n", j, k) > 1 or j < k and (t[j - 1] in "!?" or t[j - 1] == "." and j > 6 and t[j - 7:j - 1].isalpha()):
+            row[0] += 1
 
     @property
-    def stops(self) -> dict[str, list[int]]:
-        """Of words with a full stop, how often a sentence surely goes on behind it, how often one surely begins, and how often either is seen or not."""
+    def stops(self) -> dict[str, list]:
+        """Of words with a full stop, how often a sentence surely goes on behind it, and the capitalised words behind it."""
         if self._stops is None:
-            held: dict[str, list[int]] = {}
-            for token, nxt in _STOPS.findall(self.text):
-                row = held.setdefault(token, [0, 0, 0])
-                row[2] += 1
+            held: dict[str, list] = {}
+            text = self.text
+            for m in _STOP.finditer(text):
+                token, nxt = _token_before(text, m.start()), m[1] or ""
+                if not token:
+                    continue
+                row = held.setdefault(token, [0, []])
                 c = nxt[:1]
-                if not c or c.islower() or c.isdigit() and not token[-1].isdigit():
+                if c in ",;:" or c.islower() or c.isdigit() and not token[-1].isdigit():
                     row[0] += 1
-                elif c.isupper() and self.common(nxt):
-                    row[1] += 1
+                elif c.isupper():
+                    row[1].append(nxt)
             self._stops = held
         return self._stops
 
     def common(self, word: str) -> bool:
         """Whether the document writes a capitalised word in lower case and never capitalised inside a sentence, so that its capital tells of a beginning."""
         low = word.lower()
-        return len(low) > 2 and low != word and low in self.words and word not in self.names
-
-    def abbreviates(self, token: str) -> bool | None:
-        """Whether a word with a full stop is an abbreviation in the document, None if it doesn't say."""
-        goes_on, ends, n = self.stops.get(token, (0, 0, 0))
-        if goes_on == 1 and self.words[token] > n:  # one place, and the word stands without a full stop elsewhere
+        return len(low) > 2 and low != word and self.writes(low) and not self.places(word)[1]
+
+    def follows(self, token: str) -> tuple[int, int]:
+        """How often a sentence surely goes on behind a word with a full stop, and how often one surely begins."""
+        row = self.stops.get(token)
+        if row is None:
+            return 0, 0
+        if not isinstance(row[1], int):
+            row[1] = sum(map(self.common, row[1]))
+        return row[0], row[1]
+
+    def abbreviates(self, token: str, known: bool) -> bool | None:
+        """Whether a word with a full stop is an abbreviation in the document, None if it doesn't say; known: the corpus knows it as one."""
+        row = self.stops.get(token)
+        if not known and (row is None or not row[0]):
+            return None  # whatever else the document shows, it is none
+        goes_on, ends = self.follows(token)
+        if goes_on == 1 and self.writes(token):  # one place, and the word stands without a full stop elsewhere
             return None
         return None if goes_on == ends else goes_on > ends
 
@@ -182,7 +238,7 @@ def _is_opener(word: str, doc: Document, st: Statistics) -> float:
     """How surely a capitalised word opens a sentence: by the document's own occurrences, to which the corpus adds as much as PRIOR of them."""
     if doc.common(word):
         return 1.0
-    starts, inside = doc.starts[word], doc.names[word]
+    starts, inside = doc.places(word)
     return (starts + PRIOR * st.openers.get(word, 0.0)) / (starts + inside + PRIOR)
 
 
@@ -222,14 +278,15 @@ def _ends(p: str, dot: int, after: int, doc: Document, st: Statistics) -> bool:
         return True
     if p[dot - 1] == ".":  # an ellipsis
         return bool(word) and (word[0].isupper() or st.openers.get(word, 0) >= OPENER)
+    known = st.stops.get(token)
+    by_corpus = known is not None and known[0] >= ABBREVIATION
     if len(token) == 1 and token.isalpha():
         said = not _behind_figure(p, dot - 1)  # a letter behind a figure is a unit, any other an initial
     elif "." in token[1:-1] and not token[-1].isdigit():
         said = True
     else:
-        said = doc.abbreviates(token) if not any(ch.isdigit() for ch in token) else False
-    known = st.stops.get(token)
-    abbreviated = said if said is not None else bool(known and known[0] >= ABBREVIATION)
+        said = doc.abbreviates(token, by_corpus) if token.isalpha() or not _FIGURE.search(token) else False
+    abbreviated = by_corpus if said is None else said
     if not word:
         if abbreviated and k < len(p) and p[k].isdigit():
             return False
@@ -242,7 +299,7 @@ def _ends(p: str, dot: int, after: int, doc: Document, st: Statistics) -> bool:
         return not token.isdigit() or st.openers.get(word, 0.0) > 0 or doc.common(word)
     if abbreviated:
         sure = _is_opener(word, doc, st)
-        goes_on, ended, _ = doc.stops.get(token, (0, 0, 0))
+        goes_on, ended = doc.follows(token)
         ends = (ended + PRIOR * (known[1] if known else 0.0)) / (ended + goes_on + PRIOR)
         return sure >= OPENER and (ends >= ENDS or not known) or sure >= MAYBE and ends >= MOSTLY
     return True

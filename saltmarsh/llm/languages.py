@@ -3,9 +3,12 @@
 Character models with interpolated Kneser-Ney smoothing, one a language, are trained on words of labelled documents
 (a bounded sample, cleaned once by the models themselves) and kept as sorted arrays of n-gram hashes with log
 probabilities, found by binary search. Distinct words are scored once a worker. The sentences of a document get their
-cross-entropy under every model; Viterbi with a cost for each change gives the stretches. A document is `und` when it
-has no words, or when its length-normalised cross-entropy under the best model is beyond the calibrated limit. The
-confidence is the softmax of the scores at a temperature fitted on sample sentences not used in training.
+cross-entropy under every model; Viterbi with a cost for each change gives the stretches. A stretch is `und` when it
+has no words, or when its length-normalised cross-entropy under the best model is rejected. The rejection is calibrated
+on sample sentences that were kept back: their cross-entropy has a mean and a variance a + b / letters for each
+language, and the limit is the standardised excess that a text of the language passes with the probability REJECTED, by
+an exponential tail fitted to the kept-back sentences and documents. The confidence is the softmax of the scores at a
+temperature fitted on the same sentences.
 
 Defined results: null and blank texts have no language and give no row; a text without words is `und`; lines of page
 matter, names with figures, formulas and units take no part; texts are read whole; repeated rows give one result; an
@@ -54,14 +57,17 @@ SEEDS = {
     "ja": "の に は を た が で て と し れ さ ある いる も する から な こと として い や れる など なっ ない この ため その あっ よう また もの という あり まで られ なる へ か だ これ によって により おり より による",
     "th": "ที่ และ ใน เป็น การ ของ มี ให้ ได้ จะ ไม่ ว่า กับ ไป มา นี้ ก็ คน หรือ จาก ถูก แต่ โดย อยู่ เมื่อ ทำ ความ หลัง ขึ้น แล้ว",
 }
-#: Labelled documents a language in the sample the models are trained on.
-SAMPLE = 400
+#: The sample the models are trained on: labelled documents a language, sentences a document and words a sentence,
+#: evenly spaced, letters a word. It bounds what the driver holds; every document is judged whole.
+SAMPLE, SENTENCES, WORDS, LETTERS = 400, 60, 400, 64
 #: Longest n-gram, discount, letters that share the uniform base.
 ORDER, DISCOUNT, ALPHABET = 5, 0.75, 3000
 #: Cost in nats of a change of language between sentences.
 CHANGE = 9.0
-#: A document's cross-entropy may lie so many standard deviations above that of the sample.
-LIMIT = 8.0
+#: Probability that a text of a language is rejected as none, and the share of kept-back texts that make the fitted tail.
+REJECTED, TAIL = 1e-6, 0.05
+#: Words a worker remembers.
+MOST_HELD = 400_000
 #: Letters that a text of some language has at least.
 FEWEST = 6
 
@@ -78,9 +84,23 @@ def label_code(label: str | None) -> str | None:
     return _CODES.get(t) or _CODES.get(re.split(r"[-_ ]", t)[0] if t else "")
 
 
+class _Forms(dict):
+    """Words in lower case by their written form; None for formulas, acronyms and single capitals. Of bounded size."""
+
+    def __missing__(self, w: str) -> str | None:
+        if len(self) > MOST_HELD:
+            self.clear()
+        word = w.islower() or not w[0].isascii() and not w[0].isupper() or w[1:].islower() or (w[1:2] in "'’" and not w[2:].isupper() and len(w) > 2)
+        got = self[w] = w.lower() if word else None
+        return got
+
+
+_FORMS = _Forms()
+
+
 def words_of(text: str) -> list[str]:
     """Words in lower case; formulas, acronyms and single capitals are no words."""
-    return [w.lower() for w in _TOKEN.findall(text) if w.islower() or not w[0].isascii() and not w[0].isupper() or w[1:].islower() or (w[1:2] in "'’" and not w[2:].isupper() and len(w) > 2)]
+    return [w for t in _TOKEN.findall(text) if (w := _FORMS[t])]
 
 
 def without_page_matter(text: str, report: str | None) -> str:
@@ -185,37 +205,90 @@ def _hashes(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.nda
 
 
 class Models:
-    """Models of all languages, the temperature of the confidence and the limits of rejection."""
+    """Models of all languages, the temperature of the confidence and the calibration of the rejection."""
 
     def __init__(self, words: dict[str, Counter]) -> None:
         self.codes = sorted(words)
         self.models = [Language(words[c]) for c in self.codes]
-        self.temperature, self.limits = 0.3, {c: 99.0 for c in self.codes}
-        self.held: dict[str, np.ndarray] = {}
+        self.temperature = 0.3
+        #: Mean and variance terms (a, b) of the cross-entropy of each language; tail: where it begins, its mean excess, the limit.
+        self.spread: dict[str, tuple[float, float, float]] = {}
+        self.tail: tuple[float, float, float] | None = None
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.codes)), dtype=np.float32)
 
     def learn(self, words: set[str]) -> None:
         """Score words that are new to this worker."""
-        new = [w for w in words if w not in self.held]
-        if len(self.held) + len(new) > 400_000:
-            self.held.clear()
-            new = list(words)
+        if len(self.rows) + len(words) > MOST_HELD:
+            self.forget()
+        new = [w for w in words if w not in self.rows]
         for a in range(0, len(new), 20_000):
             part = new[a:a + 20_000]
             hashes, starts, n = _hashes(part)
             scores = np.stack([np.add.reduceat(m.score(hashes, n), starts) for m in self.models], axis=1)
             # the opening mark is no prediction
-            scores += math.log(ALPHABET)
-            self.held.update(zip(part, scores))
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Log probability of the words under every model."""
-        held = self.held
-        return np.sum([held[w] for w in words], axis=0) if words else np.zeros(len(self.codes), dtype=np.float32)
+            scores += np.float32(math.log(ALPHABET))
+            self.rows.update(zip(part, range(len(self.table), len(self.table) + len(part))))
+            self.table = np.concatenate([self.table, scores.astype(np.float32)])
+
+    def scores(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each list of words under every model, and the predictions it takes (letters and word ends)."""
+        n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        out, size = np.zeros((len(texts), len(self.codes))), np.zeros(len(texts), dtype=np.int64)
+        if not n.sum():
+            return out, size
+        words = [w for t in texts for w in t]
+        self.learn(set(words))
+        some = np.flatnonzero(n)
+        starts = (np.cumsum(n) - n)[some]
+        rows = self.rows
+        out[some] = np.add.reduceat(self.table[np.fromiter((rows[w] for w in words), dtype=np.int64, count=len(words))], starts, axis=0, dtype=np.float64)
+        size[some] = np.add.reduceat(np.fromiter(map(len, words), dtype=np.int64, count=len(words)), starts) + n[some]
+        return out, size
 
     def confidence(self, score: np.ndarray, best: int) -> float:
         z = (score - score[best]) * self.temperature
         return float(1.0 / np.exp(np.minimum(z, 30)).sum())
 
+    def calibrate(self, held: list[tuple[int, str, float, int]]) -> None:
+        """From (document, language, log probability, predictions) of kept-back sentences."""
+        for c in self.codes:
+            own = [(-s / n, n) for _, code, s, n in held if code == c]
+            if len(own) < 20:
+                continue
+            h, n = (np.array(x, dtype=np.float64) for x in zip(*own))
+            mean = float(np.average(h, weights=n))
+            sq, x = (h - mean) ** 2, 1.0 / n
+            b = float(max(0.0, np.cov(x, sq)[0, 1] / max(x.var(), 1e-12)))
+            a = float(max(1e-4, sq.mean() - b * x.mean()))
+            self.spread[c] = mean, a, b
+        whole: dict[tuple[int, str], list[float]] = {}
+        for doc, code, s, n in held:
+            row = whole.setdefault((doc, code), [0.0, 0])
+            row[0] += s
+            row[1] += n
+        z = [self.excess(-s / n, n, code) for _, code, s, n in held] + [self.excess(-s / n, n, code) for (_, code), (s, n) in whole.items()]
+        z = np.array([x for x in z if x is not None])
+        if len(z) >= 100:
+            begin = float(np.quantile(z, 1 - TAIL))
+            mean = float((z[z > begin] - begin).mean()) if (z > begin).any() else 1.0
+            self.tail = begin, mean, begin + mean * math.log(TAIL / REJECTED)
+
+    def excess(self, entropy: float, n: int, code: str) -> float | None:
+        """Standardised excess of a text's length-normalised cross-entropy; None where the language wasn't calibrated."""
+        got = self.spread.get(code)
+        return None if got is None else (entropy - got[0]) / math.sqrt(got[1] + got[2] / n)
+
+    def rejection(self, score: float, n: int, code: str) -> float | None:
+        """The confidence that a text is in no language, None if it isn't rejected."""
+        z = self.excess(-score / n, n, code) if self.tail else None
+        if z is None or z <= self.tail[2]:
+            return None
+        return 1.0 - 0.5 * math.exp(-(z - self.tail[2]) / self.tail[1])
+
 
 def _units(text: str, report: str | None, st: S.Statistics) -> tuple[list[tuple[int, int]], list[list[str]]]:
     clean = without_page_matter(text, report)
@@ -223,13 +296,8 @@ def _units(text: str, report: str | None, st: S.Statistics) -> tuple[list[tuple[
     return spans, [words_of(clean[a:b]) for a, b in spans]
 
 
-def stretches(spans: list[tuple[int, int]], words: list[list[str]], m: Models) -> list[tuple[int, int, str, float]]:
-    """(start, end, language, confidence) of the stretches of one language in a document whose sentences are spans."""
-    use = [i for i, w in enumerate(words) if w]
-    letters = sum(len(w) for i in use for w in words[i])
-    if letters < FEWEST:
-        return [(0, spans[-1][1] if spans else 0, "und", 1.0)]
-    scores = np.stack([m.scores(words[i]) for i in use])
+def _path(scores: np.ndarray) -> list[int]:
+    """The language of each sentence by Viterbi with the cost CHANGE."""
     best, back = scores[0].copy(), []
     for row in scores[1:]:
         top = int(best.argmax())
@@ -239,31 +307,42 @@ def stretches(spans: list[tuple[int, int]], words: list[list[str]], m: Models) -
     path = [int(best.argmax())]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
-    path.reverse()
+    return path[::-1]
+
+
+def stretches(spans: list[tuple[int, int]], words: list[list[str]], scores: np.ndarray, sizes: np.ndarray, m: Models) -> list[tuple[int, int, str, float]]:
+    """(start, end, language, confidence) of the stretches of one language in a document whose sentences are spans."""
+    use = [i for i, w in enumerate(words) if w]
+    if int(sizes.sum()) - sum(len(words[i]) for i in use) < FEWEST:
+        return [(0, spans[-1][1] if spans else 0, "und", 1.0)]
+    scores, sizes = scores[use], sizes[use]
+    top = scores.argmax(axis=1)
+    path = [int(top[0])] * len(use) if (top == top[0]).all() else _path(scores)
     out: list[list] = []
-    for i, code, row in zip(use, path, scores):
+    for k, (i, code) in enumerate(zip(use, path)):
         if out and out[-1][2] == code:
-            out[-1][1], out[-1][3] = spans[i][1], out[-1][3] + row
-            out[-1][4] += sum(len(w) + 1 for w in words[i])
+            out[-1][1], out[-1][4] = spans[i][1], k + 1
+        else:
+            out.append([spans[i][0] if out else 0, spans[i][1], code, k, k + 1])
+    got: list[tuple[int, int, str, float]] = []
+    for a, b, code, x, y in out:
+        row = scores[x:y].sum(axis=0)
+        none = m.rejection(row[code], int(sizes[x:y].sum()), m.codes[code])
+        lang, sure = ("und", none) if none is not None else (m.codes[code], m.confidence(row, code))
+        if got and got[-1][2] == lang:
+            got[-1] = got[-1][0], b, lang, min(got[-1][3], sure)
         else:
-            out.append([spans[i][0] if out else 0, spans[i][1], code, row.copy(), sum(len(w) + 1 for w in words[i])])
-    if len(out) == 1:
-        a, b, code, row, n = out[0]
-        if -row[code] / n > m.limits[m.codes[code]]:
-            return [(a, b, "und", 1.0 - m.confidence(row, code))]
-    return [(a, b, m.codes[code], m.confidence(row, code)) for a, b, code, row, _ in out]
+            got.append((a, b, lang, sure))
+    return got
 
 
-def train(sample: list[tuple[str, str, str | None]], st: S.Statistics) -> Models:
-    """Models from (language, text, report) rows.
+def train(sample: list[tuple[int, str, list[str]]]) -> Models:
+    """Models from (document, language, words of a sentence) rows.
 
     Each half of the sample is cleaned by models trained on the other half: a sentence that another language explains
     better is dropped, with its document where most are, so documents with a wrong label don't teach their words to that label's model.
     """
-    units = []
-    for k, (code, text, report) in enumerate(sample):
-        _, words = _units(text, report, st)
-        units += [(k, code, w) for w in words if w]
+    units = [u for u in sample if u[2]]
 
     def seeded() -> dict[str, Counter]:
         return {c: Counter(s.split() * 2) for c, s in SEEDS.items()}
@@ -275,73 +354,99 @@ def train(sample: list[tuple[str, str, str | None]], st: S.Statistics) -> Models
             if k % 2 != half:
                 counts[code].update(w)
         judge = Models(counts)
-        own = [(k, code, w) for k, code, w in units if k % 2 == half]
-        judge.learn({x for _, _, w in own for x in w})
-        own = [(k, code, w, judge.codes[int(judge.scores(w).argmax())] == code) for k, code, w in own]
+        own = [u for u in units if u[0] % 2 == half]
+        top = judge.scores([w for _, _, w in own])[0].argmax(axis=1) if own else []
+        own = [(k, code, w, judge.codes[t] == code) for (k, code, w), t in zip(own, top)]
         right, every = Counter(k for k, _, _, ok in own if ok), Counter(k for k, *_ in own)
-        kept += [(code, w) for k, code, w, ok in own if ok and 2 * right[k] >= every[k]]
+        kept += [(k, code, w) for k, code, w, ok in own if ok and 2 * right[k] >= every[k]]
     counts = seeded()
-    for k, (code, w) in enumerate(kept):  # every tenth sentence is kept back for the calibration
-        if k % 10:
+    # whole documents are kept back for the calibration, every tenth
+    number = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in kept))}
+    for k, code, w in kept:
+        if number[k] % 10:
             counts[code].update(w)
     m = Models(counts)
-    m.learn({x for _, w in kept for x in w})
-    back = [(code, m.scores(w), sum(len(x) + 1 for x in w)) for k, (code, w) in enumerate(kept) if k % 10 == 0]
+    back = [u for u in kept if number[u[0]] % 10 == 0]
     if back:
         at = {c: i for i, c in enumerate(m.codes)}
+        scores, sizes = m.scores([w for _, _, w in back])
+        own = np.array([at[c] for _, c, _ in back])
+        mine = scores[np.arange(len(back)), own]
 
         def loss(t: float) -> float:
-            z = [np.log(np.exp(np.clip((s - s[at[c]]) * t, -60, 60)).sum()) for c, s, _ in back]
-            return float(np.mean(z))
+            return float(np.mean(np.log(np.exp(np.clip((scores - mine[:, None]) * t, -60, 60)).sum(axis=1))))
 
         m.temperature = min((0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0), key=loss)
-        for c in m.codes:
-            own = np.array([-s[at[c]] / n for code, s, n in back if code == c])
-            if len(own) >= 20:
-                m.limits[c] = float(own.mean() + LIMIT * own.std() + 0.5)
-    m.held = {}
+        m.calibrate([(k, c, float(s), int(n)) for (k, c, _), s, n in zip(back, mine, sizes)])
+    m.forget()
     return m
 
 
-def sample_of(documents: DataFrame, size: int = SAMPLE) -> list[tuple[str, str, str | None]]:
-    """About `size` labelled documents a language, drawn by the hash of their id."""
+def _spaced(items: list, most: int) -> list:
+    """At most `most` evenly spaced items."""
+    return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
+
+
+def sample_of(documents: DataFrame, st, size: int = SAMPLE) -> list[tuple[int, str, list[str]]]:
+    """(document, language, words of a sentence) of about `size` labelled documents a language, drawn by the hash of their id; st: the broadcast statistics."""
     names = sorted(n for n, c in _CODES.items() if c != "und")
     label = F.lower(F.trim(F.col("lang")))
     head = F.split(label, "[-_ ]")[0]
     code = F.create_map(*[F.lit(x) for n in names for x in (n, _CODES[n])])
-    named = documents.select("doc_id", "text", "report", F.coalesce(code[label], code[head]).alias("code")).where("code is not null and trim(text) <> ''")
+    named = documents.select("doc_id", "text", "report", F.coalesce(code[label], code[head]).alias("code")).where("code is not null")
     n = {r[0]: r[1] for r in named.groupBy("code").count().collect()}  # a row a language
     if not n:
         return []
     share = F.create_map(*[F.lit(x) for c, k in n.items() for x in (c, min(1.0, size / k))])
-    drawn = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share[F.col("code")]).where(F.length("text") < 100_000)
-    rows = drawn.select("doc_id", "code", "text", "report").collect()  # about `size` a language
-    return [(r[1], r[2], r[3]) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
+    drawn = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share[F.col("code")]).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, codes, held = [], [], []
+            for doc, lang, text, report in zip(*(b.column(c).to_pylist() for c in ("doc_id", "code", "text", "report"))):
+                for words in _spaced([w for w in _units(text, report, st.value)[1] if w], SENTENCES):
+                    ids.append(doc)
+                    codes.append(lang)
+                    held.append(_spaced([p for w in _spaced(words, WORDS) for p in (w[i:i + LETTERS] for i in range(0, len(w), LETTERS))], 4 * WORDS))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.string()), pa.array(held, pa.list_(pa.string()))], ["doc", "code", "words"])
+
+    rows = drawn.mapInArrow(run, "doc long, code string, words array<string>").collect()  # the bounded sample
+    number = {d: k for k, d in enumerate(sorted({r[0] for r in rows}))}
+    return sorted(((number[r[0]], r[1], r[2]) for r in rows), key=lambda r: (r[0], r[1]))
 
 
 def language_stretches(documents: DataFrame) -> DataFrame:
     """doc_id, char_start, char_end, lang, confidence of every stretch; label: the language that the document's label names."""
-    spark = documents.sparkSession
-    st = S.corpus_statistics(documents)
-    sent = spark.sparkContext.broadcast((train(sample_of(documents), st), st))  # of the sample's size
+    context = documents.sparkSession.sparkContext
+    statistics = context.broadcast(S.corpus_statistics(documents))
+    sent = context.broadcast(train(sample_of(documents, statistics)))  # of the sample's size
+
+    def judged(docs: list[tuple], m: Models) -> pa.RecordBatch:
+        scores, sizes = m.scores([w for _, _, u in docs for w in u[1]])
+        rows, at = [], 0
+        for doc, lang, (spans, words) in docs:
+            end = at + len(words)
+            got = stretches(spans, words, scores[at:end], sizes[at:end], m)
+            rows += [(doc, a, b, c, p, len(got), label_code(lang)) for a, b, c, p in got]
+            at = end
+        cols = list(zip(*rows)) if rows else [[]] * 7
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.string())],
+            ["doc_id", "char_start", "char_end", "lang", "confidence", "stretches", "label"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, stats = sent.value
+        m, st = sent.value, statistics.value
         for batch in batches:
-            units = []
-            for text, report in zip(batch.column("text").to_pylist(), batch.column("report").to_pylist()):
-                units.append(_units(text, report, stats) if text and text.strip() else None)
-            m.learn({w for u in units if u for ws in u[1] for w in ws})
-            rows = []
-            for doc, lang, u in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), units):
-                if u is not None:
-                    got = stretches(*u, m)
-                    rows += [(doc, a, b, c, p, len(got), label_code(lang)) for a, b, c, p in got]
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.string())],
-                ["doc_id", "char_start", "char_end", "lang", "confidence", "stretches", "label"],
-            )
+            docs, n = [], 0
+            for doc, lang, text, report in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "report"))):
+                if text and text.strip():
+                    docs.append((doc, lang, _units(text, report, st)))
+                    n += len(text)
+                if n > 2_000_000:  # characters judged together
+                    yield judged(docs, m)
+                    docs, n = [], 0
+            yield judged(docs, m)
 
     schema = "doc_id long, char_start int, char_end int, lang string, confidence double, stretches int, label string"
     return documents.select("doc_id", "text", "lang", "report").mapInArrow(run, schema)

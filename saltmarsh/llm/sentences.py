@@ -58,6 +58,7 @@ _EAST = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 _LOWER_WORDS = re.compile(r"(?<![\w-])[^\W\d_A-Z]{2,}(?![\w-])")
 
 # unambiguous places
+_FIGURE_EAST = re.compile(r"\d[\d.,]*\s?[A-Za-z°%µ/·⁻¹²³-]*\s?[぀-ヿ㐀-鿿ｦ-ﾟก-๛]")
 _FIGURE = re.compile(r"\d")
 _FIRST = re.compile(r"[(\"“„«¿¡]*([^\W\d_][\w'’\-]*)")
 _BEHIND_END = re.compile(r"[!?.]\s+[(\"“„«¿¡]*([^\W\d_][\w'’\-]*)")
@@ -288,6 +289,8 @@ def _ends(p: str, dot: int, after: int, doc: Document, st: Statistics) -> bool:
         said = doc.abbreviates(token, by_corpus) if token.isalpha() or not _FIGURE.search(token) else False
     abbreviated = by_corpus if said is None else said
     if not word:
+        if _FIGURE_EAST.match(p, after) and not _EAST.match(p, dot - 1):  # a figure in a sentence of another script
+            return True
         if abbreviated and k < len(p) and p[k].isdigit():
             return False
         return not nxt.isdigit() and not (nxt in ",;:%)" or nxt in "–—-/=")

@@ -184,3 +184,24 @@ def test_stretches(spark):
 
 def test_no_documents(spark):
     assert wrong_labels(spark.createDataFrame([], "doc_id long, text string, lang string, report string")).count() == 0
+
+
+def test_rejection_is_calibrated_for_stretches_too(spark):
+    """A text in no known language is `und`, alone and within a document; texts of the sample aren't."""
+    import random
+
+    r = random.Random(1)
+    lines = {"en": "the pump of the loop was stopped and the salt in the tank has been cooled by the crew at night", "de": "die Pumpe wurde angehalten und das Salz in dem Tank ist von der Mannschaft in der Nacht gekühlt worden"}
+    rows = []
+    for k in range(900):
+        code = "en" if k % 2 else "de"
+        text = " ".join(" ".join(r.choice(lines[code].split()) for _ in range(12)).capitalize() + "." for _ in range(6))
+        rows.append((k, text, code, None))
+    odd = " ".join("".join(r.choice("qxzwvkj") for _ in range(7)) for _ in range(30)).capitalize() + "."
+    rows += [(1000, odd, None, None), (1001, f"{rows[1][1]}\n\n{odd} {odd}", None, None)]
+    got: dict = {}
+    for x in language_stretches(spark.createDataFrame(rows, "doc_id long, text string, lang string, report string")).collect():
+        got.setdefault(x.doc_id, []).append((x.char_start, x.lang, x.confidence))
+    assert [x[1] for x in got[1000]] == ["und"] and [x[1] for x in sorted(got[1001])] == ["en", "und"]
+    assert all(len(got[k]) == 1 and got[k][0][1] == ("en" if k % 2 else "de") for k in range(900))
+    assert all(0.0 < p <= 1.0 for v in got.values() for _, _, p in v)

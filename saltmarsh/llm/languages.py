@@ -73,6 +73,10 @@ FEWEST = 6
 
 _CODES = {n: code for code, names in NAMES.items() for n in names.split()}
 _TOKEN = re.compile(r"(?<![\w/])(?:[^\W\d_฀-๿぀-ヿㇰ-ㇿ㐀-鿿ｦ-ﾟ]+(?:['’][^\W\d_]+)*(?![\w/]|-\d)|[฀-๿]+|[぀-ヿㇰ-ㇿ㐀-鿿ｦ-ﾟ々]+)|[฀-๿]+|[぀-ヿㇰ-ㇿ㐀-鿿ｦ-ﾟ々]+")
+#: The same for ASCII texts.
+_ASCII_TOKEN = re.compile(r"(?<![\w/])[A-Za-z]+(?:'[A-Za-z]+)*(?![\w/]|-\d)", re.ASCII)
+#: Every place where a sentence may end.
+_MAY_END = re.compile(r"[.!?…。！？．｡‼⁉]+|\n[ \t\r\x0b\f]*\n|(?<=[ก-๛])\s+")
 _BASE = np.uint64(1099511628211)
 
 
@@ -100,7 +104,7 @@ _FORMS = _Forms()
 
 def words_of(text: str) -> list[str]:
     """Words in lower case; formulas, acronyms and single capitals are no words."""
-    return [w for t in _TOKEN.findall(text) if (w := _FORMS[t])]
+    return [w for t in (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text) if (w := _FORMS[t])]
 
 
 def without_page_matter(text: str, report: str | None) -> str:
@@ -289,9 +293,13 @@ class Models:
             return None
         return 1.0 - 0.5 * math.exp(-(z - self.tail[2]) / self.tail[1])
 
+    def named(self, row: np.ndarray, n: int, code: int) -> tuple[str, float]:
+        """The language of a text whose best model is `code`, or `und`, with the confidence."""
+        none = self.rejection(row[code], n, self.codes[code])
+        return ("und", none) if none is not None else (self.codes[code], self.confidence(row, code))
 
-def _units(text: str, report: str | None, st: S.Statistics) -> tuple[list[tuple[int, int]], list[list[str]]]:
-    clean = without_page_matter(text, report)
+
+def _units(clean: str, st: S.Statistics) -> tuple[list[tuple[int, int]], list[list[str]]]:
     spans = S.sentences(clean, st)
     return spans, [words_of(clean[a:b]) for a, b in spans]
 
@@ -313,22 +321,17 @@ def _path(scores: np.ndarray) -> list[int]:
 def stretches(spans: list[tuple[int, int]], words: list[list[str]], scores: np.ndarray, sizes: np.ndarray, m: Models) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of the stretches of one language in a document whose sentences are spans."""
     use = [i for i, w in enumerate(words) if w]
-    if int(sizes.sum()) - sum(len(words[i]) for i in use) < FEWEST:
-        return [(0, spans[-1][1] if spans else 0, "und", 1.0)]
     scores, sizes = scores[use], sizes[use]
-    top = scores.argmax(axis=1)
-    path = [int(top[0])] * len(use) if (top == top[0]).all() else _path(scores)
     out: list[list] = []
-    for k, (i, code) in enumerate(zip(use, path)):
+    for k, (i, code) in enumerate(zip(use, _path(scores))):
         if out and out[-1][2] == code:
             out[-1][1], out[-1][4] = spans[i][1], k + 1
         else:
             out.append([spans[i][0] if out else 0, spans[i][1], code, k, k + 1])
+    out[-1][1] = spans[-1][1]
     got: list[tuple[int, int, str, float]] = []
     for a, b, code, x, y in out:
-        row = scores[x:y].sum(axis=0)
-        none = m.rejection(row[code], int(sizes[x:y].sum()), m.codes[code])
-        lang, sure = ("und", none) if none is not None else (m.codes[code], m.confidence(row, code))
+        lang, sure = m.named(scores[x:y].sum(axis=0), int(sizes[x:y].sum()), code)
         if got and got[-1][2] == lang:
             got[-1] = got[-1][0], b, lang, min(got[-1][3], sure)
         else:
@@ -336,6 +339,35 @@ def stretches(spans: list[tuple[int, int]], words: list[list[str]], scores: np.n
     return got
 
 
+def judge(texts: list[str], m: Models, st: S.Statistics) -> list[list[tuple[int, int, str, float]]]:
+    """The stretches of each text.
+
+    A text is cut wherever a sentence may end, so every sentence is made of whole pieces. If no language gains CHANGE / 2
+    or more over the text's best one on the pieces it explains better, no path with a change can pay for its changes, and
+    the text is in one language without its sentences being known. Only the others are cut into sentences.
+    """
+    pieces = [[w for p in _MAY_END.split(t) if (w := words_of(p))] for t in texts]
+    n = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    scores, sizes = m.scores([w for p in pieces for w in p])
+    out: list = [None] * len(texts)
+    some = np.flatnonzero(n)
+    if len(some):
+        starts = (np.cumsum(n) - n)[some]
+        whole, letters = np.add.reduceat(scores, starts, axis=0), np.add.reduceat(sizes, starts)
+        top = whole.argmax(axis=1)
+        own = scores[np.arange(len(scores)), np.repeat(top, n[some])]
+        gains = np.add.reduceat(np.maximum(scores - own[:, None], 0.0), starts, axis=0).max(axis=1)
+        for k, row, size, code, gain in zip(some.tolist(), whole, letters.tolist(), top.tolist(), gains.tolist()):
+            if size - sum(map(len, pieces[k])) < FEWEST:
+                continue
+            if gain < CHANGE / 2:
+                out[k] = [(0, len(texts[k].rstrip()), *m.named(row, size, code))]
+            else:
+                spans, words = _units(texts[k], st)
+                out[k] = stretches(spans, words, *m.scores(words), m)
+    return [[(0, len(t.rstrip()), "und", 1.0)] if got is None else got for t, got in zip(texts, out)]
+
+
 def train(sample: list[tuple[int, str, list[str]]]) -> Models:
     """Models from (document, language, words of a sentence) rows.
 
@@ -404,7 +436,7 @@ def sample_of(documents: DataFrame, st, size: int = SAMPLE) -> list[tuple[int, s
         for b in batches:
             ids, codes, held = [], [], []
             for doc, lang, text, report in zip(*(b.column(c).to_pylist() for c in ("doc_id", "code", "text", "report"))):
-                for words in _spaced([w for w in _units(text, report, st.value)[1] if w], SENTENCES):
+                for words in _spaced([w for w in _units(without_page_matter(text, report), st.value)[1] if w], SENTENCES):
                     ids.append(doc)
                     codes.append(lang)
                     held.append(_spaced([p for w in _spaced(words, WORDS) for p in (w[i:i + LETTERS] for i in range(0, len(w), LETTERS))], 4 * WORDS))
@@ -421,14 +453,11 @@ def language_stretches(documents: DataFrame) -> DataFrame:
     statistics = context.broadcast(S.corpus_statistics(documents))
     sent = context.broadcast(train(sample_of(documents, statistics)))  # of the sample's size
 
-    def judged(docs: list[tuple], m: Models) -> pa.RecordBatch:
-        scores, sizes = m.scores([w for _, _, u in docs for w in u[1]])
-        rows, at = [], 0
-        for doc, lang, (spans, words) in docs:
-            end = at + len(words)
-            got = stretches(spans, words, scores[at:end], sizes[at:end], m)
-            rows += [(doc, a, b, c, p, len(got), label_code(lang)) for a, b, c, p in got]
-            at = end
+    def judged(docs: list[tuple[int, str | None, str]], m: Models, st: S.Statistics) -> pa.RecordBatch:
+        rows = []
+        for (doc, lang, _), got in zip(docs, judge([t for _, _, t in docs], m, st)):
+            label = label_code(lang)
+            rows += [(doc, a, b, c, p, len(got), label) for a, b, c, p in got]
         cols = list(zip(*rows)) if rows else [[]] * 7
         return pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.string())],
@@ -441,12 +470,12 @@ def language_stretches(documents: DataFrame) -> DataFrame:
             docs, n = [], 0
             for doc, lang, text, report in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "report"))):
                 if text and text.strip():
-                    docs.append((doc, lang, _units(text, report, st)))
+                    docs.append((doc, lang, without_page_matter(text, report)))
                     n += len(text)
                 if n > 2_000_000:  # characters judged together
-                    yield judged(docs, m)
+                    yield judged(docs, m, st)
                     docs, n = [], 0
-            yield judged(docs, m)
+            yield judged(docs, m, st)
 
     schema = "doc_id long, char_start int, char_end int, lang string, confidence double, stretches int, label string"
     return documents.select("doc_id", "text", "lang", "report").mapInArrow(run, schema)

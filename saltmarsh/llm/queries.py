@@ -64,14 +64,15 @@ with words as (
   select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+') as w from documents where text is not null
 ), grams as (
   select doc_id, k as n, array_to_string(w[i:i + k - 1], ' ') as ngram
-  from words, unnest(range(1, 4)) t(k), unnest(range(1, len(w) - k + 2)) u(i) where len(w) >= k
+  from words, unnest(range(1, (select max(len(regexp_extract_all(lower(term), '[\p{L}\p{N}\p{M}_]+'))) from candidates) + 1)) t(k), unnest(range(1, len(w) - k + 2)) u(i) where len(w) >= k
 ), counted as (
   select ngram, cast(n as int) as n, count(*) as occurrences, count(distinct doc_id) as records from grams group by 1, 2
 )
 select *, case when records < 3 then 'rare' when records > 0.05 * (select count(*) from documents) then 'common' else 'useful' end as mark from counted
 """)
 def p6_ngrams(spark: SparkSession, base: str) -> DataFrame:
-    return frequencies.ngram_frequencies(table(spark, base, "documents"))
+    """All n-grams up to the length of the longest candidate term."""
+    return frequencies.ngram_frequencies(table(spark, base, "documents"), frequencies.longest_term(table(spark, base, "candidates")))
 
 
 @query()

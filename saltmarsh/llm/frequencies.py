@@ -48,10 +48,11 @@ class SuffixArray:
     """The suffixes of records in order, with the common prefix of neighbours.
 
     codes: numbers (at least 1) of the words of all records, one record after the other; size: words of each record;
-    tie: a number for each record by which equal suffixes are ordered.
+    tie: a number for each record by which equal suffixes are ordered. With longest, suffixes are only told apart by so
+    many words, and a common prefix of more counts as any number from longest on.
     """
 
-    def __init__(self, codes: np.ndarray, size: np.ndarray, tie: np.ndarray | None = None) -> None:
+    def __init__(self, codes: np.ndarray, size: np.ndarray, tie: np.ndarray | None = None, longest: int | None = None) -> None:
         records = len(size)
         self.record = np.repeat(np.arange(records), size)
         ends = np.cumsum(size)
@@ -64,7 +65,7 @@ class SuffixArray:
         where = np.arange(len(codes)) + self.record
         levels = [np.unique(text, return_inverse=True)[1]]
         n, step = len(text), 1
-        while len(levels[-1]) and levels[-1].max() + 1 < n:
+        while len(levels[-1]) and levels[-1].max() + 1 < n and (longest is None or step < longest):
             rank = levels[-1]
             second = np.zeros(n, dtype=np.int64)
             second[:-step] = rank[step:] + 1
@@ -213,7 +214,7 @@ WORDS = regex.compile(r"[\p{L}\p{N}\p{M}_]+")
 
 
 #: Words of one suffix array of texts.
-WORDS_A_BLOCK = 2_000_000
+WORDS_A_BLOCK = 1_000_000
 
 
 def _ngrams(longest: int | None):
@@ -221,7 +222,7 @@ def _ngrams(longest: int | None):
         number: dict[str, int] = {}
         codes = np.array([number.setdefault(w, len(number) + 1) for ws in split for w in ws], dtype=np.int64)
         names = np.array(["", *number], dtype=object)
-        array = SuffixArray(codes, np.array([len(ws) for ws in split]))
+        array = SuffixArray(codes, np.array([len(ws) for ws in split]), longest=longest)
         for n, first, occurrences, records in array.intervals(longest):
             grams = names[codes[first]]
             for k in range(1, n):

@@ -29,7 +29,7 @@ def test_intervals_of_all_lengths_against_counting(seed, longest):
     texts = [[r.randint(1, 3) for _ in range(r.randint(0, 14))] for _ in range(30)]
     texts += [list(t) for t in texts[:5]]  # copies
     codes = np.array([c for t in texts for c in t])
-    array = SuffixArray(codes, np.array([len(t) for t in texts]))
+    array = SuffixArray(codes, np.array([len(t) for t in texts]), longest=longest)
     got = {tuple(codes[i:i + n].tolist()): (int(a), int(b)) for n, first, occ, rec in array.intervals(longest) for i, a, b in zip(first, occ, rec)}
     assert got == counted(texts, longest)
 

@@ -85,6 +85,12 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack_documents(table(spark, base, "documents"))
 
 
+@query()
+def p8_lengths(spark: SparkSession, base: str) -> DataFrame:
+    """Containers of several lengths, where a container also costs the square of its length."""
+    return packing.pack_documents(table(spark, base, "documents"), cost=packing.ATTENTION)
+
+
 @query()
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return languages.wrong_labels(table(spark, base, "documents"))

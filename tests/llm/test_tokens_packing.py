@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from saltmarsh.llm.packing import CAPACITY, pack, plan
+from saltmarsh.llm.packing import ATTENTION, CAPACITY, FULL, LENGTHS, best_plan, pack, plan
 from saltmarsh.llm.tokens import VOCABULARIES, Encoder, encode_documents
 
 FILE = Path(VOCABULARIES) / "byte_bpe_50k.json"
@@ -80,3 +80,20 @@ def test_a_hot_size(spark):
     rows = pack(spark.range(5000).selectExpr("id AS item", "500 AS size")).toPandas()
     assert rows.groupby("bin")["size"].sum().max() <= CAPACITY and len(rows) == 5000 and rows["bin"].nunique() == 1250
     assert not rows.duplicated(["bin", "bin_offset"]).any()
+
+
+def _cost(rows, cost):
+    return sum(cost(r[6]) * r[3] for r in rows if r[5] == 0)
+
+
+def test_lengths_are_chosen_jointly():
+    random.seed(3)
+    h = Counter(min(CAPACITY, int(random.lognormvariate(5, 1)) + 1) for _ in range(20000))
+    full, mixed = best_plan(h), best_plan(h, cost=ATTENTION)
+    assert {r[6] for r in full if r[3] > 1} == {2048} and len({r[6] for r in mixed if r[3] > 1}) >= 3
+    one = plan(h, (2048,), ATTENTION, LENGTHS)
+    assert _cost(mixed, ATTENTION) < 0.9 * _cost(one, ATTENTION) and _cost(full, FULL) <= _cost(mixed, FULL)
+    tokens = sum(s * n for s, n in h.items())
+    for rows in (full, mixed):
+        assert sum(r[0] * r[2] * r[3] for r in rows) == tokens
+        assert sum(r[6] * r[3] for r in rows if r[5] == 0) < 1.02 * tokens

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm import sentences as S
-from saltmarsh.llm.scans import furniture
+from saltmarsh.llm.scans import Matter, learn_matter
 
 #: Language codes with the names and codes that stand for them in labels.
 NAMES = {
@@ -107,7 +107,7 @@ def words_of(text: str) -> list[str]:
     return [w for t in (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text) if (w := _FORMS[t])]
 
 
-def without_page_matter(text: str, report: str | None) -> str:
+def without_page_matter(text: str, report: str | None, matter: Matter) -> str:
     """text with running headers, footers and page numbers blanked; offsets stay."""
     if "\f" not in text and "\n" not in text:
         return text
@@ -115,7 +115,7 @@ def without_page_matter(text: str, report: str | None) -> str:
     pages = text.split("\f")
     for page in pages:
         lines = page.split("\n")
-        off = furniture(lines, report, False)
+        off = matter.lines(lines, report, False)
         if off:
             pos = at
             for i, line in enumerate(lines):
@@ -419,8 +419,8 @@ def _spaced(items: list, most: int) -> list:
     return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
 
 
-def sample_of(documents: DataFrame, st, size: int = SAMPLE) -> list[tuple[int, str, list[str]]]:
-    """(document, language, words of a sentence) of about `size` labelled documents a language, drawn by the hash of their id; st: the broadcast statistics."""
+def sample_of(documents: DataFrame, known, size: int = SAMPLE) -> list[tuple[int, str, list[str]]]:
+    """(document, language, words of a sentence) of about `size` labelled documents a language, drawn by the hash of their id; known: the broadcast page matter and statistics."""
     names = sorted(n for n, c in _CODES.items() if c != "und")
     label = F.lower(F.trim(F.col("lang")))
     head = F.split(label, "[-_ ]")[0]
@@ -433,10 +433,11 @@ def sample_of(documents: DataFrame, st, size: int = SAMPLE) -> list[tuple[int, s
     drawn = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share[F.col("code")]).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matter, st = known.value
         for b in batches:
             ids, codes, held = [], [], []
             for doc, lang, text, report in zip(*(b.column(c).to_pylist() for c in ("doc_id", "code", "text", "report"))):
-                for words in _spaced([w for w in _units(without_page_matter(text, report), st.value)[1] if w], SENTENCES):
+                for words in _spaced([w for w in _units(without_page_matter(text, report, matter), st)[1] if w], SENTENCES):
                     ids.append(doc)
                     codes.append(lang)
                     held.append(_spaced([p for w in _spaced(words, WORDS) for p in (w[i:i + LETTERS] for i in range(0, len(w), LETTERS))], 4 * WORDS))
@@ -450,8 +451,9 @@ def sample_of(documents: DataFrame, st, size: int = SAMPLE) -> list[tuple[int, s
 def language_stretches(documents: DataFrame) -> DataFrame:
     """doc_id, char_start, char_end, lang, confidence of every stretch; label: the language that the document's label names."""
     context = documents.sparkSession.sparkContext
-    statistics = context.broadcast(S.corpus_statistics(documents))
-    sent = context.broadcast(train(sample_of(documents, statistics)))  # of the sample's size
+    scanned = documents.where(F.col("text").contains("\f")).select("report", F.explode(F.split("text", "\f")).alias("text"))
+    known = context.broadcast((learn_matter(scanned, keys=False)[0], S.corpus_statistics(documents)))
+    sent = context.broadcast(train(sample_of(documents, known)))  # of the sample's size
 
     def judged(docs: list[tuple[int, str | None, str]], m: Models, st: S.Statistics) -> pa.RecordBatch:
         rows = []
@@ -465,12 +467,12 @@ def language_stretches(documents: DataFrame) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, st = sent.value, statistics.value
+        m, (matter, st) = sent.value, known.value
         for batch in batches:
             docs, n = [], 0
             for doc, lang, text, report in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "report"))):
                 if text and text.strip():
-                    docs.append((doc, lang, without_page_matter(text, report)))
+                    docs.append((doc, lang, without_page_matter(text, report, matter)))
                     n += len(text)
                 if n > 2_000_000:  # characters judged together
                     yield judged(docs, m, st)

@@ -2,10 +2,16 @@
 
 A noisy channel: what was printed went through a reader that confuses characters, tears words and breaks them at line
 ends. The language model (words and pairs of neighbours) is counted over all running text of the corpus, the
-probabilities of the confusions over all scanned pages, from words that become known by undoing one confusion. For
-each line, the candidates of its tokens (as read, with confusions undone, joined with the next token) form a lattice
-that Viterbi decodes. Running headers, footers and page numbers are taken off first, so a word broken at the end of a
-page finds its rest on the next.
+probabilities of the confusions over all scanned pages, from words that become known by undoing one confusion. A doubtful
+word is decoded character by character along the prefixes of the vocabulary, with any number of confusions undone; for
+each line, the candidates of its tokens (as read, decoded, joined with the next token) form a lattice that Viterbi
+decodes.
+
+Running headers, footers and page numbers are taken off first, so a word broken at the end of a page finds its rest on
+the next. They are found by repetition: a line at a page's edge is page matter if, figures aside, it stands in the
+same place on several pages of its report, or if lines of its shape (kinds of words, figures, the report's own number) stand at the
+edges of the pages of the corpus far more often than inside them. A line of figures only, or with a figure set apart by
+a gap, and a line that begins or ends with the report's number need no repetition.
 
 Defined results: null, empty and blank texts give no row; a text of one line has no broken words; equal rows count
 once; an unknown word without a known likeness stays as it is; empty tables give an empty result.
@@ -13,12 +19,14 @@ once; an unknown word without a known likeness stays as it is; empty tables give
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,62 +48,140 @@ LEAST = 2e-6
 PAGES = 0.02
 #: A word of clean text is known if its share there is at least this part of its share on scanned pages: a misreading is far more frequent on them, whatever the size of the input.
 KNOWN = 0.02
+#: Letters from which on every further one makes an unknown word less likely, by as much as each of those.
+LETTERS = 9
 #: Share of words that are torn by a blank, and the least probability of a confusion.
 TORN, FLOOR = 2e-3, 1e-6
 UNKNOWN = 1e-13
-MOST_UNDONE = 3
 
 _EDGE = ".,;:()[]{}\"'’‘«»“”„?!…—–¿¡*"
 _HYPHENS = "-‐‑¬\xad"
 _NUMBER = re.compile(r"[+-]?\d+(?:[.,:]\d+)*(?:[eE]-?\d+)?%?(?:[-–/]\d+(?:[.,]\d+)*)?\Z")
 _COMPOUND = re.compile(r"(?:[A-Z][a-z]?F\d?)(?:[-/][A-Z][a-z]?F\d?)*\Z")
-_ROMAN = re.compile(r"(?:[ivxlc]{1,8}|[IVXLC]{2,8})\Z")
-_PAGE_NO = re.compile(r"(?:[\[({<]?\s*[\dlIOSB]{1,4}\s*[\])}>]?|[-–—]\s*[\dlIOSB]{1,4}\s*[-–—]|P\S{2,3}\s+[\dlIOSB]{1,4}(?:\s+\S{2}\s+[\dlIOSB]{1,4})?)\Z")
-_NUMBERED = re.compile(r"(?:[\dlIOSB]{1,4}\s{2,}\S.*[^.!?]|\S.*\S\s{2,}[\dlIOSB]{1,4})\Z")
-_SMALL = {"of", "the", "and", "for", "in", "on", "at", "a"}
+_SEPARATOR = re.compile(r"[-/'’]")
+_SEPARATED = re.compile(r"[^-/'’]+[-/'’]")
+_ROMAN = re.compile(r"(?:[ivxlc]+|[IVXLC]{2,})\Z")
+_MARKS = ".,;:!?()[]{}<>\"'«»“”„-–—/"
+_FIGURE_LIKE = re.compile(r"[\dlIOSB|]*\d[\dlIOSB|]*\Z")
+_NUMBER_LINE = re.compile(r"[\[\](){}<>|/\s–—-]*(?:[#r]|R#?)(?:[\[\](){}<>|/\s–—-]+(?:[#r]|R#?))*[\[\](){}<>|/\s–—-]*\Z")
+_GAP = re.compile(r"(?P<left>\S.*?)\s{2,}(?P<right>\S.*)\Z")
+#: A shape is page matter from so many edges on, if its share of all edges is so many times (in nats) that of all inner lines.
+EDGES, ODDS = 6, 3.0
+#: A line is repeated from two pages on, and on this share of its report's pages.
+REPEATED = 0.1
 
 
 def _like(a: str, b: str, most: int) -> bool:
-    """Whether two texts of about equal length differ in at most `most` places."""
-    return abs(len(a) - len(b)) <= most and sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b)) <= most
+    """Whether two texts of equal length differ in at most `most` places."""
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= most
+
+
+def line_key(line: str, depth: int) -> int:
+    """What repeated lines have in common: the hash of their text without its figures and of their place, counted from the top or, below 0, from the bottom."""
+    return xxhash.xxh64_intdigest(f"{depth} " + re.sub(r"\d+", "#", " ".join(line.split()).lower())) - 2**63
+
+
+def line_shape(line: str, report: str | None) -> str:
+    """The kinds of the words of a line: R(eport number), #, r(oman), U(pper), C(apitalised), l(ower), runs shortened, with their punctuation."""
+    out: list[str] = []
+    for w in line.split():
+        core = w.strip(_MARKS)
+        if not core:
+            out.append(w)
+            continue
+        if report and len(core) >= len(report) and (_like(core[:len(report)], report, 2) or _like(core[-len(report):], report, 2)):
+            kind = "R" if len(core) == len(report) else "R#"
+        elif _FIGURE_LIKE.match(core):
+            kind = "#"
+        elif _ROMAN.match(core):
+            kind = "r"
+        elif core.isupper():
+            kind = "U" if len(core) > 1 else "C"
+        else:
+            kind = "C" if core[0].isupper() or core[0] == "0" else "l" if core[0].isalpha() else "?"
+        at = w.find(core)
+        token = w[:at] + kind + w[at + len(core):]
+        if out and token in "UCl" and out[-1].rstrip("+") == token:
+            out[-1] = f"{token}+"
+        else:
+            out.append(token)
+    return " ".join(out)
+
+
+class Matter:
+    """Shapes of lines that are page matter; picklable, of bounded size."""
+
+    def __init__(self, shapes: frozenset[str] = frozenset()) -> None:
+        self.shapes = shapes
+
+    def holds(self, line: str, report: str | None) -> bool:
+        """Whether a line is page matter by its shape, wherever it stands."""
+        s = line.strip()
+        if not s:
+            return False
+        shape = line_shape(s, report)
+        if shape in self.shapes or _NUMBER_LINE.match(shape):
+            return True
+        if (shape.startswith("R ") or shape.endswith(" R")) and s[-1] not in ".,;:!?":
+            return True
+        m = _GAP.match(s)
+        return bool(m) and s[-1] not in ".!?" and bool(_FIGURE_LIKE.match(m["left"]) or _FIGURE_LIKE.match(m["right"]))
+
+    def lines(self, lines: list[str], report: str | None, everywhere: bool, running: frozenset[int] = frozenset()) -> set[int]:
+        """Numbers of the lines of page matter: from the edges of a page inwards, or everywhere in a quotation that may run over pages."""
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        if everywhere:
+            return {i for i in full if len(full) > 1 and self.holds(lines[i], report)}
+        out: set[int] = set()
+        for order, step in ((full, 1), (full[::-1], -1)):
+            for k, i in enumerate(order):
+                depth = k if step > 0 else -1 - k
+                if i in out or not (running and line_key(lines[i], depth) in running or self.holds(lines[i], report)):
+                    break
+                out.add(i)
+        return out
+
+
+def _lines_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the shapes of lines at and inside the edges of pages, and the lines of each page."""
+    names = ["report", "line", "page", "shape", "edge", "inside"]
+    for b in batches:
+        shapes: dict[str, list[int]] = {}
+        rows = []
+        for report, text in zip(b.column("report").to_pylist(), b.column("text").to_pylist()):
+            full = [x for x in (text or "").split("\n") if x.strip()]
+            if not full:
+                continue
+            page = xxhash.xxh64_intdigest(text) - 2**63
+            rows += [(report, key, page, None, 0, 0) for key in {line_key(x, k if 2 * k < len(full) else k - len(full)) for k, x in enumerate(full)}]
+            rows.append((report, None, page, None, 0, 0))
+            for k, x in enumerate(full):
+                if k in (0, len(full) - 1) or 1 < k < len(full) - 2:  # the second lines may be either
+                    shapes.setdefault(line_shape(x, report), [0, 0])[0 < k < len(full) - 1] += 1
+        rows += [(None, None, None, k, *v) for k, v in shapes.items()]
+        cols = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names)
 
 
-def is_furniture(line: str, report: str | None) -> bool:
-    """Whether a line at a page's edge is a running header, a footer or a page number."""
-    s = line.strip()
-    if not s:
-        return False
-    if _PAGE_NO.match(s) and any(c.isdigit() for c in s) or _ROMAN.match(s):
-        return True
-    if report and (_like(s[:len(report)], report, 2) or _like(s[-len(report):], report, 2)) and (len(s) <= len(report) + 6 or re.search(r"\s[—–-]+\s", s)):
-        return True
-    words = s.split()
-    letters = [c for c in s if c.isalpha()]
-    if len(letters) >= 8 and sum(c.isupper() for c in letters) >= 0.8 * len(letters) and len(words) >= 3 and not re.search(r"[a-z]{3}", s):
-        return True
-    if _NUMBERED.match(s) and sum(w[0].isupper() or w.lower() in _SMALL for w in words if w[0].isalpha()) >= 2:
-        return True
-    named = [w for w in words if w[0].isalpha()]
-    if len(named) < 3 or len(named) < len(words) or any(w[-1] in ".,;:!?)-‐¬\xad" or _COMPOUND.match(w) for w in words):
-        return False
-    return all(w[0].isupper() or w in _SMALL for w in words) and sum(c.isdigit() for c in s) <= 1
-
-
-def furniture(lines: list[str], report: str | None, everywhere: bool) -> set[int]:
-    """Numbers of the lines of page matter: at the edges of a page, or everywhere in a quotation that may run over pages."""
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    if everywhere:
-        return {i for i in full if len(full) > 1 and is_furniture(lines[i], report)}
-    out = set()
-    if full and is_furniture(lines[full[0]], report):
-        out.add(full[0])
-        if len(full) > 2 and is_furniture(lines[full[1]], report):
-            out.add(full[1])
-    if full and full[-1] not in out and is_furniture(lines[full[-1]], report):
-        out.add(full[-1])
-        if len(full) > 3 and full[-2] not in out and is_furniture(lines[full[-2]], report):
-            out.add(full[-2])
-    return out
+def learn_matter(pages: DataFrame, keys: bool = True) -> tuple[Matter, DataFrame | None]:
+    """The shapes of page matter over all pages (report, text), and with keys the lines repeated in their place on the pages of each report (report, running).
+
+    A kept shape makes up at least EDGES edges and a share of 1e-5 of them, so at most 1e5 shapes are sent out.
+    """
+    seen = written(pages.select("report", "text").where("text is not null").mapInArrow(_lines_seen, "report string, line long, page long, shape string, edge long, inside long"), "lines")
+    shapes = seen.where("page is null").groupBy("shape").agg(F.sum("edge").alias("edge"), F.sum("inside").alias("inside"))
+    total = shapes.agg(F.sum("edge"), F.sum("inside")).first()
+    edges, inside = (total[0] or 0) + 1, (total[1] or 0) + 1
+    odds = F.log((F.col("edge") + 0.5) / edges) - F.log((F.col("inside") + 0.5) / inside)
+    kept = shapes.where((F.col("edge") >= EDGES) & (F.col("edge") >= edges * 1e-5) & (odds > ODDS)).select("shape").collect()
+    matter = Matter(frozenset(r[0] for r in kept))
+    if not keys:
+        return matter, None
+    # copies of a page count once
+    each = seen.where("page is not null and report is not null").select("report", "line", "page").distinct().groupBy("report", "line").agg(F.count("*").alias("n"))
+    whole = each.where("line is null").select("report", F.col("n").alias("pages"))
+    often = each.where("line is not null").join(whole, "report").where((F.col("n") >= 2) & (F.col("n") >= F.col("pages") * REPEATED))
+    return matter, often.groupBy("report").agg(F.collect_list("line").alias("running"))  # lines that many of its pages share
 
 
 def strip(token: str) -> str:
@@ -114,14 +200,25 @@ def _class(word: str) -> str:
 class Model:
     """Words, pairs and confusions; picklable, of bounded size."""
 
-    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], int], confusions: dict[tuple[str, str], float] | None = None, known: frozenset[str] | None = None) -> None:
-        self.words, self.pairs = words, pairs
+    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], int], confusions: dict[tuple[str, str], float] | None = None, known: frozenset[str] | None = None, matter: Matter | None = None) -> None:
+        self.words, self.pairs, self.matter = words, pairs, matter or Matter()
         self.known = frozenset(w for w, n in words.items() if n >= 1) if known is None else known
         self.total = sum(words.values()) or 1.0
         self.confusions = confusions or {r: 1e-4 for r in ALIKE}
         self.undo: dict[str, list[tuple[str, float]]] = {}
         for (x, y), p in self.confusions.items():
             self.undo.setdefault(y, []).append((x, math.log(max(p, FLOOR))))
+        # a confusion may be read from a confusion: ü for u, u for ii
+        self.rules: dict[str, list[tuple[str, list[tuple[str, float]]]]] = {}
+        for y, xs in self.undo.items():
+            every = dict(xs)
+            for x, p in xs:
+                for x2, p2 in self.undo.get(x, ()):
+                    if x2 != y and p + p2 > every.get(x2, -math.inf):
+                        every[x2] = p + p2
+            self.rules.setdefault(y[0], []).append((y, list(every.items())))
+        self.sorted: list[str] = []
+        self.begun: dict[str, bool] = {}
         self.held: dict[str, list[tuple[str, float]]] = {}
 
     def knows(self, word: str) -> bool:
@@ -145,6 +242,8 @@ class Model:
             two = self.pairs.get((before, w), 0)
             if two:
                 return math.log(0.7 * two / max(self.words.get(before, two), two) + 0.3 * one)
+        if not one:
+            return math.log(UNKNOWN) * max(1.0, len(w) / LETTERS)
         return math.log(0.3 * one + UNKNOWN)
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
@@ -156,28 +255,44 @@ class Model:
                 self.held.clear()
         return got
 
+    def begins(self, prefix: str) -> bool:
+        """Whether a known word, or one of known parts, begins with prefix."""
+        got = self.begun.get(prefix)
+        if got is None:
+            if not self.sorted:
+                self.sorted = sorted(self.known)
+            got = self._prefix(prefix)
+            if not got and (m := _SEPARATED.match(prefix)):
+                *parts, last = _SEPARATOR.split(prefix)
+                got = all(p in self.known or p.isdigit() for p in parts) and (not last or last.isdigit() or self._prefix(last))
+            if len(self.begun) > 500_000:
+                self.begun.clear()
+            self.begun[prefix] = got
+        return got
+
+    def _prefix(self, prefix: str) -> bool:
+        i = bisect.bisect_left(self.sorted, prefix)
+        return i < len(self.sorted) and self.sorted[i].startswith(prefix)
+
     def _candidates(self, word: str) -> list[tuple[str, float]]:
+        """The words are decoded along the prefixes of the vocabulary, so only what can become a word is followed."""
         out: dict[str, float] = {}
-        level = {word: 0.0}
-        if len(word) > 40:
-            return []
-        for depth in range(MOST_UNDONE):
-            nxt: dict[str, float] = {}
-            for w, lp in level.items():
-                for y, xs in self.undo.items():
-                    at = w.find(y)
-                    while at >= 0:
-                        for x, p in xs:
-                            v = w[:at] + x + w[at + len(y):]
-                            if nxt.get(v, -1e9) < lp + p:
-                                nxt[v] = lp + p
-                        at = w.find(y, at + 1)
-            for v, p in nxt.items():
-                if v != word and (v in self.known or (not _NUMBER.match(v) and any(c in v for c in "-/'’") and self._parts(v))) and out.get(v, -1e9) < p:
-                    out[v] = p
-            if out and depth or depth + 1 == MOST_UNDONE:
-                break
-            level = nxt if depth == 0 else dict(sorted(nxt.items(), key=lambda x: -x[1])[:3000])
+        states: list[dict[str, float]] = [{} for _ in range(len(word) + 1)]
+        states[0][""] = 0.0
+        for at, c in enumerate(word):
+            here, states[at] = states[at], {}
+            if not here:
+                continue
+            moves = [(1, c, 0.0)] + [(len(y), x, p) for y, xs in self.rules.get(c, ()) if word.startswith(y, at) for x, p in xs]
+            for v, lp in here.items():
+                for k, x, p in moves:
+                    u, nxt = v + x, states[at + k]
+                    old = nxt.get(u)
+                    if old is None and self.begins(u) or old is not None and old < lp + p:
+                        nxt[u] = lp + p
+        for v, p in states[-1].items():
+            if v != word and (v in self.known or not _NUMBER.match(v) and _SEPARATOR.search(v) and self._parts(v)):
+                out[v] = p
         figures = "".join(FIGURES.get(c, c) for c in word)
         if figures != word and re.search(r"\d", word):
             figures = re.sub(r"(?<=\d)c(?=-\d)", "e", "".join(c if c == "e" else FIGURES.get(c, c) for c in word))
@@ -190,7 +305,7 @@ class Model:
         return list(out.items())
 
     def _parts(self, word: str) -> bool:
-        parts = re.split(r"[-/'’]", word)
+        parts = _SEPARATOR.split(word)
         return all(parts) and all(p in self.known or p.isdigit() for p in parts)
 
 
@@ -285,18 +400,18 @@ def _joined(a: str, b: str, model: Model) -> str | None:
     return None
 
 
-def repair(text: str | None, following: str | None, report: str | None, everywhere: bool, model: Model) -> list[tuple[int, str, str]]:
+def repair(text: str | None, following: str | None, report: str | None, everywhere: bool, model: Model, running: frozenset[int] = frozenset()) -> list[tuple[int, str, str]]:
     """(line number, kind, word) of everything found in a page or quotation; following: the page after it."""
     if not text or not text.strip():
         return []
     lines = text.split("\n")
-    matter = furniture(lines, report, everywhere)
+    matter = model.matter.lines(lines, report, everywhere, running)
     out = [(i + 1, "furniture", "") for i in sorted(matter)]
     body = [(i, x.split()) for i, x in enumerate(lines) if i not in matter and x.strip()]
     rest = None
     if following and following.strip():
         more = following.split("\n")
-        off = furniture(more, report, False)
+        off = model.matter.lines(more, report, False, running)
         rest = next((x.split() for i, x in enumerate(more) if i not in off and x.strip()), None)
     carried = False  # whether the first token of the line belongs to the line before
     for k, (i, tokens) in enumerate(body):
@@ -315,20 +430,20 @@ def repair(text: str | None, following: str | None, report: str | None, everywhe
     return out
 
 
-def _first_line(text: str | None, report: str | None) -> list[str] | None:
+def _first_line(text: str | None, report: str | None, model: Model, running: frozenset[int]) -> list[str] | None:
     """Tokens of the first line of a page that isn't page matter."""
     lines = (text or "").split("\n")
-    off = furniture(lines, report, False)
+    off = model.matter.lines(lines, report, False, running)
     return next((x.split() for i, x in enumerate(lines) if i not in off and x.strip()), None)
 
 
-def _over_page(text: str | None, following: str | None, report: str | None, model: Model) -> str | None:
+def _over_page(text: str | None, following: str | None, report: str | None, model: Model, running: frozenset[int]) -> str | None:
     """The word that a page's last token and the first one of the page after it make, or None."""
-    rest = _first_line(following, report)
+    rest = _first_line(following, report, model, running)
     if not rest or not text:
         return None
     lines = text.split("\n")
-    matter = furniture(lines, report, False)
+    matter = model.matter.lines(lines, report, False, running)
     body = [(i, x.split()) for i, x in enumerate(lines) if i not in matter and x.strip()]
     if not body:
         return None
@@ -344,7 +459,7 @@ def _over_page(text: str | None, following: str | None, report: str | None, mode
     return word
 
 
-def repaired_text(text: str | None, report: str | None, model: Model, following: str | None = None, before: str | None = None, everywhere: bool = False) -> str:
+def repaired_text(text: str | None, report: str | None, model: Model, following: str | None = None, before: str | None = None, everywhere: bool = False, running: frozenset[int] = frozenset()) -> str:
     """The text of a page or quotation as paragraphs of continuous text, without page matter, with right words.
 
     following, before: the pages after and before it. A word broken at the end of a page is whole on that page, and its
@@ -353,10 +468,10 @@ def repaired_text(text: str | None, report: str | None, model: Model, following:
     if not text:
         return ""
     lines = text.split("\n")
-    matter = furniture(lines, report, everywhere)
+    matter = model.matter.lines(lines, report, everywhere, running)
     out: list[list[str]] = [[]]
-    carried = _over_page(before, text, report, model)
-    rest = _first_line(following, report)
+    carried = _over_page(before, text, report, model, running)
+    rest = _first_line(following, report, model, running)
     body = [(i, x) for i, x in enumerate(lines) if i not in matter and x.strip()]
     for k, (i, x) in enumerate(body):
         tokens = x.split()
@@ -402,7 +517,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, n in counter.items():
                 w = strip(t)
                 keys = [(form(t), "")] if w else []
-                if not which and len(w) < 60 and ("-" in w or "/" in w or "'" in w):
+                if not which and ("-" in w or "/" in w or "'" in w):
                     keys += [(p, "") for p in re.split(r"[-/']", w) if p and not p.isdigit()]
                 for k in keys:
                     total.setdefault(k, [0, 0])[which] += n
@@ -486,18 +601,25 @@ def confusion_model(spark: SparkSession, pages: DataFrame, model: Model) -> Mode
     for x, y, n in got.collect():  # one row a confusion or character
         (rules if y else chars)[(x, y) if y else x] = n
     base = sum(chars.values()) or 1
-    return Model(model.words, model.pairs, {(x, y): (rules.get((x, y), 0) + 0.01) / (min((chars.get(c, 0) for c in x), default=0) + base * 1e-3) for x, y in ALIKE}, model.known)
+    return Model(model.words, model.pairs, {(x, y): (rules.get((x, y), 0) + 0.01) / (min((chars.get(c, 0) for c in x), default=0) + base * 1e-3) for x, y in ALIKE}, model.known, model.matter)
 
 
-def trained(segments: DataFrame) -> Model:
+def trained(segments: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the lines repeated on the pages of each report."""
+    pages = segments.where("layout = 'page'")
     model = language_model(segments)
-    return confusion_model(segments.sparkSession, segments.where("layout = 'page'"), model)
+    if "report" in segments.columns:
+        model.matter, running = learn_matter(pages)
+    else:
+        running = None
+    return confusion_model(segments.sparkSession, pages, model), running
 
 
 def repair_scans(segments: DataFrame, evidence: DataFrame) -> DataFrame:
     """src, rec_id, line_no, kind, word of everything that a scan's page or quotation needs repaired."""
     spark = segments.sparkSession
-    sent = spark.sparkContext.broadcast(trained(segments))
+    model, running = trained(segments)
+    sent = spark.sparkContext.broadcast(model)
     pages = segments.where("layout = 'page'").select("segment_id", "doc_id", "seg_index", "report", "text").distinct()
     # the page after each page by its place, so a document of very many pages is spread over all tasks
     after = pages.select("doc_id", (F.col("seg_index") - 1).alias("seg_index"), F.col("text").alias("following"))
@@ -508,20 +630,21 @@ def repair_scans(segments: DataFrame, evidence: DataFrame) -> DataFrame:
         m = sent.value
         for batch in batches:
             rows = []
-            for src, rec, report, text, nxt in zip(*(batch.column(c).to_pylist() for c in ("src", "rec_id", "report", "text", "following"))):
-                rows += [(src, rec, *x) for x in dict.fromkeys(repair(text, nxt, report, src == "evidence", m))]
+            for src, rec, report, text, nxt, often in zip(*(batch.column(c).to_pylist() for c in ("src", "rec_id", "report", "text", "following", "running"))):
+                rows += [(src, rec, *x) for x in dict.fromkeys(repair(text, nxt, report, src == "evidence", m, frozenset(often or ())))]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())],
                 ["src", "rec_id", "line_no", "kind", "word"],
             )
 
-    return a.unionByName(b).mapInArrow(run, "src string, rec_id long, line_no int, kind string, word string").distinct()
+    return a.unionByName(b).join(running, "report", "left").mapInArrow(run, "src string, rec_id long, line_no int, kind string, word string").distinct()
 
 
 def repaired_pages(segments: DataFrame, evidence: DataFrame) -> DataFrame:
     """src, rec_id, text of every scanned page and quotation as continuous paragraphs."""
-    sent = segments.sparkSession.sparkContext.broadcast(trained(segments))
+    model, running = trained(segments)
+    sent = segments.sparkSession.sparkContext.broadcast(model)
     pages = segments.where("layout = 'page'").select("segment_id", "doc_id", "seg_index", "report", "text").distinct()
     after = pages.select("doc_id", (F.col("seg_index") - 1).alias("seg_index"), F.col("text").alias("following"))
     before = pages.select("doc_id", (F.col("seg_index") + 1).alias("seg_index"), F.col("text").alias("before"))
@@ -532,8 +655,8 @@ def repaired_pages(segments: DataFrame, evidence: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for x in batches:
-            src, rec, report, text, following, prior = (x.column(c).to_pylist() for c in ("src", "rec_id", "report", "text", "following", "before"))
-            fixed = [repaired_text(t, r, m, nxt, prev, s == "evidence") for s, r, t, nxt, prev in zip(src, report, text, following, prior)]
+            src, rec, report, text, following, prior, often = (x.column(c).to_pylist() for c in ("src", "rec_id", "report", "text", "following", "before", "running"))
+            fixed = [repaired_text(t, r, m, nxt, prev, s == "evidence", frozenset(o or ())) for s, r, t, nxt, prev, o in zip(src, report, text, following, prior, often)]
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(rec, pa.int64()), pa.array(fixed, pa.string())], ["src", "rec_id", "text"])
 
-    return a.unionByName(b).mapInArrow(run, "src string, rec_id long, text string")
+    return a.unionByName(b).join(running, "report", "left").mapInArrow(run, "src string, rec_id long, text string")

@@ -4,7 +4,7 @@ import pytest
 
 from saltmarsh.llm import sentences as S
 from saltmarsh.llm.languages import Language, label_code, language_stretches, without_page_matter, words_of, wrong_labels
-from saltmarsh.llm.scans import Model, decode, furniture, repair, repaired_pages, repaired_text, trained
+from saltmarsh.llm.scans import Matter, Model, decode, learn_matter, line_shape, repair, repair_scans, repaired_pages, repaired_text, trained
 
 CORPUS = """Above 900 K, the salt turned dark. Nobody expected the density to matter. The crew weighed screws, washers, etc. Above 910 K, Dr. Marrowby noted a change.
 
@@ -100,7 +100,7 @@ def test_frequent_misreadings_stay_doubtful(spark):
     clean, read = "the curve showed a station near the pump", "the curvc showcd a sta-\ntion near the curve"
     for times in (1, 10, 100):
         rows = [("para", clean)] * (40 * times) + [("page", read)] * (6 * times) + [("para", "curvc tion")] * (times > 10)
-        m = trained(spark.createDataFrame(rows, "layout string, text string"))
+        m, _ = trained(spark.createDataFrame(rows, "layout string, text string"))
         assert not m.knows("curvc") and not m.knows("tion") and m.knows("curve")
         assert repair(read, None, None, False, m) == [(1, "char", "curve"), (1, "char", "showed"), (1, "joined", "station")], times
 
@@ -132,7 +132,39 @@ def test_paragraphs_over_pages(spark):
     ("the salt turned dark.", False), ("Mr. Kastovar and Mrs. Welloway", False), ("Above 900 K the pump", False),
 ])
 def test_furniture(line, is_it):
-    assert (0 in furniture([line, "the salt in the pump turned dark", "again and again."], "MSX-TM-1027", False)) is is_it
+    matter = Matter(frozenset({"C # l #", "U+", "C+"}))
+    page = [line, "the salt in the pump turned dark", "again and again."]
+    assert (0 in matter.lines(page, "MSX-TM-1027", False)) is is_it
+
+
+@pytest.mark.parametrize("line, shape", [("Page 12345 of 20000", "C # l #"), ("SURVEY 0F THE PUMP    9", "U+ #"), ("MSX-TM-l027/54", "R#"), ("MSX-TM-1027  —  Survey of the pump", "R — C l+"), ("- xxi -", "- r -"), ("a value, of 35", "l l, l #")])
+def test_shapes(line, shape):
+    assert line_shape(line, "MSX-TM-1027") == shape
+
+
+def test_page_matter_is_learnt_from_repetition(spark):
+    """Headers are known by standing at the edges of many pages; page numbers of any size, any number of lines at an edge."""
+    body = "the salt turned dark in the\npump and nobody knew why it\nhad been held there for so\nlong before the crew came."
+    rows = [("MSX-1", f"Notes From The Cellar\nPage {12340 + k} of 20000\nseries b, volume iv\n{chr(97 + k) * 3} {body.replace("t", chr(97 + k))}\n{chr(97 + k) * 5}, kept\n{k + 12345}") for k in range(20)]
+    rows += [("MSX-2", f"Old Tales Of Salt\n{body.replace("t", chr(97 + k))}\nand so on") for k in range(3)]
+    rows += [(f"MSX-{k}", f"Page {12345 * k} of 200000\n{body}\n{body}") for k in range(3, 15)]
+    matter, running = learn_matter(spark.createDataFrame(rows, "report string, text string"))
+    often = {r.report: frozenset(r.running) for r in running.collect()}
+    page = rows[5][1].split("\n")
+    assert matter.lines(page, "MSX-1", False, often["MSX-1"]) == {0, 1, 2, len(page) - 1}
+    assert matter.lines(rows[21][1].split("\n"), "MSX-2", False, often["MSX-2"]) >= {0}
+    assert matter.lines(["Page 12345 of 20000", "the salt", "12345"], "MSX-9", False) == {0, 2}
+
+
+def test_words_of_any_length_and_any_number_of_confusions():
+    long = "donau" + "dampfschifffahrts" * 3 + "gesellschaft"
+    m = Model({w: 100.0 for w in ("the", "international", long, "was", "held")}, {})
+    assert len(long) > 60
+    read = long.replace("d", "cl", 1).replace("m", "rn", 1).replace("a", "á", 1)
+    assert [w for _, _, w in decode(["the", read, "was"], m)] == [long]
+    assert [w for _, _, w in decode(["the", "1ntcrnat1ona1", "was"], m)] == ["international"]
+    assert [w for _, _, w in decode(["the", "1nterriát1ori" + "á1", "was"], m)] == ["international"]
+    assert decode(["the", "x" * 5000, "was"], m) == []
 
 
 def test_nothing_to_repair(model):
@@ -154,7 +186,7 @@ def test_words_are_no_formulas():
 
 def test_page_matter_keeps_offsets():
     t = "12    Survey of the Ostrel Pump\nhello there\n[12]\n\fXII\nworld again\n- 13 -"
-    clean = without_page_matter(t, None)
+    clean = without_page_matter(t, None, Matter())
     assert len(clean) == len(t) and clean.split() == ["hello", "there", "world", "again"] and clean.index("world") == t.index("world")
 
 

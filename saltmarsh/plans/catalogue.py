@@ -144,16 +144,10 @@ def term_slug(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "concepts").select("pref_label", text.term_slug(F.col("pref_label")).alias("slug")).distinct()
 
 
-_PROP = r"(?i)\d[\d.,]*\s*(?:mole\s?%|wt\s?%|mol\s?%|atoms?\s?%|ppm|g/cm\w*|mg/|moles?/|mol/|(?:m?pa|°?c|°?k)(?:[^\p{L}\p{N}_]|$)|kj/|cal/|×?10\s*-?\d|x\s?10)"
+_SIGNALS = " ".join("when " + " or ".join(f"regexp_matches(text, '{p}')" for p in patterns) + f" then '{kind}'" for kind, patterns in text.signal_patterns(r"(?:[^\p{L}\p{N}_]|$)").items())
 
 
-@query(rf"""
-select doc_id, case when regexp_matches(text, '{_PROP}') then 'property'
-  when regexp_matches(text, '[A-Z][a-z]?\d') or regexp_matches(text, '(?i)\b(?:MSRE|MSBR|ARE|reactor)\b') then 'instance'
-  when regexp_matches(text, '(?is)graphite.{{0,60}}?moderat\w*|moderat\w*.{{0,60}}?graphite|\bmoderator\b|constructed\s+of\b|\bmoderated\b') then 'class'
-  when regexp_matches(text, '(?i)\w+-moderated\b|moderated\s+by\s+\w+') then 'relation' end as kind
-from documents where text is not null
-""")
+@query(f"select doc_id, case {_SIGNALS} end as kind from documents where text is not null")
 def context_signal_kind(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").where("text is not null").select("doc_id", text.signal_kind(F.col("text"), F.lit("lexical")).alias("kind"))
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Words that no read needs.
 FORBIDDEN = "INSERT UPDATE DELETE REPLACE INTO CREATE ALTER DROP TRUNCATE ATTACH DETACH PRAGMA VACUUM REINDEX TRIGGER GRANT REVOKE LOAD_EXTENSION WRITEFILE READFILE FTS3_TOKENIZER".split()
-_WORD = re.compile(rf"\b(?:{'|'.join(FORBIDDEN)})\b", re.IGNORECASE)
+#: Functions that run code of the caller's choice.
+RUNNING = "REFLECT JAVA_METHOD TRY_REFLECT".split()
+_WORD = re.compile(rf"\b(?:(?:{'|'.join(FORBIDDEN)})\b|(?:{'|'.join(RUNNING)})(?=\s*\())", re.IGNORECASE)
 _PIECE = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|\[[^\]]*\]|--[^\n]*|/\*.*?\*/|(?P<open>['\"`\[]|/\*)|(?P<code>.)", re.DOTALL)
 
 
@@ -53,21 +55,47 @@ def allowed(query: str) -> bool:
 
 
 def select(spark: SparkSession, query: str, views: dict[str, DataFrame]) -> DataFrame:
-    """The result of a checked query over the given views only: a plan that reads anything else is refused."""
+    """The result of a checked query over the given views only.
+
+    The query is analysed in a session of its own in which no other view exists, so names mean what their scopes say,
+    and the caller's views stay as they are. The analysed plan is walked, subqueries included: it may end in the given
+    views, in inline rows and in its own common table expressions, and in nothing else.
+    """
     text = check(query)
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    if "Command" in plan.getClass().getSimpleName():
+    j = spark._jsparkSession
+    if "Command" in j.sessionState().sqlParser().parsePlan(text).getClass().getSimpleName():
         raise Refused("only SELECT")
-    for name in _relations(plan.toString()):
-        if name not in views:
-            raise Refused(f"{name} isn't a view of this surface")
-    return spark.sql(text)
-
-
-def _relations(plan: str) -> set[str]:
-    """Names of tables in a parsed plan, without those that the query defines itself."""
-    names = {m[1].strip("`") for m in re.finditer(r"UnresolvedRelation \[([^\]]+)\]", plan)}
-    own = {n.strip("` ") for m in re.finditer(r"CTE \[([^\]]+)\]", plan) for n in m[1].split(",")}
-    return names - own
+    own = j.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and own.conf().isModifiable(k):
+            own.conf().set(k, v)
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    for name, df in views.items():
+        rows(own, df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
+    try:
+        plan = own.sql(text).queryExecution().analyzed()
+    except Exception as e:  # what can't be resolved here isn't there
+        raise Refused(str(getattr(e, "desc", None) or e).splitlines()[0]) from None
+    _walk(plan, {v.lower() for v in views})
+    return DataFrame(rows(j, plan), spark)
+
+
+#: Ends of a plan that read nothing.
+_READ_NOTHING = {"OneRowRelation", "LocalRelation", "CTERelationRef"}
+
+
+def _walk(node, views: set[str]) -> None:
+    kind = node.getClass().getSimpleName()
+    if kind == "View":
+        name = node.desc().identifier()
+        if name.database().isDefined() or name.table().lower() not in views:
+            raise Refused(f"{name.table()} isn't a view of this surface")
+        return
+    below = [node.children(), node.subqueries()]
+    if kind == "WithCTE":
+        below.append(node.cteDefs())
+    elif not node.children().size() and kind not in _READ_NOTHING:
+        raise Refused(f"{node.nodeName()} isn't a view of this surface")
+    for group in below:
+        for i in range(group.size()):
+            _walk(group.apply(i), views)

@@ -1,11 +1,17 @@
-"""Tables with snapshots: every write makes a new folder and flips a pointer, so readers never see half a write."""
+"""Tables with snapshots: every write makes a new folder and then a new version of the pointers to all folders.
+
+Neither folders nor versions are changed, so readers never see half a write; a version is made by creating its file,
+which only one of several writers can do.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,17 +35,38 @@ class SnapshotStore:
         finally:
             stream.close()
 
-    def _write_text(self, path: str, text: str) -> None:
-        new = f"{path}.{uuid.uuid4().hex}"
-        stream = self._fs.create(self._path(new))
+    def _create(self, path: str, text: str) -> bool:
+        """Write a new file; False where it is there already."""
+        try:
+            stream = self._fs.create(self._path(path), False)
+        except Py4JJavaError:
+            if self._fs.exists(self._path(path)):
+                return False
+            raise
         stream.write(text.encode("utf-8"))
         stream.close()
-        if self._fs.exists(self._path(path)):
-            self._fs.delete(self._path(path), False)
-        self._fs.rename(self._path(new), self._path(path))
+        return True
+
+    def _versions(self) -> list[int]:
+        folder = self._path(f"{self.root}/pointers")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
 
     def pointers(self) -> dict[str, str]:
-        return json.loads(self._read_text(f"{self.root}/tables.json") or "{}")
+        """The tables of the newest version that was written to its end; versions are never changed, so a reader sees one or the other."""
+        for n in self._versions():
+            try:
+                return json.loads(self._read_text(f"{self.root}/pointers/{n:012d}.json") or "")
+            except ValueError:
+                continue  # its writer hasn't finished, or never will
+        return {}
+
+    def _commit(self, change: Callable[[dict[str, str]], dict[str, str]]) -> None:
+        """Make a new version out of the newest; a writer that finds its number taken starts from the version that took it."""
+        while True:
+            n = next(iter(self._versions()), 0) + 1
+            if self._create(f"{self.root}/pointers/{n:012d}.json", json.dumps(change(self.pointers()), sort_keys=True)):
+                return
 
     def read(self, name: str) -> DataFrame | None:
         folder = self.pointers().get(name)
@@ -47,7 +74,7 @@ class SnapshotStore:
 
     def write(self, tables: dict[str, DataFrame], partition_by: dict[str, str] | None = None) -> None:
         """Replace tables together: all or none become visible."""
-        at = self.pointers()
+        at = {}
         for name, df in tables.items():
             folder = f"{name}-{uuid.uuid4().hex}"
             w = df.write
@@ -55,7 +82,7 @@ class SnapshotStore:
                 w = w.partitionBy(by)
             w.parquet(f"{self.root}/{folder}")
             at[name] = folder
-        self._write_text(f"{self.root}/tables.json", json.dumps(at, sort_keys=True))
+        self._commit(lambda old: old | at)
 
     # checkpoints: a named copy of the pointers; snapshots are never changed, so no data is copied
     def _label(self, label: str) -> str:
@@ -66,11 +93,8 @@ class SnapshotStore:
         return f"{self.root}/checkpoints/{label}.json"
 
     def checkpoint(self, label: str, version: str | None = None) -> None:
-        path = self._label(label)
-        if self._fs.exists(self._path(path)):
+        if not self._create(self._label(label), json.dumps({"label": label, "version": version, "tables": self.pointers()}, sort_keys=True)):
             raise FileExistsError(label)
-        self._fs.mkdirs(self._path(f"{self.root}/checkpoints"))
-        self._write_text(path, json.dumps({"label": label, "version": version, "tables": self.pointers()}, sort_keys=True))
 
     def restore(self, label: str) -> None:
         text = self._read_text(self._label(label))
@@ -80,7 +104,7 @@ class SnapshotStore:
         for folder in tables.values():
             if not self._fs.exists(self._path(f"{self.root}/{folder}")):
                 raise FileNotFoundError(folder)  # nothing is changed
-        self._write_text(f"{self.root}/tables.json", json.dumps(tables, sort_keys=True))
+        self._commit(lambda _: tables)
 
     def checkpoints(self) -> list[dict]:
         folder = self._path(f"{self.root}/checkpoints")
@@ -100,8 +124,9 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, order: str
     Rows with a null key are refused. Keys are matched by an anti-join, so untouched rows aren't sorted.
     """
     new = incoming.where(F.col(key).isNotNull())
-    if order:
-        new = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
+    if order:  # the greatest struct of a key is found before the shuffle, so a key with very many rows isn't sorted
+        rest = [c for c in incoming.columns if c not in (key, order)]
+        new = new.groupBy(key).agg(F.max(F.struct(F.col(order), *rest)).alias("_r")).select(*[F.col(c) if c == key else F.col(f"_r.{c}") for c in incoming.columns])
     else:
         new = new.dropDuplicates([key])
     if existing is None:

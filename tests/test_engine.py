@@ -284,3 +284,43 @@ def test_bundles(spark):
     assert t.truncated and t.text.count("a") == 50
     ch = spark.createDataFrame([("r", 0, 0, 3, False), ("r", 0, 5, 8, True), ("r", 0, 9, 10, False)], "report string, sentence int, start int, end int, bridge boolean")
     assert sorted((r.start, r.end, r.n) for r in bundles.bridged_chunks(ch).collect()) == [(0, 8, 2), (9, 10, 1)]
+
+
+@pytest.mark.parametrize("query, ok", [
+    ("select x from v where exists (with hidden as (select 1) select * from hidden)", True), ("select id from hidden where exists (with hidden as (select 1) select * from hidden)", False),
+    ("with hidden as (select x from v) select * from hidden", True), ("select (select max(id) from hidden) from v", False), ("select x from V where y in (select y from v)", True),
+    ("select * from range(5)", False), ("select reflect('java.lang.Math', 'abs', -1)", False), ("select * from default.hidden", False), ("select 1 union all select x from v", True), ("describe v", False),
+])
+def test_sql_surface_reads_nothing_else(spark, query, ok):
+    spark.range(3).createOrReplaceTempView("hidden")
+    spark.range(5).createOrReplaceTempView("v")
+    own = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    if ok:
+        assert sqlsurface.select(spark, query, {"v": own}).count() >= 2
+    else:
+        with pytest.raises(sqlsurface.Refused):
+            sqlsurface.select(spark, query, {"v": own})
+    assert spark.table("v").count() == 5  # the caller's view of that name stays
+
+
+def test_store_pointers(spark, tmp_path):
+    root = tmp_path / "pointers-store"
+    a, b = SnapshotStore(spark, str(root)), SnapshotStore(spark, str(root))
+    a.write({"t": spark.range(1)})
+    b.write({"u": spark.range(2)})  # another writer keeps what the first one wrote
+    assert (a.read("t").count(), a.read("u").count()) == (1, 2)
+    (root / "pointers" / "000000000003.json").write_text('{"t": "half')  # a writer that never finished
+    assert a.read("t").count() == 1
+    a.write({"t": spark.range(5)})
+    assert (b.read("t").count(), b.read("u").count()) == (5, 2)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from saltmarsh.session import shared_dir
+
+    held = N(isDefined=lambda: False)
+    context = N(getConf=lambda: N(get=lambda *_: None), master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: held)))
+    with pytest.raises(RuntimeError):
+        shared_dir(N(sparkContext=context))

@@ -62,7 +62,7 @@ def doc_frequency(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"with {_GRAMS} select doc_id, term, count(*) as occurrences from grams group by doc_id, term")
 def term_frequency(spark: SparkSession, base: str) -> DataFrame:
-    return mining.term_counts(table(spark, base, "documents"))
+    return mining.term_counts(table(spark, base, "documents"), unique=True)
 
 
 @query(f"""
@@ -85,6 +85,63 @@ def mine_candidates(spark: SparkSession, base: str) -> DataFrame:
     return mining.mine(table(spark, base, "documents"), keys, floor=MINE_FLOOR, ceiling=MINE_CEILING)
 
 
+_MINED = f"""
+{_GRAMS},
+swords as materialized (select report, char_start, char_end, text, {_TOKENS} as w from segments),
+sgrams as (select distinct report, char_start, char_end, text, array_to_string(w[i:i + k - 1], ' ') as term from swords, unnest(range(1, 4)) a(k), unnest(range(1, len(w) - k + 2)) b(i) where len(w) >= k),
+missed as (select distinct lower(surface_form) as term, surface_form, report, char_start, char_end from mentions where status = 'novel' and surface_form is not null and trim(surface_form, ' ') <> ''),
+every as (select distinct term, 'lexical' as source, '' as surface_form from sgrams union all select term, 'miss', min(struct_pack(n := length(surface_form), s := surface_form)).s from missed group by term),
+seqs as (
+  select distinct array_to_string(list_filter(string_split_regex(lower(case when kind = 'salt' then split_part(label, '(', 1) else
+    regexp_replace(regexp_replace(label, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g') end), '[^a-z0-9]+'), lambda x: x <> ''), chr(31)) as run
+  from (select target_kind as kind, unnest(list_concat([pref_label], alt_labels)) as label from concepts)
+),
+toks as (select distinct term, list_filter(string_split_regex(lower(term), '[^a-z0-9]+'), lambda x: x <> '') as t from every),
+runs as (select term, array_to_string(t[i:j], chr(31)) as run from toks, unnest(range(1, len(t) + 1)) a(i), unnest(range(1, len(t) + 1)) b(j) where i <= j),
+hit as (select distinct term from runs where run in (select run from seqs where run <> '')),
+kept as (select * from every where term not in (select term from hit)),
+df as (select term, count(distinct doc_id) as doc_frequency, count(*) as total_occurrences from grams group by term having count(distinct doc_id) >= {MINE_FLOOR}),
+scored as (select k.*, df.doc_frequency, df.total_occurrences from kept k join df using (term)),
+top as (select * from scored order by doc_frequency desc, term, source limit {MINE_CEILING})
+"""
+
+
+def _mined(spark: SparkSession, base: str) -> mining.Mined:
+    concepts = table(spark, base, "concepts").select(F.col("target_kind").alias("kind"), F.explode(F.concat(F.array("pref_label"), F.coalesce("alt_labels", F.array().cast("array<string>")))).alias("label"))
+    return mining.mine_all(table(spark, base, "segments"), table(spark, base, "mentions"), table(spark, base, "documents"), mining.exclusion_keys(concepts), MINE_FLOOR, MINE_CEILING, corpus="source")
+
+
+@query(f"""
+with {_MINED},
+places as (select term, 'lexical' as source, report, char_start, min(char_end) as char_end from sgrams group by term, report, char_start union all select distinct term, 'miss', report, char_start, char_end from missed),
+p as (select term, source, count(*) as places, min(struct_pack(r := report, a := char_start, b := char_end)) as f from places group by 1, 2)
+select t.term, t.source, t.surface_form, t.doc_frequency, t.total_occurrences, p.places, p.f.r as report, p.f.a as start_offset, p.f.b as end_offset from top t left join p using (term, source)
+""")
+def mine_umbrella(spark: SparkSession, base: str) -> DataFrame:
+    return _mined(spark, base).candidates.select("term", "source", "surface_form", "doc_frequency", "total_occurrences", "places", "report", "start_offset", "end_offset")
+
+
+@query(f"""
+with {_MINED}, c as (select (select count(*) from every) as e, (select count(*) from kept) as k, (select count(*) from scored) as s, (select count(*) from top) as t)
+select e as enumerated, e - k as excluded, k - s as below_floor, s - t as cut_by_ceiling, t as retained from c
+""")
+def mine_counters(spark: SparkSession, base: str) -> DataFrame:
+    return _mined(spark, base).counters
+
+
+@query(f"""
+with {_GRAMS},
+wanted as (select distinct lower(trim(term, ' ')) as term from candidates where term is not null),
+hits as (select g.term, g.doc_id, count(*) as n from grams g join wanted using (term) group by 1, 2),
+o as (select h.term, h.doc_id, d.source from hits h join documents d using (doc_id))
+select (select count(*) from wanted) as proposals_processed, count(*) as observations_written, count(distinct (source, doc_id)) as documents_tagged, (select count(*) from candidates where doc_frequency is not null) as scalars_removed from o
+""")
+def backfill_summary(spark: SparkSession, base: str) -> DataFrame:
+    wanted = table(spark, base, "candidates").where("term is not null").select(F.lower(F.trim("term")).alias("term")).distinct()
+    seen = mining.observations(table(spark, base, "documents"), wanted, corpus="source")
+    return mining.backfill_summary(wanted, seen, table(spark, base, "candidates").where("doc_frequency is not null"))
+
+
 @query(f"""
 with {_GRAMS},
 wanted as (select distinct lower(trim(term, ' ')) as term from candidates where term is not null),

@@ -40,12 +40,18 @@ def evaluate(measurements: DataFrame, values: DataFrame, at: Column | float) ->
 
 def best_candidate(evaluated: DataFrame, group: str, what: str) -> DataFrame:
     """group, the candidate with the largest value and the value; candidates without a value take no part, ties go to the smaller name."""
-    top = F.max_by(F.struct(what, "value"), F.struct("value", F.hash(what))).alias("top")
-    return evaluated.where("value is not null").groupBy(group).agg(top).select(group, f"top.{what}", "top.value")
+    top = F.min(F.struct((-F.col("value")).alias("v"), F.col(what))).alias("top")
+    return evaluated.where("value is not null").groupBy(group).agg(top).select(group, f"top.{what}", (-F.col("top.v")).alias("value"))
+
+
+def gaps(salts: DataFrame, properties: list[str], measurements: DataFrame) -> DataFrame:
+    """salt, property of every property of the vocabulary of which a salt (salt) has no measurement (salt, property)."""
+    wanted = salts.select("salt").distinct().select("salt", F.explode(F.array(*map(F.lit, properties))).alias("property"))
+    return wanted.join(measurements.select("salt", "property").distinct(), ["salt", "property"], "left_anti")
 
 
 def lacking(properties: DataFrame, measurements: DataFrame, salt: str) -> DataFrame:
-    """Properties (property) of which a salt has no measurement."""
+    """Properties (property) of which one salt has no measurement."""
     return properties.join(measurements.where(F.col("salt") == salt), "property", "left_anti")
 
 

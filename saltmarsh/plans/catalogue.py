@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import chem, equations, segmenter, text
-from saltmarsh.functions.numbers import confidence
+from saltmarsh.functions.numbers import NUMERIC, confidence
 from saltmarsh.operators import bgp, bundles, graph, grounding, ingest, linker, mining, relations, review, shapes, sqlsurface
 from saltmarsh.operators.packed import split_packed
 from saltmarsh.operators.quantities import to_common_units
-from saltmarsh.session import scratch, table
+from saltmarsh.session import table
 from saltmarsh.sources import store
 from saltmarsh.streaming import observations
 
@@ -174,7 +174,7 @@ def camel_token_sequence(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(r"""
-with names as (select distinct salt as label from measurement_value where source = 'nist' union select distinct raw_salt from salt_canonicalization where regexp_full_match(raw_salt, '[A-Za-z0-9·-]+')),
+with names as (select distinct salt as label from measurement_value where salt is not null union select distinct raw_salt from salt_canonicalization where raw_salt is not null),
 base as (select label, trim(regexp_replace(split_part(label, ' | ', 1), '\s+', ' ', 'g')) as b from names),
 runs as (select label, b, regexp_extract_all(b, '[A-Za-z]\d+') as r, regexp_full_match(b, '([A-Z][a-z]?\d*|[-·•\s])+') as f from base),
 parts as (select label, b, r, f, string_split_regex(b, '\d+') as p from runs),
@@ -191,9 +191,9 @@ spread as (
 select label, list_sort(list_distinct(list_concat(list(v), list(lower(v))))) as variants from spread group by label
 """)
 def label_variants(spark: SparkSession, base: str) -> DataFrame:
-    a = table(spark, base, "measurement_value").where("source = 'nist'").select(F.col("salt").alias("label"))
-    b = table(spark, base, "salt_canonicalization").where(F.col("raw_salt").rlike("^[A-Za-z0-9·-]+$")).select(F.col("raw_salt").alias("label"))
-    return a.union(b).distinct().select("label", chem.label_variants(F.substring_index("label", " | ", 1)).alias("variants"))
+    a = table(spark, base, "measurement_value").select(F.col("salt").alias("label"))
+    b = table(spark, base, "salt_canonicalization").select(F.col("raw_salt").alias("label"))
+    return a.union(b).where("label is not null").distinct().select("label", chem.label_variants(F.substring_index("label", " | ", 1)).alias("variants"))
 
 
 @query("select distinct pref_label, trim(regexp_replace(lower(pref_label), '[^a-z0-9]+', '-', 'g'), '-') as slug from concepts")
@@ -209,22 +209,11 @@ def context_signal_kind(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").where("text is not null").select("doc_id", text.signal_kind(F.col("text"), F.lit("lexical")).alias("kind"))
 
 
-@query(r"""
-with wrapped as (select doc_id, 'Before ' || '<think>' || substr(text, 1, 40) || case when doc_id % 3 = 0 then '' else '</THINK> after ' || doc_id end as r from documents where text is not null)
-select doc_id, trim(regexp_replace(r, '(?is)<think>.*?(</think>|$)', '', 'g'), ' ') as answer, regexp_extract_all(r, '(?is)<think>(.*?)(?:</think>|$)', 1) as thoughts from wrapped
-""")
-def think_split(spark: SparkSession, base: str) -> DataFrame:
-    tail = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("</THINK> after "), F.col("doc_id").cast("string")))
-    d = table(spark, base, "documents").where("text is not null").select("doc_id", F.concat(F.lit("Before <think>"), F.substring("text", 1, 40), tail).alias("r"))
-    return d.select("doc_id", text.without_thinking(F.col("r")).alias("answer"), text.thinking(F.col("r")).alias("thoughts"))
-
-
 @query(r"""
 with wrapped as (select doc_id, 'Before ' || '<think>' || text || case when doc_id % 3 = 0 then '' else '</THINK> after ' || doc_id end as r from documents where text is not null)
 select doc_id, trim(regexp_replace(r, '(?is)<think>.*?(</think>|$)', '', 'g'), ' ') as answer, regexp_extract_all(r, '(?is)<think>(.*?)(?:</think>|$)', 1) as thoughts from wrapped
 """)
-def think_split_whole(spark: SparkSession, base: str) -> DataFrame:
-    """think_split over whole texts."""
+def think_split(spark: SparkSession, base: str) -> DataFrame:
     tail = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("</THINK> after "), F.col("doc_id").cast("string")))
     d = table(spark, base, "documents").where("text is not null").select("doc_id", F.concat(F.lit("Before <think>"), F.col("text"), tail).alias("r"))
     return d.select("doc_id", text.without_thinking(F.col("r")).alias("answer"), text.thinking(F.col("r")).alias("thoughts"))
@@ -238,9 +227,6 @@ def segment_offsets(spark: SparkSession, base: str) -> DataFrame:
 
 # ---- salts, units, equations ----------------------------------------------------------------------------------------
 
-_PLAIN_SALTS = r"regexp_full_match(raw_salt, '[A-Za-z0-9]+(-[A-Za-z0-9]+)*') and (regexp_full_match(raw_composition, '\d+(\.\d+)?(-\d+(\.\d+)?)*') or regexp_full_match(raw_composition, '\d+(\.\d+)?-\d+(\.\d+)? [A-Za-z0-9]+'))"
-
-
 @query(r"""
 select distinct case_id, raw_salt, len(list_filter(string_split(raw_salt, '-'), lambda c: not regexp_matches(trim(c), '^(Li|Be|Na|K|Zr|U|Th)F[0-9]?$'))) = 0 as in_scope from salt_canonicalization
 """)
@@ -248,62 +234,38 @@ def fluoride_scope_filter(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "salt_canonicalization").select("case_id", "raw_salt", chem.is_fluoride(F.col("raw_salt")).alias("in_scope")).distinct()
 
 
-@query(rf"""
-with c as (select distinct case_id, raw_salt, raw_composition, form_code from salt_canonicalization where {_PLAIN_SALTS}),
-s as (select *, form_code in ('I1', 'I2', 'I3', 'I4') as rng, string_split(raw_salt, '-') as p, string_split(split_part(raw_composition, ' ', 1), '-') as v, string_split(raw_composition, ' ') as w from c),
-f as (select *, case when rng and len(p) <> 2 then 'range-components' when rng and (len(w) <> 2 or len(v) <> 2) then 'range-form' when not rng and len(string_split(raw_composition, '-')) <> len(p) then 'value-count'
-   when not rng and len(list_filter(string_split(raw_composition, '-'), lambda x: not regexp_matches(x, '^\d+(\.\d+)?$'))) > 0 then 'value'
-   when rng and not list_contains(p, w[2]) then 'range-component' when not rng and abs(list_sum(list_transform(string_split(raw_composition, '-'), lambda x: try_cast(x as double))) - 100.0) > 2.0 then 'sum' end as flag_reason from s),
+_CANONICAL = rf"""
+c as (select distinct case_id, source, raw_salt, raw_composition, form_code from salt_canonicalization),
+s as (select *, coalesce(form_code in ('I1', 'I2', 'I3', 'I4'), false) as rng, regexp_replace(coalesce(raw_salt, ''), '^\s+|\s+$', '', 'g') as t, regexp_replace(coalesce(raw_composition, ''), '^\s+|\s+$', '', 'g') as u from c),
+p as (select *, string_split(t, '-') as p, string_split_regex(u, '\s+') as w from s),
+v as (select *, list_transform(case when rng then string_split(w[1], '-') else string_split(u, '-') end, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) as v from p),
+f as (select *, case when len(list_filter(p, lambda x: trim(x, ' ') = '')) > 0 then 'empty-component' when rng and len(p) <> 2 then 'range-components' when rng and (len(w) <> 2 or len(v) <> 2) then 'range-form' when not rng and len(v) <> len(p) then 'value-count'
+   when len(list_filter(v, lambda x: not regexp_full_match(x, '{NUMERIC.strip("^$")}'))) > 0 then 'value'
+   when rng and not list_contains(p, w[2]) then 'range-component' when not rng and abs(list_sum(list_transform(v, lambda x: try_cast(x as double))) - 100.0) > 2.0 then 'sum' end as flag_reason from v),
 o as (select *, list_sort(list_transform(range(1, len(p) + 1), lambda i: {{'c': p[i], 'i': i}})) as z from f),
 t as (select *, array_to_string(list_transform(z, lambda x: x.c), '-') as formula,
-   case when rng then w[2] || ' ' || array_to_string(list_transform(v, lambda x: printf('%.1f', try_cast(x as double))), '-') else array_to_string(list_transform(z, lambda x: printf('%.1f', try_cast(v[x.i] as double))), '-') end as tail from o)
+   case when flag_reason is not null then null when rng then w[2] || ' ' || array_to_string(list_transform(v, lambda x: printf('%.1f', try_cast(x as double))), '-') else array_to_string(list_transform(z, lambda x: printf('%.1f', try_cast(v[x.i] as double))), '-') end as tail from o)
+"""
+
+
+@query(rf"""
+with {_CANONICAL}
 select case_id, flag_reason, case when flag_reason is null then formula || ' | ' || tail end as canonical,
   case when flag_reason is null then 'msrd:salt-' || trim(regexp_replace(regexp_replace(formula || ' | ' || tail, '[ /#|=@]', '-', 'g'), '-+', '-', 'g'), '-') end as iri from t
 """)
 def canonicalize_lockstep(spark: SparkSession, base: str) -> DataFrame:
-    c = table(spark, base, "salt_canonicalization").select("case_id", "raw_salt", "raw_composition", "form_code").distinct()
-    n = r"\d+(\.\d+)?"
-    c = c.where(F.col("raw_salt").rlike("^[A-Za-z0-9]+(-[A-Za-z0-9]+)*$") & F.col("raw_composition").rlike(rf"^({n}(-{n})*|{n}-{n} [A-Za-z0-9]+)$"))
+    """Every case has a canonical form or a flag_reason."""
+    c = table(spark, base, "salt_canonicalization").select("case_id", "source", "raw_salt", "raw_composition", "form_code").distinct()
     return chem.canonical_salts(c).select("case_id", "flag_reason", "canonical", "iri")
 
 
-@query(rf"""
-with c as (select distinct case_id, source, raw_salt, raw_composition, form_code from salt_canonicalization where {_PLAIN_SALTS} and form_code not in ('I1', 'I2', 'I3', 'I4')),
-s as (select source, len(string_split(raw_salt, '-')) = len(string_split(raw_composition, '-')) as same, abs(list_sum(list_transform(string_split(raw_composition, '-'), lambda x: coalesce(try_cast(x as double), 0.0))) - 100.0) <= 2.0 as ok from c)
-select source, count(*) as cases, count(*) filter (where same and ok) as inside, count(*) filter (where same and not ok) as outside, count(*) filter (where not same) as miscounted from s group by source
-""")
+@query(rf"with {_CANONICAL} select source, flag_reason, count(*) as cases from t group by 1, 2")
 def positional_tolerance_flag(spark: SparkSession, base: str) -> DataFrame:
-    n = r"\d+(\.\d+)?"
-    c = table(spark, base, "salt_canonicalization").select("case_id", "source", "raw_salt", "raw_composition", "form_code").distinct().where(~F.col("form_code").isin("I1", "I2", "I3", "I4"))
-    c = c.where(F.col("raw_salt").rlike("^[A-Za-z0-9]+(-[A-Za-z0-9]+)*$") & F.col("raw_composition").rlike(rf"^({n}(-{n})*|{n}-{n} [A-Za-z0-9]+)$"))
-    v = F.transform(F.split("raw_composition", "-"), lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0)))
-    same = F.size(F.split("raw_salt", "-")) == F.size(v)
-    ok = F.abs(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) - 100.0) <= chem.TOLERANCE
-    return c.groupBy("source").agg(F.count("*").alias("cases"), F.count_if(same & ok).alias("inside"), F.count_if(same & ~ok).alias("outside"), F.count_if(~same).alias("miscounted"))
-
-
-@query()
-def canonicalize_all(spark: SparkSession, base: str) -> DataFrame:
-    """canonicalize_lockstep over all rows: each has a canonical form or a flag_reason."""
-    c = table(spark, base, "salt_canonicalization").select("case_id", "raw_salt", "raw_composition", "form_code").distinct()
-    return chem.canonical_salts(c).select("case_id", "flag_reason", "canonical", "iri")
-
-
-@query()
-def positional_tolerance_all(spark: SparkSession, base: str) -> DataFrame:
-    """source, flag_reason and number of cases over all rows; no reason: inside the tolerance."""
+    """source, flag_reason and number of cases; no reason: inside the tolerance."""
     c = table(spark, base, "salt_canonicalization").select("case_id", "source", "raw_salt", "raw_composition", "form_code").distinct()
     return chem.canonical_salts(c).groupBy("source", "flag_reason").agg(F.count("*").alias("cases"))
 
 
-@query()
-def label_variants_all(spark: SparkSession, base: str) -> DataFrame:
-    """label_variants over the labels of all rows."""
-    a = table(spark, base, "measurement_value").select(F.col("salt").alias("label"))
-    b = table(spark, base, "salt_canonicalization").select(F.col("raw_salt").alias("label"))
-    return a.union(b).where("label is not null").distinct().select("label", chem.label_variants(F.substring_index("label", " | ", 1)).alias("variants"))
-
-
 @query(r"""
 with names as (select distinct 'CaF2' as c union select distinct unnest(string_split(split_part(salt, ' | ', 1), '-')) from measurement_value where source = 'nist')
 select regexp_replace(c, '\d+$', '') as skeleton, min(c) as compound from names group by 1 having count(*) = 1
@@ -343,9 +305,31 @@ def equation_eval_case(spark: SparkSession, base: str) -> DataFrame:
     return _evaluated(spark, base)
 
 
-@query(f"with a as ({_EVAL}), b as (select property, max(value) as value from a group by property) select property, value from b where value is not null")
+_FORMS = list(dict.fromkeys(equations.FORM_CODES.values()))
+
+
+@query(f"""
+with v as (select distinct locator, c0, coalesce(c1, 0) as c1, coalesce(c2, 0) as c2, coalesce(c3, 0) as c3, coalesce(c4, 0) as c4 from measurement_value where c0 is not null and not isnan(c0)),
+f as (select *, unnest({_FORMS!r}) as form from v),
+e as (select locator, form, case form when 'Linear' then c0 + c1 * 2.5 when 'Isotherm1' then c0 + c1 * 2.5 when 'Polynomial2' then c0 + c1 * 2.5 + c2 * 6.25 when 'Isotherm2' then c0 + c1 * 2.5 + c2 * 6.25
+  when 'Polynomial3' then c0 + c1 * 2.5 + c2 * 6.25 + c3 * 15.625 when 'Isotherm3' then c0 + c1 * 2.5 + c2 * 6.25 + c3 * 15.625 when 'Polynomial4' then c0 + c1 * 2.5 + c2 * 6.25 + c3 * 15.625 + c4 * 39.0625 when 'Isotherm4' then c0 + c1 * 2.5 + c2 * 6.25 + c3 * 15.625 + c4 * 39.0625
+  when 'DiscretePoint' then case when c1 = 2.5 then c0 end when 'Arrhenius' then c0 * exp(least(c1, 9) / ({equations.GAS} * 2.5)) when 'ExtendedArrhenius1' then c0 * exp(least(c1, 9) / ({equations.GAS} * 2.5) + least(c2, 9) / 6.25)
+  when 'ExtendedArrhenius2' then c0 * exp(least(c1, 9) / ({equations.GAS} * (2.5 - least(c2, 2)))) end as value from f)
+select locator, form, floor(value * 10000 + 0.5) as scaled from e
+""")
+def equation_eval_forms(spark: SparkSession, base: str) -> DataFrame:
+    """Every fit under all twelve forms at 2.5; coefficients in exponents are kept small."""
+    v = table(spark, base, "measurement_value").where("c0 is not null and not isnan(c0)").select("locator", "c0", *[F.coalesce(f"c{i}", F.lit(0.0)).alias(f"c{i}") for i in range(1, 5)]).distinct()
+    v = v.select("*", F.explode(F.array(*map(F.lit, _FORMS))).alias("form"))
+    small = lambda c, most: F.when(F.col("form").contains("Arrhenius"), F.least(F.col(c), F.lit(most))).otherwise(F.col(c))
+    c2 = F.when(F.col("form") == "ExtendedArrhenius2", F.least("c2", F.lit(2.0))).otherwise(small("c2", 9.0))
+    got = equations.value_at(F.col("form"), [F.col("c0"), small("c1", 9.0), c2, F.col("c3"), F.col("c4")], F.lit(2.5))
+    return v.select("locator", "form", F.floor(got * 10000 + 0.5).cast("double").alias("scaled"))
+
+
+@query(f"with a as ({_EVAL}), b as (select property, min(struct_pack(v := -value, s := salt)) as top from a where value is not null group by property) select property, top.s as salt, -top.v as value from b")
 def comparative_argmax(spark: SparkSession, base: str) -> DataFrame:
-    return grounding.best_candidate(_evaluated(spark, base), "property", "salt").select("property", "value")
+    return grounding.best_candidate(_evaluated(spark, base), "property", "salt")
 
 
 @query("""
@@ -361,13 +345,17 @@ def locator_disambiguation(spark: SparkSession, base: str) -> DataFrame:
     return u.select("row_key", "base", "locator")
 
 
-@query("""
-with d as (select distinct case_id, source, form_code, is_range, canonical from salt_canonicalization)
-select source, count(*) as read, count(canonical) as kept, count(*) filter (where canonical is null) as flagged, count(distinct canonical) as distinct_salts from d group by source
+@query(rf"""
+with {_CANONICAL},
+k as (select *, len(list_filter(string_split(raw_salt, '-'), lambda x: not regexp_matches(trim(x, ' '), '^(Li|Be|Na|K|Zr|U|Th)F[0-9]?$'))) = 0 as scope, case when flag_reason is null then formula || ' | ' || tail end as canon from t where raw_salt is not null)
+select source as property, count(*) as read, count(*) filter (where scope and flag_reason is null) as kept, count(*) filter (where not scope) as out_of_scope, count(*) filter (where scope and flag_reason is not null) as flagged,
+  count(distinct case when scope and flag_reason is null then canon end) as distinct_salts from k group by source
 """)
 def ingest_summary(spark: SparkSession, base: str) -> DataFrame:
-    d = table(spark, base, "salt_canonicalization").select("case_id", "source", "form_code", "is_range", "canonical").distinct()
-    return d.groupBy("source").agg(F.count("*").alias("read"), F.count("canonical").alias("kept"), F.count_if(F.col("canonical").isNull()).alias("flagged"), F.count_distinct("canonical").alias("distinct_salts"))
+    """The cases as rows of property tables, one a source."""
+    none = {c: F.lit(None).cast("string") for c in ("data1", "data2", "data3", "data4", "data5", "t_min", "t_max")}
+    d = table(spark, base, "salt_canonicalization").where("raw_salt is not null").select("case_id", F.col("source").alias("property"), F.col("raw_salt").alias("salt"), F.col("raw_composition").alias("composition"), F.col("form_code").alias("code")).distinct()
+    return ingest.summary(ingest.measured(d.withColumns(none), {"density": "unit:GM-PER-CentiM3"}))
 
 
 @query(r"""
@@ -496,10 +484,13 @@ select pm.s as focus_node, 'PropertyMeasurementShape' as shape, 'minCount' as "c
 union all
 select s, 'CatalogIndividualProvenanceShape', 'minCount', path from (select distinct s from t where p = 'rdf:type' and o in ('msr:MoltenSalt', 'msr:Constituent', 'msr:ChemicalCompound')), unnest(['prov:wasGeneratedBy', 'prov:wasDerivedFrom']) n(path) where not exists (select 1 from t where t.s = s and t.p = path and t.s like 'never')
 union all
+select distinct t.s, 'PropertyMeasurementUnitAllowlistShape', 'in', 'msr:hasUnit' from t join pm on pm.s = t.s where t.p = 'msr:hasUnit' and t.o not in (select unit_curie from unit_catalog where property <> 'density' and unit_curie is not null)
+union all
 select distinct s, 'LinksToTargetKindShape', 'class', 'msr:linksTo' from t where p = 'msr:linksTo' and o not in (select s from t where p = 'rdf:type' and o in ('skos:Concept', 'owl:Class', 'msr:PhysicalProperty', 'msr:MoltenSalt'))
 """)
 def shape_violations(spark: SparkSession, base: str) -> DataFrame:
-    return shapes.validate(_quads(spark, base)).select("focus_node", "shape", "constraint", "path").distinct()
+    allowed = table(spark, base, "unit_catalog").where("property <> 'density'").select(F.col("unit_curie").alias("unit"))
+    return shapes.validate(_quads(spark, base), allowed).select("focus_node", "shape", "constraint", "path").distinct()
 
 
 @query("""
@@ -523,18 +514,24 @@ def transitive_closure(spark: SparkSession, base: str) -> DataFrame:
 # ---- grounding ------------------------------------------------------------------------------------------------------
 
 
+def _facts(spark: SparkSession, base: str) -> DataFrame:
+    """Triples of the core with mentions, unit labels and what serves a function."""
+    m = table(spark, base, "mentions").where("status = 'linked'").select(F.concat(F.lit("mention:"), F.col("mention_id").cast("string")).alias("id"), F.lit("msr:Mention").alias("type"), F.col("surface_form").alias("surface"), F.col("target_iri").alias("target"))
+    out = graph.entity_quads(m, "data", "id", None, {"type": (graph.TYPE, "uri", None), "surface": ("msr:surfaceForm", "literal", None), "target": ("msr:linksTo", "uri", None)})
+    u = table(spark, base, "unit_catalog").where("unit_curie is not null")
+    out = out.unionByName(graph.entity_quads(u, "vocab", "unit_curie", None, {"unit_symbol": ("rdfs:label", "literal", None)}))
+    r = table(spark, base, "relations").where("role_iri is not null").groupBy("role_iri").agg(F.min(F.concat(F.lit("msrd:"), F.col("report"))).alias("source")).withColumn("serves", F.lit("msr:meltingPoint"))
+    out = out.unionByName(graph.entity_quads(r, "data", "role_iri", None, {"source": ("prov:wasDerivedFrom", "uri", None), "serves": ("msr:servedByProperty", "uri", None)}))
+    return graph.core(_quads(spark, base).unionByName(out))
+
+
 @query("""
-select distinct m.target_iri as salt, r.property_iri, r.unit_iri, c.pref_label, u.unit_symbol
-from mentions m join relations r on r.salt_iri = m.target_iri and r.relation_kind = 'measurement'
-left join concepts c on c.target_iri = m.target_iri left join unit_catalog u on u.property = replace(r.property_iri, 'msr:', '')
-where m.status = 'linked'
+with hit as (select distinct target_iri as salt from mentions where status = 'linked' and contains(lower(surface_form), 'lif'))
+select distinct 'rel:' || relation_id as s, r.salt_iri as salt, r.property_iri as property, r.unit_iri as unit, 'msrd:doc-' || r.doc_id as source, u.unit_symbol as unit_label
+from relations r join hit on hit.salt = r.salt_iri left join unit_catalog u on u.unit_curie = r.unit_iri where r.relation_kind = 'measurement' and r.property_iri = 'msr:density'
 """)
 def ground_star_optional(spark: SparkSession, base: str) -> DataFrame:
-    m = table(spark, base, "mentions").where("status = 'linked'").select(F.col("target_iri").alias("salt")).distinct()  # before the join: one row a target, however hot
-    r = table(spark, base, "relations").where("relation_kind = 'measurement'").select(F.col("salt_iri").alias("salt"), "property_iri", "unit_iri").distinct()
-    c = table(spark, base, "concepts").select(F.col("target_iri").alias("salt"), "pref_label")
-    u = table(spark, base, "unit_catalog").select(F.concat(F.lit("msr:"), F.col("property")).alias("property_iri"), "unit_symbol")
-    return m.join(r, "salt").join(c, "salt", "left").join(u, "property_iri", "left").select("salt", "property_iri", "unit_iri", "pref_label", "unit_symbol")
+    return grounding.ground(_facts(spark, base), "LiF", prop="density").select("s", "salt", "property", "unit", "source", "unit_label").distinct()
 
 
 @query("""
@@ -544,20 +541,17 @@ where c.target_kind = 'salt' and not exists (select 1 from relations r where r.r
 def evidence_gap_anti(spark: SparkSession, base: str) -> DataFrame:
     salts = table(spark, base, "concepts").where("target_kind = 'salt'").select(F.col("target_iri").alias("salt"))
     props = [r[0] for r in table(spark, base, "unit_catalog").select("property").distinct().collect()]  # the unit catalogue: one row a property
-    wanted = salts.select("salt", F.explode(F.array(*map(F.lit, props))).alias("property"))
-    have = table(spark, base, "relations").where("relation_kind = 'measurement'").select(F.col("salt_iri").alias("salt"), F.regexp_replace("property_iri", "^msr:", "").alias("property")).distinct()
-    return wanted.join(have, ["salt", "property"], "left_anti")
+    have = table(spark, base, "relations").where("relation_kind = 'measurement'").select(F.col("salt_iri").alias("salt"), F.regexp_replace("property_iri", "^msr:", "").alias("property"))
+    return grounding.gaps(salts, props, have)
 
 
 @query("""
-select r_name, n_name, count(distinct l_orderkey) as orders, count(distinct p_partkey) as parts, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
-from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey join lineitem on l_suppkey = s_suppkey join part on p_partkey = l_partkey group by 1, 2
+with served as (select role_iri as safety_function, min('msrd:' || report) as function_source from relations where role_iri is not null group by role_iri)
+select distinct s.safety_function, s.function_source, 'msr:meltingPoint' as property, 'rel:' || r.relation_id as measurement, r.salt_iri as salt, 'msrd:doc-' || r.doc_id as measurement_source
+from served s, relations r where r.relation_kind = 'measurement' and r.property_iri = 'msr:meltingPoint'
 """)
 def evidence_chain(spark: SparkSession, base: str) -> DataFrame:
-    li = table(spark, base, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
-    s = table(spark, base, "supplier").join(table(spark, base, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, base, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
-    j = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, base, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy("r_name", "n_name").agg(F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("p_partkey").alias("parts"), F.round(F.sum("v"), 2).alias("revenue"))
+    return grounding.safety_chain(_facts(spark, base)).select("safety_function", "function_source", "property", "measurement", "salt", "measurement_source")
 
 
 @query("""
@@ -643,21 +637,34 @@ def relation_dedup_best(spark: SparkSession, base: str) -> DataFrame:
     return relations.best_of_key(r, ["report", "property_iri", "salt_iri"], order, "relation_id").select("relation_id", "disposition", "reason")
 
 
-@query(r"""
+_UNIT_SQL = "(case translate(trim(unit, ' '), '·³μ', '.3u') when 'cP' then 'viscosity' when 'mPa.s' then 'viscosity' when 'mPas' then 'viscosity' when 'g/cm3' then 'density' when 'g/cc' then 'density' when 'mN/m' then 'surfaceTension' when 'S/cm' then 'electricalConductivity' end)"
+
+
+@query(rf"""
 with salts as (select distinct target_iri from concepts where target_kind = 'salt'), roles as (select distinct role_iri from relations where role_iri is not null and disposition = 'written'),
 m as (select distinct report, seg_index, target_iri from mentions where status = 'linked'),
-r as (select distinct relation_id, report, seg_index, relation_kind as kind, salt_iri, property_iri, role_iri, reactor_iri, case when confidence between 0 and 1 and not isnan(confidence) then confidence else 0.0 end as conf from relations)
+r as (select distinct relation_id, report, seg_index, relation_kind as kind, salt_iri, property_iri, unit, val, role_iri, reactor_iri, case when confidence between 0 and 1 and not isnan(confidence) then confidence else 0.0 end as conf from relations)
 select relation_id, case when conf < 0.5 then 'below-threshold'
-  when (kind = 'role' and (salt_iri is null or role_iri is null)) or (kind = 'reactor' and (salt_iri is null or reactor_iri is null)) then 'malformed-relation'
-  when salt_iri not in (select target_iri from salts) then 'unknown-salt'
+  when kind = 'measurement' and (salt_iri is null or property_iri is null or unit is null) or kind = 'role' and (salt_iri is null or role_iri is null) or kind = 'reactor' and (salt_iri is null or reactor_iri is null)
+    or kind = 'servedByProperty' and (salt_iri is null or property_iri is null) or kind = 'addressesFunction' or kind not in ('measurement', 'role', 'reactor', 'servedByProperty', 'addressesFunction') then 'malformed-relation'
+  when kind = 'measurement' and salt_iri not in (select target_iri from salts) then 'salt-not-composed'
+  when kind = 'measurement' and property_iri not in (select 'msr:' || property from unit_catalog) then 'unknown-property'
+  when kind = 'measurement' and {_UNIT_SQL} is null then 'unit-unmappable'
+  when kind = 'measurement' and {_UNIT_SQL} <> replace(property_iri, 'msr:', '') then 'unit-dimension-mismatch'
+  when kind = 'measurement' and val is null then 'equation-parse'
+  when kind in ('role', 'reactor') and salt_iri not in (select target_iri from salts) then 'unknown-salt'
   when kind = 'role' and role_iri not in (select role_iri from roles) then 'unknown-role'
-  when kind = 'reactor' and not exists (select 1 from m where m.report = r.report and m.seg_index = r.seg_index and m.target_iri = r.reactor_iri) then 'reactor-not-grounded' else '' end as reason
-from r where kind in ('role', 'reactor')
+  when kind = 'reactor' and not exists (select 1 from m where m.report = r.report and m.seg_index = r.seg_index and m.target_iri = r.reactor_iri) then 'reactor-not-grounded'
+  when kind = 'servedByProperty' then 'unknown-safety-function' else '' end as reason
+from r
 """)
 def reason_code_validation(spark: SparkSession, base: str) -> DataFrame:
-    r = table(spark, base, "relations").where("relation_kind in ('role', 'reactor')").select(
-        "relation_id", "report", "seg_index", F.col("relation_kind").alias("kind"), F.col("salt_iri").alias("salt"), F.col("property_iri").alias("property"), "unit", F.col("role_iri").alias("role"), F.col("reactor_iri").alias("reactor"), "confidence",
-        *[F.lit(None).cast(t).alias(c) for c, t in (("safety_function", "string"), ("requirement", "string"), ("form_hint", "string"), ("value", "double"), ("temperature", "double"), ("coefficients", "array<double>"))],
+    """All kinds; a measurement is a point of its value at 900 K, the salt of a served property stands for the function."""
+    k = F.col("relation_kind")
+    r = table(spark, base, "relations").select(
+        "relation_id", "report", "seg_index", k.alias("kind"), F.col("salt_iri").alias("salt"), F.col("property_iri").alias("property"), "unit", F.col("role_iri").alias("role"), F.col("reactor_iri").alias("reactor"), "confidence",
+        F.when(k == "servedByProperty", F.col("salt_iri")).alias("safety_function"), F.lit(None).cast("string").alias("requirement"), F.when(k == "measurement", "DiscretePoint").alias("form_hint"),
+        F.col("val").alias("value"), F.when(k == "measurement", 900.0).alias("temperature"), F.lit(None).cast("array<double>").alias("coefficients"),
     ).distinct()
     c = table(spark, base, "concepts")
     every = table(spark, base, "relations")
@@ -689,17 +696,23 @@ def span_overlap_join(spark: SparkSession, base: str) -> DataFrame:
     return linker.overlapping(m, r, ["doc_id", "seg_index"]).select("mention_id", F.col("b_relation_id").alias("relation_id"))
 
 
+@query()
+def fuzzy_best_match(spark: SparkSession, base: str) -> DataFrame:
+    """The best label of every surface by weighted similarity, where it reaches the score."""
+    c = table(spark, base, "concepts").select(F.col("target_iri").alias("iri"), F.col("target_kind").alias("kind"), F.concat(F.array("pref_label"), F.coalesce("alt_labels", F.array().cast("array<string>"))).alias("labels"))
+    surfaces = table(spark, base, "ornl_tm_2316_gold").select("surface").unionByName(table(spark, base, "mentions").select(F.col("surface_form").alias("surface")))
+    return linker.fuzzy_labels(surfaces.where("surface is not null").distinct(), c)
+
+
 @query("""
-with g as (select distinct gold_id, regexp_replace(surface, '[^\x20-\x7E]', '?', 'g') as surface from ornl_tm_2316_gold where surface is not null and length(trim(surface)) > 2),
-l as (select distinct target_iri, pref_label from concepts),
-d as (select gold_id, target_iri, levenshtein(lower(surface), lower(pref_label)) as d from g, l)
+with g as (select distinct gold_id, lower(surface) as surface from ornl_tm_2316_gold where surface is not null and regexp_full_match(surface, '[\\x00-\\x7F]*')), l as (select distinct target_iri, pref_label from concepts),
+d as (select gold_id, target_iri, levenshtein(surface, lower(pref_label)) as d from g, l)
 select gold_id, min(d) as distance, min(struct_pack(d := d, t := target_iri)).t as target_iri from d group by gold_id
 """)
-def fuzzy_best_match(spark: SparkSession, base: str) -> DataFrame:
-    # engines count the distance of other letters differently, so these are one letter here
-    g = table(spark, base, "ornl_tm_2316_gold").where("surface is not null and length(trim(surface)) > 2").select("gold_id", F.regexp_replace("surface", r"[^\x20-\x7E]", "?").alias("surface")).distinct()
-    concepts = table(spark, base, "concepts").select("target_iri", "pref_label").distinct()
-    return linker.nearest_labels(g, "gold_id", "surface", concepts)
+def nearest_label(spark: SparkSession, base: str) -> DataFrame:
+    """Plain edit distance; engines count it differently for other letters than ASCII, so surfaces with such are left to fuzzy_best_match."""
+    g = table(spark, base, "ornl_tm_2316_gold").where("surface is not null").where(F.col("surface").rlike(r"^[\x00-\x7F]*$")).select("gold_id", "surface").distinct()
+    return linker.nearest_labels(g, "gold_id", "surface", table(spark, base, "concepts").select("target_iri", "pref_label").distinct())
 
 
 @query("select report, count(distinct seg_index) as segments, count(*) filter (where layer = 2 and status = 'linked') as layer2, count(*) filter (where layer = 3 and status = 'linked') as layer3, count(*) filter (where layer = 4 and status = 'linked') as layer4, count(*) filter (where layer = 5 and status = 'linked') as layer5, count(*) filter (where status = 'novel') as novel from mentions group by report")
@@ -719,14 +732,16 @@ def layered_linker(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-with e as (select event_id, json_extract(props, '$.k') as k, json_type(props) as t, value from events)
-select event_id, try_cast(k as bigint) as k, case when t <> 'OBJECT' or t is null then 'malformed' when try_cast(k as bigint) is null then 'missing' when value is null or isnan(value) then 'no-value' else '' end as reason from e
+with r as (select distinct relation_id, relation_kind as kind, salt_iri as salt, role_iri as role, confidence from relations)
+select relation_id, relation_id % 7 = 0 as malformed, case when relation_id % 7 <> 0 and relation_id % 5 <> 0 then kind end as kind, case when relation_id % 7 <> 0 and relation_id % 5 <> 0 then salt end as salt,
+  case when relation_id % 7 <> 0 and relation_id % 5 <> 0 then role end as role, case when relation_id % 7 <> 0 and relation_id % 5 <> 0 and not isnan(confidence) then confidence end as confidence from r
 """)
 def json_shape_check(spark: SparkSession, base: str) -> DataFrame:
-    e = table(spark, base, "events").withColumn("p", F.from_json("props", "k bigint"))
-    k = F.col("p.k")
-    reason = F.when(F.col("p").isNull() | ~F.trim("props").startswith("{"), "malformed").when(k.isNull(), "missing").when(F.col("value").isNull() | F.isnan("value"), "no-value").otherwise("")
-    return e.select("event_id", k.alias("k"), reason.alias("reason"))
+    """Replies of a model made of the relations: some are no JSON, some propose nothing, one proposes each of the others."""
+    r = table(spark, base, "relations").select("relation_id", F.col("relation_kind").alias("kind"), F.col("salt_iri").alias("salt"), F.col("role_iri").alias("role"), "confidence").distinct()
+    one = F.to_json(F.struct(F.array(F.struct("kind", "salt", "role", F.nanvl("confidence", F.lit(None).cast("double")).alias("confidence"))).alias("relations")))
+    reply = F.when(F.col("relation_id") % 7 == 0, F.concat(F.lit("Sorry, "), F.col("kind"))).when(F.col("relation_id") % 5 == 0, F.lit('{"relations": []}')).otherwise(one)
+    return relations.proposals(r.select("relation_id", reply.alias("reply"))).select("relation_id", "malformed", "kind", "salt", "role", "confidence")
 
 
 GUARDED = "WITH big AS (SELECT property, source, c0 FROM measurement_value WHERE c0 > 1 AND NOT isnan(c0)) SELECT property, source, count(*) AS n, max(c0) AS top FROM big GROUP BY property, source -- DROP is only a word here\n;"
@@ -737,20 +752,30 @@ def sql_guard_select(spark: SparkSession, base: str) -> DataFrame:
     return sqlsurface.select(spark, GUARDED, {"measurement_value": table(spark, base, "measurement_value")})
 
 
+_TEXTS = {
+    "SELECT 1": True, "select a from t;": True, "WITH x AS (SELECT 1) SELECT * FROM x": True, "SELECT ''DROP;''": True, "SELECT 1; DROP TABLE t": False, "PRAGMA x": False, "SELECT ''a": False,
+    "INSERT INTO t VALUES (1)": False, "": False, "/* x": False, "WITH x AS (DELETE FROM t) SELECT 1": False, "SELECT replace(a, ''b'', ''c'') FROM t": False, "SELECT reflect(''a'', ''b'')": False, "-- only a comment": False,
+}
+
+
+@query("select * from (values " + ", ".join(f"('{q}', {str(ok).lower()})" for q, ok in _TEXTS.items()) + ") t(query, accepted)")
+def sql_guard_texts(spark: SparkSession, base: str) -> DataFrame:
+    texts = [q.replace("''", "'") for q in _TEXTS]
+    return spark.createDataFrame([(q, sqlsurface.allowed(q)) for q in texts], "query string, accepted boolean")
+
+
 # ---- streams: extensions --------------------------------------------------------------------------------------------
 
 
 @query("select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def stream_windows(spark: SparkSession, base: str) -> DataFrame:
-    """The windowed aggregate of the whole stream, run to its end into a table."""
+    """The windowed aggregate of the whole stream, computed in the stream with watermark and state, run to its end."""
     path = f"{base}/events.parquet"
     schema = spark.read.parquet(path).schema
-    out = scratch(spark, "windows")
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = path if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory() else base
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if folder == base else "*.parquet").parquet(folder)
-    observations.run_available(stream.select("ts", "event_type", "value"), lambda b, i: b.write.mode("append").parquet(out))
-    w = observations.windowed(spark.read.parquet(out))
+    w = observations.run_windows(stream.select("ts", "event_type", "value"))
     return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 

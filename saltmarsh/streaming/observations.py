@@ -58,3 +58,19 @@ def latest_sink(store: SnapshotStore, name: str, keys: list[str], order: str) ->
         store.write({name: top.select(rows.columns)})
 
     return write
+
+
+def run_windows(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour", checkpoint: str | None = None) -> DataFrame:
+    """The windows of a stream, run to what is there: state and watermark are the stream's own.
+
+    Each batch hands on the windows it changed with their new totals; the last batch that changed a window holds its
+    result, so a batch that is delivered twice changes nothing. Windows come out before the watermark closes them, so none
+    that is open at the end is missing.
+    """
+    spark = stream.sparkSession
+    out = scratch(spark, "windows")
+    q = windowed(stream, late, width).writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batch={i}"))
+    q.option("checkpointLocation", checkpoint or scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.schema("window_start timestamp, event_type string, n long, total double, batch long").parquet(f"{out}/batch=*")
+    last = F.max(F.struct("batch", "n", "total")).alias("t")
+    return changed.groupBy("window_start", "event_type").agg(last).select("window_start", "event_type", "t.n", "t.total")

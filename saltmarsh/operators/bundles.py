@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions.text import local_name, term_slug
-from saltmarsh.operators.graph import entity_quads, typed
+from saltmarsh.operators.graph import entity_quads, pivot, typed
 
 LABEL = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$"
 TYPE_REF = r"^(?:[A-Za-z][\w-]*:)?[A-Za-z][\w-]*$"
@@ -26,21 +26,52 @@ def corpus_of(genre: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in CORPUS.items() for x in kv])[genre], F.lit("corpus:general"))
 
 
+def document_slug(iri: Column) -> Column:
+    """What stands behind the last `#` or `/`, as a slug."""
+    return term_slug(F.regexp_extract(iri, r"([^#/]*)$", 1))
+
+
+def unit_guarded(proposals: DataFrame, units: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Proposals (unit, quantity_kind) whose asserted unit (unit) and quantity kind (quantity_kind) are on the allowlists; what asserts none passes."""
+    u = units.select("unit").distinct().withColumn("_u", F.lit(True))
+    k = kinds.select("quantity_kind").distinct().withColumn("_k", F.lit(True))
+    j = proposals.join(u, "unit", "left").join(k, "quantity_kind", "left")
+    return j.where((F.col("unit").isNull() | F.col("_u").isNotNull()) & (F.col("quantity_kind").isNull() | F.col("_k").isNotNull())).select(proposals.columns)
+
+
 def bundle(candidates: DataFrame) -> DataFrame:
-    """Staging quads of candidates (term, kind, evidence, observations): proposal, evidence and observation nodes with identifiers that follow from their contents.
+    """Staging quads of candidates (term, kind, run_id, generated_at, evidence, observations): proposal, evidence and observation nodes.
 
-    Evidence and observations are exploded, never gathered.
+    Identifiers follow from what the nodes are about: a proposal from its kind and term, evidence from its report and
+    offsets, an observation from proposal, document and run. So the same run written twice changes nothing, and another
+    run's observation of a document stands beside the first. Evidence and observations are exploded, never gathered.
+    Rows of evidence without report or offsets and observations without document have no node.
     """
-    c = candidates.withColumn("id", F.concat(F.lit("msrd:proposal-"), F.col("kind"), F.lit("-"), term_slug(F.col("term"))))
-    out = entity_quads(c.withColumn("status", F.lit("pending")), "staging", "id", "msr:ChangeProposal", {"kind": ("msr:kind", "literal", None), "term": ("msr:term", "literal", None), "status": ("msr:reviewStatus", "literal", None)})
+    slug = term_slug(F.col("term"))
+    c = candidates.withColumns({
+        "name": F.concat(F.col("kind"), F.lit("-"), slug), "status": F.lit("pending"), "run": term_slug(F.coalesce("run_id", F.lit(""))), "at": F.date_format("generated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+    }).withColumns({"id": F.concat(F.lit("msrd:proposal-"), F.col("name")), "graph": F.concat(F.lit("urn:msr:proposal/"), F.col("name"))})
+    literal = lambda p, t="xsd:string": (p, "literal", t)
+    uri = lambda p: (p, "uri", None)
+    out = entity_quads(c, "staging", "id", "msr:ChangeProposal", {"kind": literal("msr:kind"), "term": literal("msr:term"), "status": literal("msr:reviewStatus"), "graph": literal("msr:hasProposalGraph", "xsd:anyURI")})
     e = c.select("id", F.explode("evidence").alias("e")).select("id", "e.*")
-    e = e.withColumn("node", F.concat(F.lit("msrd:evidence-"), F.substring(F.sha2(F.concat_ws("|", "id", "report", F.col("start_offset").cast("string")), 256), 1, 24)))
-    out = out.unionByName(entity_quads(e, "staging", "id", None, {"node": ("msr:hasEvidence", "uri", None)}))
-    out = out.unionByName(entity_quads(e, "staging", "node", "msr:Evidence", {"document_iri": ("msr:inDocument", "uri", None), "sentence_text": ("msr:sentenceText", "literal", None), "start_offset": ("msr:startOffset", "literal", "xsd:integer"), "end_offset": ("msr:endOffset", "literal", "xsd:integer")}))
-    o = c.select("id", F.explode("observations").alias("o")).select("id", "o.*").where("document_iri is not null")
-    o = o.withColumn("node", F.concat(F.lit("msrd:observation-"), F.substring(F.sha2(F.concat_ws("|", "id", "document_iri", "corpus"), 256), 1, 24)))
-    out = out.unionByName(entity_quads(o, "staging", "id", None, {"node": ("msr:hasObservation", "uri", None)}))
-    return out.unionByName(entity_quads(o, "staging", "node", "msr:Observation", {"document_iri": ("msr:inDocument", "uri", None), "corpus": ("msr:inCorpus", "uri", None), "occurrence_count": ("msr:occurrenceCount", "literal", "xsd:integer")})).distinct()
+    e = e.withColumn("node", F.concat(F.lit("msrd:evidence-"), F.col("report"), F.lit("-"), F.col("start_offset").cast("string"), F.lit("-"), F.col("end_offset").cast("string"))).where("node is not null")
+    out = out.unionByName(entity_quads(e, "staging", "id", None, {"node": uri("msr:hasEvidence")}))
+    out = out.unionByName(entity_quads(e, "staging", "node", "msr:Evidence", {"sentence_text": literal("msr:evidenceText"), "document_iri": uri("msr:citedIn"), "start_offset": literal("msr:startOffset", "xsd:integer"), "end_offset": literal("msr:endOffset", "xsd:integer")}))
+    o = c.select("id", "name", "run", "at", F.explode("observations").alias("o")).select("id", "name", "run", "at", "o.*").where("document_iri is not null")
+    o = o.withColumn("node", F.concat(F.lit("msrd:obs-"), F.col("name"), F.lit("-"), document_slug(F.col("document_iri")), F.lit("-"), F.col("run"))).withColumn("activity", F.when(F.col("run") != "", F.concat(F.lit("msrd:run-"), F.col("run"))))
+    out = out.unionByName(entity_quads(o, "staging", "id", None, {"node": uri("msr:hasObservation")}))
+    return out.unionByName(entity_quads(o, "staging", "node", "msr:Observation", {
+        "document_iri": uri("msr:inDocument"), "corpus": uri("msr:inCorpus"), "occurrence_count": literal("msr:occurrenceCount", "xsd:integer"), "activity": uri("msr:observedInRun"), "at": literal("prov:generatedAtTime", "xsd:dateTime"),
+    })).distinct()
+
+
+def observation_rows(quads: DataFrame) -> DataFrame:
+    """proposal_id, document, corpus, occurrence_count, generated_at of the observation nodes of staging: what the review queue reads."""
+    s = quads.where("g = 'staging'")
+    o = pivot(s, "msr:Observation", {"msr:inDocument": "document", "msr:inCorpus": "corpus", "msr:occurrenceCount": "n", "prov:generatedAtTime": "generated_at"})
+    of = s.where("p = 'msr:hasObservation'").select(F.col("s").alias("proposal_id"), F.col("o").alias("s"))
+    return of.join(o, "s").select("proposal_id", "document", F.coalesce("corpus", F.lit("")).alias("corpus"), F.coalesce(F.col("n").cast("int"), F.lit(0)).alias("occurrence_count"), "generated_at")
 
 
 def document_quads(documents: DataFrame, g: str = "data") -> DataFrame:
@@ -70,10 +101,18 @@ def edited(quads: DataFrame, s: str, p: str, value: str | None) -> DataFrame:
 
 
 def truncated(text: Column, lines: int = 50, size: int = 4096) -> Column:
-    """struct(text, truncated): the first lines, then the first characters."""
+    """struct(text, truncated): the first lines, then the first bytes; a character that the last byte would cut is left out."""
     parts = F.split(text, "\n")
+    more = F.size(parts) > lines
     cut = F.array_join(F.slice(parts, 1, lines), "\n")
-    return F.struct(F.left(cut, F.lit(size)).alias("text"), ((F.size(parts) > lines) | (F.length(cut) > size)).alias("truncated"))
+    cut = F.when(more, F.concat(cut, F.lit("\n"))).otherwise(cut)
+    # the longest beginning of whole characters: bytes that begin no character follow at most three times
+    data = F.encode(cut, "UTF-8")
+    begins = lambda k: (F.conv(F.hex(F.substring(data, F.lit(size + 1) - k, F.lit(1))), 16, 10).cast("int").bitwiseAND(0xC0)) != 0x80
+    keep = F.when(begins(0), size).when(begins(1), size - 1).when(begins(2), size - 2).otherwise(size - 3)
+    short = F.decode(F.substring(data, F.lit(1), keep), "UTF-8")
+    long = F.octet_length(cut) > size
+    return F.struct(F.when(long, short).otherwise(cut).alias("text"), (more | long).alias("truncated"))
 
 
 def merged_catalog(constituents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ prunes files. A quad is identified by all seven columns; null datatype and lang
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.session import cut
+from saltmarsh.session import written
 
 COLUMNS = ["g", "s", "p", "o", "o_type", "datatype", "lang"]
 CORE = ("ontology", "data", "vocab")
@@ -17,6 +19,8 @@ KNOWN = (*CORE, "staging")
 TYPE = "rdf:type"
 #: Rounds of a closure before it is given up as endless; a hierarchy this deep is an error.
 DEEPEST = 200
+#: Rounds of a closure kept apart.
+MERGED = 12
 
 
 def core(quads: DataFrame, graphs: tuple[str, ...] = CORE) -> DataFrame:
@@ -79,20 +83,26 @@ def labels(triples: DataFrame, predicates: tuple[str, ...] = ("rdfs:label", "sko
 def closure(edges: DataFrame, starts: DataFrame, reflexive: bool = True) -> DataFrame:
     """(start, node) reachable over edges (src, dst) from starts (node); a reflexive closure holds each start, with or without edges.
 
-    The frontier is joined round by round and what was seen is taken off, so cycles end. Each round is checkpointed.
+    The frontier is joined round by round and what was seen is taken off, so cycles end. Each round is written once, as
+    rows of its own; what was seen is the union of the rounds, which is never written again.
     """
-    e = edges.select("src", "dst").distinct()
+    e = written(edges.select("src", "dst").distinct(), "edges")
     begin = starts.select("node").distinct()
     if reflexive:
-        seen = frontier = begin.select(F.col("node").alias("start"), "node")
+        frontier = written(begin.select(F.col("node").alias("start"), "node"), "round")
     else:
-        seen = frontier = cut(begin.join(e, begin["node"] == e["src"]).select(F.col("node").alias("start"), F.col("dst").alias("node")).distinct())
+        frontier = written(begin.join(e, begin["node"] == e["src"]).select(F.col("node").alias("start"), F.col("dst").alias("node")).distinct(), "round")
+    seen = [frontier]
     for _ in range(DEEPEST):
         found = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = cut(found.join(seen, ["start", "node"], "left_anti"))
+        for rows in seen:
+            found = found.join(rows, ["start", "node"], "left_anti")
+        frontier = written(found, "round")
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return reduce(DataFrame.unionByName, seen)
+        seen.append(frontier)
+        if len(seen) > MERGED:  # a deep hierarchy: its rounds are put together, so a plan never holds many of them
+            seen = [written(reduce(DataFrame.unionByName, seen), "rounds")]
     raise ValueError(f"a path of more than {DEEPEST} steps")
 
 

@@ -21,6 +21,8 @@ TARGETS: dict[str, tuple[str, tuple[str, ...]]] = {
     "ServedByPropertyTargetShape": ("msr:servedByProperty", ("msr:PhysicalProperty",)),
     "AddressesFunctionTargetShape": ("msr:addressesFunction", ("msr:SafetyFunction",)),
 }
+#: Bounds of a measurement's range.
+LOW, HIGH = "msr:validTempMin", "msr:validTempMax"
 SCHEMA = ["focus_node", "constraint", "shape", "path", "value", "message"]
 
 
@@ -28,13 +30,25 @@ def _row(shape: str, constraint: str, path, value, message) -> list:
     return [F.col("s").alias("focus_node"), F.lit(constraint).alias("constraint"), F.lit(shape).alias("shape"), path.alias("path"), value.alias("value"), message.alias("message")]
 
 
-def missing(triples: DataFrame, shape: str, types: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
-    """A row for each required predicate a subject of the types lacks: one pass over the triples, no join."""
-    own = triples.where(((F.col("p") == TYPE) & F.col("o").isin(*types)) | F.col("p").isin(*required))
-    has = own.groupBy("s").agg(F.bool_or((F.col("p") == TYPE) & F.col("o").isin(*types)).alias("_t"), *[F.bool_or(F.col("p") == p).alias(f"_{i}") for i, p in enumerate(required)]).where("_t")
-    lacks = F.filter(F.array(*[F.when(~F.col(f"_{i}"), F.lit(p)) for i, p in enumerate(required)]), lambda x: x.isNotNull())
-    rows = has.select("s", F.explode(lacks).alias("path"))
-    return rows.select(*_row(shape, "minCount", F.col("path"), F.lit(None).cast("string"), F.concat(F.lit("must carry "), F.col("path"))))
+def by_subject(triples: DataFrame) -> DataFrame:
+    """Violations that follow from the triples of one subject: required predicates and ranges of all shapes, in one pass and one shuffle."""
+    predicates = sorted({p for _, required in REQUIRED.values() for p in required})
+    own = triples.where((F.col("p") == TYPE) | F.col("p").isin(*predicates, LOW, HIGH))
+    num = F.col("o").try_cast("double")
+    is_a = lambda types: F.bool_or((F.col("p") == TYPE) & F.col("o").isin(*types))
+    g = own.groupBy("s").agg(
+        *[is_a(types).alias(f"_t{i}") for i, (types, _) in enumerate(REQUIRED.values())], *[F.bool_or(F.col("p") == p).alias(f"_p{i}") for i, p in enumerate(predicates)],
+        F.max(F.when(F.col("p") == LOW, num)).alias("lo"), F.min(F.when(F.col("p") == HIGH, num)).alias("hi"),
+    )
+    none, found = F.lit(None).cast("string"), []
+    for i, (shape, (_, required)) in enumerate(REQUIRED.items()):
+        for p in required:
+            row = F.struct(F.lit("minCount").alias("constraint"), F.lit(shape).alias("shape"), F.lit(p).alias("path"), none.alias("value"), F.lit(f"must carry {p}").alias("message"))
+            found.append(F.when(F.col(f"_t{i}") & ~F.col(f"_p{predicates.index(p)}"), row))
+    measured = list(REQUIRED).index("PropertyMeasurementShape")
+    row = F.struct(F.lit("sparql").alias("constraint"), F.lit("ValidTemperatureRangeShape").alias("shape"), none.alias("path"), F.concat_ws("..", F.col("lo").cast("string"), F.col("hi").cast("string")).alias("value"), F.lit("both bounds must be there, the lower not above the upper").alias("message"))
+    found.append(F.when(F.col(f"_t{measured}") & ((F.col("lo") > F.col("hi")) | (F.col("lo").isNull() != F.col("hi").isNull())), row))
+    return g.select(F.col("s").alias("focus_node"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("v")).select("focus_node", "v.*")
 
 
 def wrong_target(triples: DataFrame, shape: str, predicate: str, types: tuple[str, ...]) -> DataFrame:
@@ -44,15 +58,6 @@ def wrong_target(triples: DataFrame, shape: str, predicate: str, types: tuple[st
     return rows.select(*_row(shape, "class", F.lit(predicate), F.col("o"), F.lit(f"the target of {predicate} must exist and be of one of the types {', '.join(types)}")))
 
 
-def bad_range(triples: DataFrame, low: str = "msr:validTempMin", high: str = "msr:validTempMax") -> DataFrame:
-    """Measurements with one bound only, or any lower bound above an upper one."""
-    own = triples.where(F.col("p").isin(low, high) | ((F.col("p") == TYPE) & (F.col("o") == "msr:PropertyMeasurement")))
-    num = F.col("o").try_cast("double")
-    g = own.groupBy("s").agg(F.bool_or(F.col("p") == TYPE).alias("_t"), F.max(F.when(F.col("p") == low, num)).alias("lo"), F.min(F.when(F.col("p") == high, num)).alias("hi")).where("_t")
-    rows = g.where((F.col("lo") > F.col("hi")) | (F.col("lo").isNull() != F.col("hi").isNull()))
-    return rows.select(*_row("ValidTemperatureRangeShape", "sparql", F.lit(None).cast("string"), F.concat_ws("..", F.col("lo").cast("string"), F.col("hi").cast("string")), F.lit("both bounds must be there, the lower not above the upper")))
-
-
 def unit_not_allowed(triples: DataFrame, allowed: DataFrame) -> DataFrame:
     """Measurements with a unit outside the allowlist (unit)."""
     own = triples.where((F.col("p") == TYPE) & (F.col("o") == "msr:PropertyMeasurement")).select("s").distinct()
@@ -63,7 +68,7 @@ def unit_not_allowed(triples: DataFrame, allowed: DataFrame) -> DataFrame:
 def validate(quads: DataFrame, allowed_units: DataFrame | None = None) -> DataFrame:
     """All violations of the core: focus_node, constraint, shape, path, value, message. The core is merged once for all shapes."""
     t = cut(core(quads))
-    parts = [missing(t, n, *x) for n, x in REQUIRED.items()] + [wrong_target(t, n, *x) for n, x in TARGETS.items()] + [bad_range(t)]
+    parts = [by_subject(t)] + [wrong_target(t, n, *x) for n, x in TARGETS.items()]
     if allowed_units is not None:
         parts.append(unit_not_allowed(t, allowed_units))
     out = parts[0]

@@ -828,8 +828,54 @@ def accepted_individuals(spark: SparkSession, base: str) -> DataFrame:
     return bundles.accepted(r, graph.core(_quads(spark, base))).select("iri", "broader", "accepted")
 
 
-@query()
-def proposal_bundle(spark: SparkSession, base: str) -> DataFrame:
-    c = table(spark, base, "candidates").where("term is not null").select("candidate_id", F.lower(F.trim("term")).alias("term"), F.coalesce("source", F.lit("lexical")).alias("kind"), "observations")
-    e = table(spark, base, "evidence").where("candidate_id is not null").distinct().groupBy("candidate_id").agg(F.collect_list(F.struct("report", "document_iri", "sentence_text", "start_offset", "end_offset")).alias("evidence"))  # quotations of one candidate row
+def _slug_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+_BUNDLE = f"""
+c as (select distinct candidate_id, lower(trim(term, ' ')) as term, coalesce(source, 'lexical') as kind, run_id, generated_at, observations from candidates where term is not null),
+n as (select *, kind || '-' || {_slug_sql('term')} as name, {_slug_sql("coalesce(run_id, '')")} as run, strftime(generated_at, '%Y-%m-%dT%H:%M:%S.%f') as made from c),
+p as (select *, 'msrd:proposal-' || name as id from n),
+e as (select id, 'msrd:evidence-' || v.report || '-' || v.start_offset || '-' || v.end_offset as node, v.* from p join (select distinct candidate_id, report, document_iri, sentence_text, start_offset, end_offset from evidence) v using (candidate_id)),
+o as (select id, 'msrd:obs-' || name || '-' || {_slug_sql("regexp_extract(o.document_iri, '([^#/]*)$', 1)")} || '-' || run as node, run, made, o.document_iri as doc, o.corpus as corpus, o.occurrence_count as n from (select *, unnest(observations) as o from p) where o.document_iri is not null),
+quads as (
+  select distinct 'staging' as g, s, p, o, o_type, datatype, cast(null as varchar) as lang from (
+    select id as s, x.p as p, x.o as o, x.t as o_type, x.d as datatype from p, unnest([
+      {{'p': 'rdf:type', 'o': 'msr:ChangeProposal', 't': 'uri', 'd': null}}, {{'p': 'msr:kind', 'o': kind, 't': 'literal', 'd': 'xsd:string'}}, {{'p': 'msr:term', 'o': term, 't': 'literal', 'd': 'xsd:string'}},
+      {{'p': 'msr:reviewStatus', 'o': 'pending', 't': 'literal', 'd': 'xsd:string'}}, {{'p': 'msr:hasProposalGraph', 'o': 'urn:msr:proposal/' || name, 't': 'literal', 'd': 'xsd:anyURI'}}]) u(x)
+    union all select id, 'msr:hasEvidence', node, 'uri', null from e where node is not null
+    union all select node, x.p, x.o, x.t, x.d from e, unnest([
+      {{'p': 'rdf:type', 'o': 'msr:Evidence', 't': 'uri', 'd': null}}, {{'p': 'msr:evidenceText', 'o': sentence_text, 't': 'literal', 'd': 'xsd:string'}}, {{'p': 'msr:citedIn', 'o': document_iri, 't': 'uri', 'd': null}},
+      {{'p': 'msr:startOffset', 'o': cast(start_offset as varchar), 't': 'literal', 'd': 'xsd:integer'}}, {{'p': 'msr:endOffset', 'o': cast(end_offset as varchar), 't': 'literal', 'd': 'xsd:integer'}}]) u(x) where node is not null
+    union all select id, 'msr:hasObservation', node, 'uri', null from o
+    union all select node, x.p, x.o, x.t, x.d from o, unnest([
+      {{'p': 'rdf:type', 'o': 'msr:Observation', 't': 'uri', 'd': null}}, {{'p': 'msr:inDocument', 'o': doc, 't': 'uri', 'd': null}}, {{'p': 'msr:inCorpus', 'o': corpus, 't': 'uri', 'd': null}},
+      {{'p': 'msr:occurrenceCount', 'o': cast(n as varchar), 't': 'literal', 'd': 'xsd:integer'}}, {{'p': 'msr:observedInRun', 'o': case when run <> '' then 'msrd:run-' || run end, 't': 'uri', 'd': null}}, {{'p': 'prov:generatedAtTime', 'o': made, 't': 'literal', 'd': 'xsd:dateTime'}}]) u(x)
+  ) where o is not null
+)"""
+
+
+def _bundle(spark: SparkSession, base: str) -> DataFrame:
+    c = table(spark, base, "candidates").where("term is not null").select("candidate_id", F.lower(F.trim("term")).alias("term"), F.coalesce("source", F.lit("lexical")).alias("kind"), "run_id", "generated_at", "observations")
+    e = table(spark, base, "evidence").where("candidate_id is not null").select("candidate_id", "report", "document_iri", "sentence_text", "start_offset", "end_offset").distinct()
+    e = e.groupBy("candidate_id").agg(F.collect_list(F.struct("report", "document_iri", "sentence_text", "start_offset", "end_offset")).alias("evidence"))  # quotations of one candidate row
     return bundles.bundle(c.join(e, "candidate_id", "left"))
+
+
+@query(f"with {_BUNDLE} select * from quads")
+def proposal_bundle(spark: SparkSession, base: str) -> DataFrame:
+    return _bundle(spark, base)
+
+
+@query(f"""
+with {_BUNDLE},
+x as (select node, min(doc) as doc, min(coalesce(corpus, '')) as corpus, min(cast(n as varchar)) as n, min(made) as made from o group by node),
+each as (select distinct i.id, x.* from (select distinct id, node from o) i join x using (node)),
+last as (select id, doc, max({{'made': made, 'corpus': corpus, 'n': coalesce(try_cast(n as int), 0)}}) as top from each group by 1, 2)
+select id as proposal_id, count(*) as document_frequency, cast(sum(top.n) as bigint) as total_occurrences, count(distinct top.corpus) as corpus_count, list_sort(list_distinct(list(top.corpus))) as corpora from last group by id
+""")
+def bundle_queue(spark: SparkSession, base: str) -> DataFrame:
+    """The review queue over the observation nodes that the bundles wrote."""
+    q = _bundle(spark, base)
+    p = graph.pivot(q, "msr:ChangeProposal", {"msr:kind": "kind", "msr:reviewStatus": "status", "msr:term": "term"}).withColumnRenamed("s", "proposal_id")
+    return review.queue(p, bundles.observation_rows(q)).where("document_frequency > 0").drop("kind", "status", "term")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,9 +52,14 @@ def text_corpus(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.url_decode(name).alias("document"), F.col("value").alias("text"))
 
 
-def one_text_each(corpus: DataFrame, documents: list[str]) -> DataFrame:
-    """Texts of the listed documents, one each: a document held twice counts once, by its first text."""
-    return corpus.where(F.col("document").isin(documents)).groupBy("document").agg(F.min("text").alias("text"))
+def one_text_each(corpus: DataFrame, documents: list[str], suffix: str = ".normalized") -> DataFrame:
+    """Texts of the listed documents, one each: the designated one (document with the suffix) where there is one, else the raw one.
+
+    A document that is held in both forms counts once, so its terms aren't counted twice.
+    """
+    own = F.regexp_replace("document", f"{re.escape(suffix)}$", "")
+    c = corpus.select(own.alias("document"), F.endswith("document", F.lit(suffix)).alias("_designated"), "text").where(F.col("document").isin(documents))
+    return c.groupBy("document").agg(F.max_by("text", F.struct("_designated", F.length("text"), "text")).alias("text"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +76,12 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).json(path)
 
 
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines with keys in order of name, nulls written out and letters as they are, so equal rows give equal lines."""
+    one = F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
+    rows.select(one.alias("value")).write.text(path)
+
+
 def page_text(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """document, text: pages within 1-based inclusive ranges, in order, with an empty line between; a page in two ranges counts once.
 
@@ -98,3 +111,20 @@ def sse_events(text: Column) -> Column:
 def sse_frame(event: Column, payload: Column) -> Column:
     """One frame of a server-sent event stream; payload is a struct."""
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(payload), F.lit("\n\n"))
+
+
+def selected_reports(every: list[str], wanted: list[str] | None = None, limit: int | None = None) -> list[str]:
+    """The wanted reports in the order of the curated list, then the first `limit`; unknown ids and limits below 1 are errors."""
+    if wanted is not None:
+        if unknown := [r for r in wanted if r not in every]:
+            raise ValueError(f"unknown reports: {', '.join(unknown)}; known are {', '.join(every)}")
+        every = [r for r in every if r in set(wanted)]
+    if limit is not None and limit < 1:
+        raise ValueError(f"a limit of {limit} is below 1")
+    return every[:limit]
+
+
+def in_curated_order(rows: DataFrame, reports: list[str], column: str = "report") -> DataFrame:
+    """Rows of the reports with `ordinal`, their place in the list, by which an output is sorted at its edge."""
+    place = F.create_map(*[F.lit(x) for i, r in enumerate(reports) for x in (r, i)]) if reports else F.create_map(F.lit(""), F.lit(-1))
+    return rows.withColumn("ordinal", place[F.col(column)]).where("ordinal >= 0")

@@ -65,3 +65,34 @@ def n_quads(quads: DataFrame) -> DataFrame:
     lit = F.concat(F.lit('"'), escaped(F.col("o")), F.lit('"'), F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).when(F.col("datatype").isNotNull(), F.concat(F.lit("^^<"), F.col("datatype"), F.lit(">"))).otherwise(""))
     obj: Column = F.when(F.col("o_type") == "uri", term(F.col("o"))).otherwise(lit)
     return quads.select(F.concat_ws(" ", term(F.col("s")), term(F.col("p")), obj, term(F.col("g")), F.lit(".")).alias("value"))
+
+
+_ESCAPED = (("t", "\t"), ("r", "\r"), ("n", "\n"), ('"', '"'))
+
+
+def read_n_quads(lines: DataFrame) -> DataFrame:
+    """Quads of lines (value) as n_quads writes them; blank lines and comments are skipped, any other line that is no quad stops the run."""
+    v = F.trim("value")
+    pattern = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?) <([^>]*)> \.$'
+    part = lambda i: F.regexp_extract(v, pattern, i)
+    is_literal = v.rlike(r'^<[^>]*> <[^>]*> "')
+    text = F.replace(part(4), F.lit("\\\\"), F.lit("\u0000"))  # a backslash of its own isn't the beginning of another mark
+    for mark, c in _ESCAPED:
+        text = F.replace(text, F.lit(f"\\{mark}"), F.lit(c))
+    text = F.replace(text, F.lit("\u0000"), F.lit("\\"))
+    rows = lines.where((v != "") & ~v.startswith("#"))
+    checked = F.when(v.rlike(pattern), part(7)).otherwise(F.raise_error(F.concat(F.lit("no quad: "), F.left(v, F.lit(80)))).cast("string"))
+    some = lambda c: F.when(c != "", c)
+    return rows.select(checked.alias("g"), part(1).alias("s"), part(2).alias("p"), F.when(is_literal, text).otherwise(part(3)).alias("o"), F.when(is_literal, "literal").otherwise("uri").alias("o_type"), some(part(6)).alias("datatype"), some(part(5)).alias("lang"))
+
+
+def import_quads(existing: DataFrame, lines: DataFrame, graphs: tuple[str, ...]) -> DataFrame:
+    """existing with the graphs replaced by those that the lines hold; a line of any other graph stops the run."""
+    new = read_n_quads(lines)
+    g = F.when(F.col("g").isin(*graphs), F.col("g")).otherwise(F.raise_error(F.concat(F.lit("a graph that isn't to be imported: "), F.col("g"))).cast("string"))
+    return cleared(existing, graphs).unionByName(new.withColumn("g", g).distinct())
+
+
+def cleared(quads: DataFrame, graphs: tuple[str, ...]) -> DataFrame:
+    """quads without the graphs."""
+    return quads.where(~F.col("g").isin(*graphs))

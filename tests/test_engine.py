@@ -324,3 +324,108 @@ def test_no_machine_local_folder_on_a_cluster():
     context = N(getConf=lambda: N(get=lambda *_: None), master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: held)))
     with pytest.raises(RuntimeError):
         shared_dir(N(sparkContext=context))
+
+
+def test_closure_of_a_deep_chain_and_a_cycle(spark):
+    chain = spark.createDataFrame([(str(k), str(k + 1)) for k in range(30)] + [("30", "0")], "src string, dst string")
+    assert graph.closure(chain, spark.createDataFrame([("0",), ("7",)], "node string")).count() == 62
+
+
+def test_mining_umbrella(spark):
+    seg = spark.createDataFrame([("r1", 0, 30, "graphite moderator salt"), ("r1", 31, 60, "graphite moderator"), ("r2", 0, 9, "graphite"), ("r2", 10, 20, None)], "report string, char_start int, char_end int, text string")
+    docs = spark.createDataFrame([(1, "graphite moderator graphite", "a"), (2, "graphite FLiBe", "b"), (3, "", None)], "doc_id int, text string, corpus string")
+    men = spark.createDataFrame([("novel", "FLiBe", "r1", 3, 8), ("novel", "flibe", "r2", 1, 6), ("novel", "  ", "r2", 1, 3), ("linked", "salt", "r1", 1, 5), ("novel", None, "r1", 0, 1)], "status string, surface_form string, report string, char_start int, char_end int")
+    known = mining.exclusion_keys(spark.createDataFrame([("Salt", "class")], "label string, kind string"))
+    m = mining.mine_all(seg, men, docs, known, floor=1, ceiling=3)
+    rows = m.candidates.collect()
+    assert [(r.term, r.source, r.surface_form, r.doc_frequency, r.places, r.report, r.start_offset) for r in rows] == [
+        ("flibe", "miss", "FLiBe", 1, 2, "r1", 3), ("graphite", "lexical", "", 2, 3, "r1", 0), ("graphite moderator", "lexical", "", 1, 2, "r1", 0),
+    ]
+    c = m.counters.first().asDict()
+    assert c == {"enumerated": 7, "excluded": 3, "below_floor": 0, "cut_by_ceiling": 1, "retained": 3}
+    assert {(r.term, r.document, r.occurrence_count) for r in m.observations.collect()} == {("graphite", 1, 2), ("graphite", 2, 1), ("graphite moderator", 1, 1), ("flibe", 2, 1)}
+    assert mining.mine_all(seg.limit(0), men.limit(0), docs, known, floor=1).candidates.count() == 0
+
+
+def test_summaries(spark):
+    o = spark.createDataFrame([("property", "proposal"), ("property", "proposal"), ("class", "proposal"), (None, "dropped"), ("instance", "auto_accepted"), ("relation", "triage_rejected")], "kind string, outcome string")
+    assert mining.mine_summary(o).first().asDict() == {"candidates": 6, "proposals_by_kind": {"property": 2, "class": 1}, "auto_accepted": 1, "rejected": 0, "triage_rejected": 1, "dropped_malformed": 0, "dropped": 1}
+    assert mining.mine_summary(o.limit(0)).first().candidates == 0
+    seen = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("c", None, "y")], "term string, document int, corpus string")
+    assert tuple(mining.backfill_summary(seen.select("term").distinct(), seen, seen.limit(2)).first()) == (3, 3, 2, 2)
+
+
+def test_fuzzy_candidates_lose_none(spark):
+    """The indexes of possible labels against all labels."""
+    import random
+
+    r = random.Random(4)
+    words = ["fuel", "salt", "drain", "tank", "loop", "pump", "LiF", "BeF2", "off-gas", "K"]
+    labels = list(dict.fromkeys(" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(60)))
+    d = linker.Dictionary([(f"i:{k}", "concept", [x]) for k, x in enumerate(labels)])
+    for _ in range(300):
+        s = list(r.choice(labels))
+        for _ in range(r.randint(0, 2)):
+            s[r.randrange(len(s))] = r.choice("abcxyz ")
+        s = "".join(s)[r.randint(0, 2):]
+        best = max((linker.weighted_ratio(s, x[0]) for x in d.labels), default=0.0)
+        got = max((linker.weighted_ratio(s, d.labels[i][0]) for i in d.possible(s)), default=0.0)
+        assert got == best or best < linker.FUZZY_SCORE, s
+
+
+def test_quads_are_read_back(spark):
+    from saltmarsh.sources import turtle
+
+    q = spark.createDataFrame([("data", "s:1", "p:1", 'a "b"\n\\n tab\t', "literal", None, None), ("data", "s:1", "p:2", "o:1", "uri", None, None), ("vocab", "s:2", "p:1", "é", "literal", None, "fr"), ("data", "s:3", "p:1", "5", "literal", "xsd:integer", None)], turtle.QUAD)
+    lines = turtle.n_quads(q)
+    assert {tuple(r) for r in turtle.read_n_quads(lines).collect()} == {tuple(r) for r in q.collect()}
+    blank = lines.unionByName(spark.createDataFrame([("",), ("# note",)], "value string"))
+    got = turtle.import_quads(spark.createDataFrame([("data", "old", "p", "o", "uri", None, None), ("staging", "x", "p", "o", "uri", None, None)], turtle.QUAD), blank, ("data", "vocab"))
+    assert got.count() == 5 and got.where("s = 'old'").count() == 0
+    with pytest.raises(Exception, match="no quad"):
+        turtle.read_n_quads(spark.createDataFrame([("<a> <b>",)], "value string")).collect()
+    with pytest.raises(Exception, match="imported"):
+        turtle.import_quads(q, lines, ("data",)).collect()
+    assert turtle.cleared(q, ("data",)).count() == 1
+
+
+def test_sources_of_reports(spark, tmp_path):
+    from saltmarsh.sources import tabular
+
+    c = spark.createDataFrame([("a", "raw text that is long"), ("a.normalized", "clean"), ("b", "only raw"), ("c.normalized", "other")], "document string, text string")
+    assert {tuple(r) for r in tabular.one_text_each(c, ["a", "b"]).collect()} == {("a", "clean"), ("b", "only raw")}
+    tabular.write_json_lines(spark.createDataFrame([(2, "é", None)], "z int, a string, m string").coalesce(1), str(tmp_path / "j"))
+    assert spark.read.text(str(tmp_path / "j")).first().value == '{"a":"é","m":null,"z":2}'
+    assert tabular.selected_reports(["x", "y", "z"], ["z", "x"]) == ["x", "z"] and tabular.selected_reports(["x", "y"], limit=1) == ["x"]
+    for bad in (dict(wanted=["q"]), dict(limit=0)):
+        with pytest.raises(ValueError):
+            tabular.selected_reports(["x"], **bad)
+    rows = tabular.in_curated_order(spark.createDataFrame([("z",), ("x",), ("q",)], "report string"), ["x", "y", "z"])
+    assert [r.report for r in rows.orderBy("ordinal").collect()] == ["x", "z"]
+
+
+def test_bundles(spark):
+    from saltmarsh.operators import bundles
+
+    schema = "term string, kind string, run_id string, generated_at timestamp, evidence array<struct<report string, document_iri string, sentence_text string, start_offset int, end_offset int>>, observations array<struct<document_iri string, corpus string, occurrence_count int>>"
+    import datetime as dt
+
+    rows = [("Molten Salt", "lexical", f"run {k}", dt.datetime(2024, 1, k), [("R-1", "d:1", "x", 1, 5), (None, "d:1", "x", 1, 5)], [("msrd:DOC/a.b#D 1", "c", k), (None, "c", 1)]) for k in (1, 2)]
+    q = bundles.bundle(spark.createDataFrame(rows, schema))
+    ids = {r.s for r in q.collect()}
+    assert ids == {"msrd:proposal-lexical-molten-salt", "msrd:evidence-R-1-1-5", "msrd:obs-lexical-molten-salt-d-1-run-1", "msrd:obs-lexical-molten-salt-d-1-run-2"}
+    assert bundles.bundle(spark.createDataFrame(rows * 2, schema)).count() == q.count()  # written twice, nothing changes
+    latest = review.breakdown(bundles.observation_rows(q)).collect()
+    assert [(r.document, r.occurrence_count, r.first_observed[:10], r.last_observed[:10]) for r in latest] == [("msrd:DOC/a.b#D 1", 2, "2024-01-01", "2024-01-02")]
+    guard = bundles.unit_guarded(spark.createDataFrame([(1, "u:1", None), (2, "u:9", None), (3, None, "k:1"), (4, None, "k:9"), (5, None, None)], "id int, unit string, quantity_kind string"), spark.createDataFrame([("u:1",)], "unit string"), spark.createDataFrame([("k:1",)], "quantity_kind string"))
+    assert {r.id for r in guard.collect()} == {1, 3, 5}
+
+
+@pytest.mark.parametrize("text, lines, size, want", [("ab\ncd\nef", 2, 99, ("ab\ncd\n", True)), ("éé", 9, 3, ("é", True)), ("é", 9, 2, ("é", False)), ("a€b", 9, 3, ("a", True)), ("😀😀", 9, 7, ("😀", True)), ("", 9, 9, ("", False)), ("abc", 9, 2, ("ab", True))])
+def test_truncated_by_bytes(spark, text, lines, size, want):
+    from pyspark.sql import functions as F
+
+    from saltmarsh.operators import bundles
+
+    r = spark.createDataFrame([(text,)], "x string").select(bundles.truncated(F.col("x"), lines, size).alias("t")).first().t
+    assert tuple(r) == want

@@ -155,12 +155,12 @@ def test_all_salts_have_a_form_or_a_reason(spark, tmp_path):
     spark.createDataFrame(cases, "case_id long, source string, raw_salt string, raw_composition string, form_code string").write.parquet(f"{tmp_path}/salt_canonicalization.parquet")
     spark.createDataFrame([("UF4", "document"), (None, "nist")], "salt string, source string").write.parquet(f"{tmp_path}/measurement_value.parquet")
     want = {i: brute_reason(*r) for i, r in enumerate(rows)}
-    got = {r.case_id: r for r in QUERIES["canonicalize_all"](spark, str(tmp_path)).collect()}
+    got = {r.case_id: r for r in QUERIES["canonicalize_lockstep"](spark, str(tmp_path)).collect()}
     assert {i: r.flag_reason for i, r in got.items()} == want and set(want.values()) >= {"empty-component", "value", "value-count", "sum", "range-form", None}
     assert all((r.canonical is None) == (r.flag_reason is not None) for r in got.values()) and got[0].canonical == "BeF2-LiF | 34.0-66.0"
     counted = Counter((s, want[i]) for i, s, *_ in cases)
-    assert {(r.source, r.flag_reason): r.cases for r in QUERIES["positional_tolerance_all"](spark, str(tmp_path)).collect()} == counted
-    assert {r.label: r.variants for r in QUERIES["label_variants_all"](spark, str(tmp_path)).collect()} == {s: chem.surface_forms(s) for s, *_ in rows if s}
+    assert {(r.source, r.flag_reason): r.cases for r in QUERIES["positional_tolerance_flag"](spark, str(tmp_path)).collect()} == counted
+    assert {r.label: r.variants for r in QUERIES["label_variants"](spark, str(tmp_path)).collect()} == {s: chem.surface_forms(s) for s, *_ in rows if s}
 
 
 def test_thinking_of_whole_texts(spark, tmp_path):
@@ -168,5 +168,41 @@ def test_thinking_of_whole_texts(spark, tmp_path):
 
     long = "a line\nof text " * 9
     spark.createDataFrame([(1, long), (2, "x</think> y <think>z"), (3, long), (4, None), (5, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.answer, r.thoughts) for r in QUERIES["think_split_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.answer, r.thoughts) for r in QUERIES["think_split"](spark, str(tmp_path)).collect()}
     assert got == {1: ("Before  after 1", [long]), 2: ("Before  y  after 2", ["x", "z"]), 3: ("Before", [long]), 5: ("Before  after 5", [""])}
+
+
+@pytest.mark.parametrize("name, relation", [("Moderator", "moderatedBy"), ("Heater", "heatedBy"), ("Salt", "saltedBy"), ("", ""), (None, None)])
+def test_companion_relation(spark, name, relation):
+    assert one(spark, text.companion_relation(F.col("x")), x=name) == relation
+
+
+@pytest.mark.parametrize("raw, coded", [("a b/é", "a%20b%2F%C3%A9"), ("~*+-_.", "~%2A%2B-_."), ("%7E", "%257E"), ("", "")])
+def test_percent_encoding(spark, raw, coded):
+    assert one(spark, text.percent_encoded(F.col("x")), x=raw) == coded
+
+
+@pytest.mark.parametrize("x, both", [
+    ("the solubility is 3.4 mol % here", (True, False)), ("12 g/L of it, the Solubilities", (True, False)), ("solubility of salt", (False, False)), ("graphite as the moderator", (False, True)), ("moderation by graphite", (False, False)), ("moderated by graphite", (False, True)),
+])
+def test_evolution_targets(spark, x, both):
+    assert tuple(one(spark, F.struct(*[c.alias(f"c{i}") for i, c in enumerate(text.evolution_targets(F.col("x")))]), x=x)) == both
+
+
+@pytest.mark.parametrize("name, iri", [("IAEA SSR-2/1", "msrd:iaea-ssr-2-1"), ("<>;", None), ("", None), ("A  b", "msrd:a-b")])
+def test_standard_iri(spark, name, iri):
+    assert one(spark, text.standard_iri(F.col("x")), x=name) == iri
+
+
+def test_reactor_and_trailing(spark):
+    assert one(spark, text.reactor_iri(F.col("x")), x="--MSRE {1}--") == "msrd:reactor-msre1"
+    assert one(spark, text.trailing(F.split("x", " "), 3), x="a b c d e") == ["c", "d", "e"] and one(spark, text.trailing(F.split("x", " "), 3), x="a b") == ["a", "b"]
+
+
+@pytest.mark.parametrize("t, spans", [
+    ("the LiF-BeF2 melt", ["LiF-BeF2"]), ("LiF · BeF₂ (66-34 mol%) was", ["LiF · BeF₂ (66-34 mol%)"]), ("2LiF-BeF2, and", ["2LiF-BeF2,"]), ("LiF alone", []), ("", []), ("LiF-", []), ("a 1-2 mol% b", []), ("LiF-BeF2-ThF4 65-25-10 mol. e. %", ["LiF-BeF2-ThF4 65-25-10 mol. e. %"]),
+])
+def test_formula_spans(t, spans):
+    from saltmarsh.functions import formula
+
+    assert [s.surface for s in formula.salts(t)] == spans

@@ -17,6 +17,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -76,7 +77,7 @@ _TOKEN = re.compile(r"(?<![\w/])(?:[^\W\d_฀-๿぀-ヿㇰ-ㇿ㐀-鿿ｦ-ﾟ]+(
 #: The same for ASCII texts.
 _ASCII_TOKEN = re.compile(r"(?<![\w/])[A-Za-z]+(?:'[A-Za-z]+)*(?![\w/]|-\d)", re.ASCII)
 #: Every place where a sentence may end.
-_MAY_END = re.compile(r"[.!?…。！？．｡‼⁉]+|\n[ \t\r\x0b\f]*\n|(?<=[ก-๛])\s+")
+_MAY_END = re.compile(r"[.!?…。！？．｡‼⁉]+(?![\d,;])|\n[ \t\r\x0b\f]*\n|(?<=[ก-๛])\s+")
 _BASE = np.uint64(1099511628211)
 
 
@@ -223,6 +224,7 @@ class Models:
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, len(self.codes)), dtype=np.float32)
+        self.letters = np.zeros(0, dtype=np.int64)
 
     def learn(self, words: set[str]) -> None:
         """Score words that are new to this worker."""
@@ -237,20 +239,24 @@ class Models:
             scores += np.float32(math.log(ALPHABET))
             self.rows.update(zip(part, range(len(self.table), len(self.table) + len(part))))
             self.table = np.concatenate([self.table, scores.astype(np.float32)])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, part), dtype=np.int64, count=len(part))])
 
     def scores(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each list of words under every model, and the predictions it takes (letters and word ends)."""
         n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         out, size = np.zeros((len(texts), len(self.codes))), np.zeros(len(texts), dtype=np.int64)
-        if not n.sum():
+        words = list(itertools.chain.from_iterable(texts))
+        if not words:
             return out, size
-        words = [w for t in texts for w in t]
-        self.learn(set(words))
+        find = lambda: np.fromiter(map(self.rows.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
+        at = find()
+        if (at < 0).any():
+            self.learn(set(words))
+            at = find()
         some = np.flatnonzero(n)
         starts = (np.cumsum(n) - n)[some]
-        rows = self.rows
-        out[some] = np.add.reduceat(self.table[np.fromiter((rows[w] for w in words), dtype=np.int64, count=len(words))], starts, axis=0, dtype=np.float64)
-        size[some] = np.add.reduceat(np.fromiter(map(len, words), dtype=np.int64, count=len(words)), starts) + n[some]
+        out[some] = np.add.reduceat(self.table[at], starts, axis=0, dtype=np.float64)
+        size[some] = np.add.reduceat(self.letters[at], starts) + n[some]
         return out, size
 
     def confidence(self, score: np.ndarray, best: int) -> float:
@@ -354,11 +360,12 @@ def judge(texts: list[str], m: Models, st: S.Statistics) -> list[list[tuple[int,
     if len(some):
         starts = (np.cumsum(n) - n)[some]
         whole, letters = np.add.reduceat(scores, starts, axis=0), np.add.reduceat(sizes, starts)
+        words = np.add.reduceat(np.fromiter((len(w) for p in pieces for w in p), dtype=np.int64, count=len(sizes)), starts)
         top = whole.argmax(axis=1)
         own = scores[np.arange(len(scores)), np.repeat(top, n[some])]
         gains = np.add.reduceat(np.maximum(scores - own[:, None], 0.0), starts, axis=0).max(axis=1)
-        for k, row, size, code, gain in zip(some.tolist(), whole, letters.tolist(), top.tolist(), gains.tolist()):
-            if size - sum(map(len, pieces[k])) < FEWEST:
+        for k, row, size, code, gain, count in zip(some.tolist(), whole, letters.tolist(), top.tolist(), gains.tolist(), words.tolist()):
+            if size - count < FEWEST:
                 continue
             if gain < CHANGE / 2:
                 out[k] = [(0, len(texts[k].rstrip()), *m.named(row, size, code))]

@@ -64,6 +64,7 @@ _ROMAN = re.compile(r"(?:[ivxlc]+|[IVXLC]{2,})\Z")
 _MARKS = ".,;:!?()[]{}<>\"'«»“”„-–—/"
 _FIGURE_LIKE = re.compile(r"[\dlIOSB|]*\d[\dlIOSB|]*\Z")
 _NUMBER_LINE = re.compile(r"[\[\](){}<>|/\s–—-]*(?:[#r]|R#?)(?:[\[\](){}<>|/\s–—-]+(?:[#r]|R#?))*[\[\](){}<>|/\s–—-]*\Z")
+_NUMBER_TOKEN = re.compile(r"[\[\](){}<>|/–—-]*(?:[#r]|R#?)?[\[\](){}<>|/–—-]*\Z")
 _GAP = re.compile(r"(?P<left>\S.*?)\s{2,}(?P<right>\S.*)\Z")
 #: A shape is page matter from so many edges on, if its share of all edges is so many times (in nats) that of all inner lines.
 EDGES, ODDS = 6, 3.0
@@ -81,31 +82,51 @@ def line_key(line: str, depth: int) -> int:
     return xxhash.xxh64_intdigest(f"{depth} " + re.sub(r"\d+", "#", " ".join(line.split()).lower())) - 2**63
 
 
-def line_shape(line: str, report: str | None) -> str:
-    """The kinds of the words of a line: R(eport number), #, r(oman), U(pper), C(apitalised), l(ower), runs shortened, with their punctuation."""
-    out: list[str] = []
+def _is_report(core: str, report: str | None) -> bool:
+    return bool(report) and len(core) >= len(report) and (_like(core[:len(report)], report, 2) or _like(core[-len(report):], report, 2))
+
+
+def word_kind(w: str, report: str | None) -> str:
+    """R(eport number), #, r(oman), U(pper), C(apitalised), l(ower) or ? with the punctuation of the word."""
+    core = w.strip(_MARKS)
+    if not core:
+        return w
+    if core.isalpha() and core.islower() and not _ROMAN.match(core):
+        kind = "l"
+    elif _is_report(core, report):
+        kind = "R" if len(core) == len(report) else "R#"
+    elif _FIGURE_LIKE.match(core):
+        kind = "#"
+    elif _ROMAN.match(core):
+        kind = "r"
+    elif core.isupper():
+        kind = "U" if len(core) > 1 else "C"
+    else:
+        kind = "C" if core[0].isupper() or core[0] == "0" else "l" if core[0].isalpha() else "?"
+    if len(core) == len(w):
+        return kind
+    at = w.find(core)
+    return w[:at] + kind + w[at + len(core):]
+
+
+def _shape_tokens(line: str, report: str | None) -> Iterator[str]:
+    """word_kind of the words of a line, runs of plain U, C and l as one token."""
+    held, run = None, False
     for w in line.split():
-        core = w.strip(_MARKS)
-        if not core:
-            out.append(w)
+        kind = word_kind(w, report)
+        if kind == held and kind in "UCl":
+            run = True
             continue
-        if report and len(core) >= len(report) and (_like(core[:len(report)], report, 2) or _like(core[-len(report):], report, 2)):
-            kind = "R" if len(core) == len(report) else "R#"
-        elif _FIGURE_LIKE.match(core):
-            kind = "#"
-        elif _ROMAN.match(core):
-            kind = "r"
-        elif core.isupper():
-            kind = "U" if len(core) > 1 else "C"
-        else:
-            kind = "C" if core[0].isupper() or core[0] == "0" else "l" if core[0].isalpha() else "?"
-        at = w.find(core)
-        token = w[:at] + kind + w[at + len(core):]
-        if out and token in "UCl" and out[-1].rstrip("+") == token:
-            out[-1] = f"{token}+"
-        else:
-            out.append(token)
-    return " ".join(out)
+        if held is not None:
+            yield f"{held}+" if run else held
+        held, run = kind, False
+    if held is not None:
+        yield f"{held}+" if run else held
+
+
+def line_shape(line: str, report: str | None) -> str:
+    """The kinds of the words of a line, with their punctuation."""
+    return " ".join(_shape_tokens(line, report))
 
 
 class Matter:
@@ -113,19 +134,28 @@ class Matter:
 
     def __init__(self, shapes: frozenset[str] = frozenset()) -> None:
         self.shapes = shapes
+        self.begun = {" ".join(s.split(" ")[:k]) for s in shapes for k in range(1, s.count(" ") + 2)}
 
     def holds(self, line: str, report: str | None) -> bool:
-        """Whether a line is page matter by its shape, wherever it stands."""
+        """Whether a line is page matter by its shape, wherever it stands. A line is read only as far as it can still be."""
         s = line.strip()
         if not s:
             return False
-        shape = line_shape(s, report)
-        if shape in self.shapes or _NUMBER_LINE.match(shape):
-            return True
-        if (shape.startswith("R ") or shape.endswith(" R")) and s[-1] not in ".,;:!?":
+        if s[-1] not in ".,;:!?" and report:
+            words = s.split()
+            first, last = words[0].strip(_MARKS), words[-1].strip(_MARKS)
+            if len(words) > 1 and any(len(x) == len(report) and _like(x, report, 2) for x in (first, last)):
+                return True
+        if s[-1] not in ".!?" and ("  " in s or "\t" in s) and (m := _GAP.match(s)) and (_FIGURE_LIKE.match(m["left"]) or _FIGURE_LIKE.match(m["right"])):
             return True
-        m = _GAP.match(s)
-        return bool(m) and s[-1] not in ".!?" and bool(_FIGURE_LIKE.match(m["left"]) or _FIGURE_LIKE.match(m["right"]))
+        shape, known, number = "", True, True
+        for token in _shape_tokens(s, report):
+            shape = f"{shape} {token}" if shape else token
+            known = known and shape in self.begun
+            number = number and bool(_NUMBER_TOKEN.match(token))
+            if not (known or number):
+                return False
+        return known and shape in self.shapes or bool(_NUMBER_LINE.match(shape))
 
     def lines(self, lines: list[str], report: str | None, everywhere: bool, running: frozenset[int] = frozenset()) -> set[int]:
         """Numbers of the lines of page matter: from the edges of a page inwards, or everywhere in a quotation that may run over pages."""

@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,7 @@ class Language:
         return out
 
 
+@lru_cache(1_000_000)
 def _hash(text: str) -> int:
     h = 1469598103934665603
     for ch in text:

@@ -85,24 +85,26 @@ def is_heading(p: str) -> bool:
 
 def evidence(text: str, out: Counter) -> None:
     """Counts of openers (o, word), words inside sentences (i, word) and successors of full stops (s, word, successor)."""
+    seen: list[tuple[str, str, str]] = []
     for _, p in paragraphs(text):
         p = p.strip()
         if not p or is_heading(p):
             continue
         # words in lower case are not counted inside sentences, so only mixed ones such as pH can open one
         if (m := _FIRST.match(p)) and not m[1].islower():
-            out["o", m[1], ""] += 1
+            seen.append(("o", m[1], ""))
         for m in _BEHIND_END.finditer(p):
             at = m.start()
             if not m[1].islower() and (p[at] != "." or at > 5 and p[at - 6:at].isalpha()):
-                out["o", m[1], ""] += 1
+                seen.append(("o", m[1], ""))
         for m in _CAPITAL.finditer(p):
             at = m.start()
             if at > 1 and p[at - 1].isspace() and p[at - 2].isalpha():
-                out["i", m[0], ""] += 1
+                seen.append(("i", m[0], ""))
         for m in _STOP.finditer(p):
             if token := _token_before(p, m.start()):
-                out["s", token, m[1] or ""] += 1
+                seen.append(("s", token, m[1] or ""))
+    out.update(seen)
 
 
 class Statistics:

@@ -123,9 +123,29 @@ def exclusion_keys(labels: DataFrame, surfaces: DataFrame | None = None) -> Data
     return keys.where("run <> ''").distinct()
 
 
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+_APART = re.compile(r"[^A-Za-z0-9]+")
+
+
+def runs_of(term: str | None) -> set[str]:
+    """All neighbouring runs of the tokens of a term, glued; the worker's form of `runs` over camel_sequence."""
+    words = [t for t in _APART.split((term if not term or term.islower() else _CAMEL.sub(" ", term)).lower()) if t] if term else []
+    return {GLUE.join(words[i:k]) for i in range(len(words)) for k in range(i + 1, len(words) + 1)}
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at, found = [], []
+        for k, term in enumerate(b.column("term").to_pylist()):
+            own = runs_of(term)
+            at += [k] * len(own)
+            found += own
+        yield pa.RecordBatch.from_arrays([b.column("term").take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["term", "run"])
+
+
 def excluded(candidates: DataFrame, keys: DataFrame) -> DataFrame:
     """candidates (term) that hold no known sequence whole: an anti-join on exploded runs."""
-    hit = candidates.select("term", camel_sequence(F.col("term")).alias("_s")).select("term", F.explode(runs(F.col("_s"))).alias("run")).join(keys, "run", "left_semi").select("term").distinct()
+    hit = candidates.select("term").mapInArrow(_run_rows, "term string, run string").join(keys, "run", "left_semi").select("term").distinct()
     return candidates.join(hit, "term", "left_anti")
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions.equations import ARITY, SYNONYMS, _map
-from saltmarsh.functions.numbers import confidence
+from saltmarsh.functions.chem import slug
+from saltmarsh.functions.numbers import confidence, shortest
 from saltmarsh.functions.text import local_name
+from saltmarsh.operators.graph import entity_quads
 
 #: Fields of a proposal; numbers are taken as texts, so a wrong type can be told from a missing one.
 PROPOSAL = "kind string, salt string, property string, unit string, role string, reactor string, safety_function string, requirement string, confidence double, rationale string, form_hint string, coefficients array<double>, value double, temperature double, t_min double, t_max double"
@@ -106,14 +108,35 @@ def extraction_summary(rows: DataFrame) -> DataFrame:
 
 
 def edges(written: DataFrame) -> DataFrame:
-    """edge_iri, subject, predicate, object, statement fields of written role, reactor and linking relations; identifiers follow from the contents."""
+    """edge_iri, subject, predicate, object, report, confidence, rationale of written role, reactor and linking relations.
+
+    The identifier names report, subject, predicate and object, so a relation found twice is one edge: of its rows the
+    most confident one stays.
+    """
     k = F.col("kind")
     subject = F.when(k == "servedByProperty", F.col("safety_function")).when(k == "addressesFunction", F.col("requirement")).otherwise(F.col("salt"))
     obj = F.when(k == "role", F.col("role")).when(k == "reactor", F.col("reactor")).when(k == "servedByProperty", F.col("property")).when(k == "addressesFunction", F.col("safety_function"))
-    predicate = F.when(k == "role", "msr:hasRole").when(k == "reactor", "msr:usedIn").when(k == "servedByProperty", "msr:servedByProperty").when(k == "addressesFunction", "msr:addressesFunction")
-    rows = written.where((F.col("disposition") == "written") & predicate.isNotNull())
-    iri = F.concat(F.lit("msrd:edge-"), F.substring(F.sha2(F.concat_ws("|", "report", subject, predicate, obj), 256), 1, 32))
-    return rows.select(iri.alias("edge_iri"), subject.alias("subject"), predicate.alias("predicate"), obj.alias("object"), "report", "confidence", "rationale").dropDuplicates(["edge_iri"])
+    name = F.when(k == "role", "hasRole").when(k == "reactor", "usedIn").when(k.isin("servedByProperty", "addressesFunction"), k)
+    rows = written.where((F.col("disposition") == "written") & name.isNotNull())
+    iri = F.concat(F.lit("msrd:edge-"), F.col("report"), F.lit("-"), slug(local_name(subject)), F.lit("-"), name, F.lit("-"), local_name(obj))
+    rows = rows.select(iri.alias("edge_iri"), subject.alias("subject"), F.concat(F.lit("msr:"), name).alias("predicate"), obj.alias("object"), "report", "confidence", "rationale").where("edge_iri is not null")
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), F.coalesce("rationale", F.lit("")).alias("r"), "rationale", "subject", "predicate", "object", "report")).alias("b")
+    return rows.groupBy("edge_iri").agg(best).select("edge_iri", "b.subject", "b.predicate", "b.object", "b.report", (-F.col("b.c")).alias("confidence"), "b.rationale")
+
+
+def edge_quads(found: DataFrame, run: str, g: str = "data") -> DataFrame:
+    """The edges of edges() and a statement node for each: what is said, where it was read, by which run, and how surely."""
+    fact = found.select(F.lit(g).alias("g"), F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o"), F.lit("uri").alias("o_type"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
+    d = found.withColumns({"source": F.concat(F.lit("msrd:"), F.col("report")), "run": F.lit(run), "sure": shortest(F.col("confidence"))})
+    return fact.unionByName(entity_quads(d, g, "edge_iri", "rdf:Statement", {
+        "subject": ("rdf:subject", "uri", None), "predicate": ("rdf:predicate", "uri", None), "object": ("rdf:object", "uri", None), "source": ("prov:wasDerivedFrom", "uri", None),
+        "run": ("prov:wasGeneratedBy", "uri", None), "sure": ("msr:confidence", "literal", "xsd:decimal"), "rationale": ("msr:rationale", "literal", "xsd:string"),
+    })).distinct()
+
+
+def trace(validated_rows: DataFrame) -> DataFrame:
+    """report, kind, disposition, reason, n: how many proposals of a run took which way."""
+    return validated_rows.groupBy("report", "kind", "disposition", "reason").agg(F.count("*").alias("n"))
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

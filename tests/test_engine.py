@@ -429,3 +429,21 @@ def test_truncated_by_bytes(spark, text, lines, size, want):
 
     r = spark.createDataFrame([(text,)], "x string").select(bundles.truncated(F.col("x"), lines, size).alias("t")).first().t
     assert tuple(r) == want
+
+
+def test_edges_are_stated(spark):
+    rows = [("rep", "role", "s:LiF BeF2", "r:Fuel", None, 0.8, "a"), ("rep", "role", "s:LiF BeF2", "r:Fuel", None, 0.9, None), ("rep", "reactor", "s:1", None, "x:msre", 0.7, "b"), ("rep", "role", "s:1", "r:2", None, 0.6, None)]
+    d = spark.createDataFrame(rows, "report string, kind string, salt string, role string, reactor string, confidence double, rationale string")
+    none = {c: F.lit(None).cast("string") for c in ("safety_function", "requirement", "property")}
+    d = d.withColumns(none | {"disposition": F.when(F.col("salt") == "s:1", F.when(F.col("kind") == "role", "skipped").otherwise("written")).otherwise("written"), "reason": F.lit("")})
+    e = relations.edges(d)
+    assert {(r.edge_iri, r.predicate, r.confidence, r.rationale) for r in e.collect()} == {("msrd:edge-rep-LiF-BeF2-hasRole-Fuel", "msr:hasRole", 0.9, None), ("msrd:edge-rep-1-usedIn-msre", "msr:usedIn", 0.7, "b")}
+    q = relations.edge_quads(e, "msrd:run-1")
+    assert q.where("p = 'msr:hasRole'").select("s", "o").first() == ("s:LiF BeF2", "r:Fuel") and q.where("p = 'rdf:subject'").count() == 2 and q.where("p = 'prov:wasGeneratedBy' and o = 'msrd:run-1'").count() == 2
+    assert {(r.kind, r.disposition, r.n) for r in relations.trace(d).collect()} == {("role", "written", 2), ("reactor", "written", 1), ("role", "skipped", 1)}
+
+
+def test_runs_of_workers_are_those_of_columns(spark):
+    terms = ["MoltenSalt", "off-gas line", "a", "", "FLiBe2 MSRSalt x", "don't"]
+    got = spark.createDataFrame([(t,) for t in terms], "term string").select("term", mining.runs(mining.camel_sequence(F.col("term"))).alias("r")).collect()
+    assert {r.term: set(r.r) for r in got} == {t: mining.runs_of(t) for t in terms}

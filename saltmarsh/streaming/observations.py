@@ -71,6 +71,8 @@ def run_windows(stream: DataFrame, late: str = "10 minutes", width: str = "1 hou
     out = scratch(spark, "windows")
     q = windowed(stream, late, width).writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/batch={i}"))
     q.option("checkpointLocation", checkpoint or scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    changed = spark.read.schema("window_start timestamp, event_type string, n long, total double, batch long").parquet(f"{out}/batch=*")
+    shape = "window_start timestamp, event_type string, n long, total double, batch long"
+    spark.createDataFrame([], shape).write.parquet(f"{out}/batch=none")  # a stream without events has no batch
+    changed = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(out)
     last = F.max(F.struct("batch", "n", "total")).alias("t")
     return changed.groupBy("window_start", "event_type").agg(last).select("window_start", "event_type", "t.n", "t.total")

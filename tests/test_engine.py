@@ -447,3 +447,17 @@ def test_runs_of_workers_are_those_of_columns(spark):
     terms = ["MoltenSalt", "off-gas line", "a", "", "FLiBe2 MSRSalt x", "don't"]
     got = spark.createDataFrame([(t,) for t in terms], "term string").select("term", mining.runs(mining.camel_sequence(F.col("term"))).alias("r")).collect()
     assert {r.term: set(r.r) for r in got} == {t: mining.runs_of(t) for t in terms}
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(dt.datetime(2024, 1, 1, h, 10), "a", float(h)) for h in (1, 1, 2)] + [(dt.datetime(2024, 1, 1, 2, 50), "b", None)]
+    d = spark.createDataFrame(rows, "ts timestamp, event_type string, value double")
+    d.where("hour(ts) = 1").write.parquet(str(tmp_path / "in"))
+    d.where("hour(ts) = 2").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda path: spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {(r.window_start.hour, r.event_type): (r.n, r.total) for r in observations.run_windows(stream(str(tmp_path / "in"))).collect()}
+    assert got == {(1, "a"): (2, 2.0), (2, "a"): (1, 2.0), (2, "b"): (1, None)}
+    d.limit(0).write.parquet(str(tmp_path / "none"))
+    assert observations.run_windows(stream(str(tmp_path / "none"))).count() == 0

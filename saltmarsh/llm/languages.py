@@ -79,6 +79,10 @@ _TOKEN = re.compile(r"(?<![\w/])(?:[^\W\d_฀-๿぀-ヿㇰ-ㇿ㐀-鿿ｦ-ﾟ]+(
 _ASCII_TOKEN = re.compile(r"(?<![\w/])[A-Za-z]+(?:'[A-Za-z]+)*(?![\w/]|-\d)", re.ASCII)
 #: Every place where a sentence may end.
 _MAY_END = re.compile(r"[.!?…。！？．｡‼⁉]+(?![\d,;])|\n[ \t\r\x0b\f]*\n|(?<=[ก-๛])\s+")
+_SCAN = re.compile(f"{_TOKEN.pattern}|{_MAY_END.pattern}")
+_ASCII_SCAN = re.compile(f"{_ASCII_TOKEN.pattern}|[.!?]+(?![\\d,;])|\\n[ \\t\\r\\x0b\\f]*\\n", re.ASCII)
+#: What a match of _SCAN is if it is no word with a row.
+_END, _NO_WORD, _NEW = -1, -2, -3
 _BASE = np.uint64(1099511628211)
 
 
@@ -223,7 +227,27 @@ class Models:
         self.tail: tuple[float, float, float] | None = None
         self.forget()
 
+    def coded(self, tokens: list[str]) -> np.ndarray:
+        """For each match of _SCAN the row of its word in the table, _END for what may end a sentence, _NO_WORD for formulas and the like."""
+        find = lambda: np.fromiter(map(self.codes_of.get, tokens, itertools.repeat(_NEW)), dtype=np.int64, count=len(tokens))
+        got = find()
+        new = np.flatnonzero(got == _NEW)
+        if len(new):
+            fresh = {tokens[k] for k in new.tolist()}
+            forms = {t: _FORMS[t] if t[0].isalpha() or t[0].isalnum() or _TOKEN.match(t) else _END for t in fresh}
+            words = {f for f in forms.values() if isinstance(f, str)}
+            if len(self.rows) + len(words) > MOST_HELD or len(self.codes_of) > 4 * MOST_HELD:  # rows change their places, so all tokens are looked up anew
+                self.forget()
+                fresh = set(tokens)
+                forms = {t: _FORMS[t] if t[0].isalpha() or t[0].isalnum() or _TOKEN.match(t) else _END for t in fresh}
+                words = {f for f in forms.values() if isinstance(f, str)}
+            self.learn(words)
+            self.codes_of.update((t, _NO_WORD if f is None else f if f == _END else self.rows[f]) for t, f in forms.items())
+            got = find()
+        return got
+
     def forget(self) -> None:
+        self.codes_of: dict[str, int] = {}
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, len(self.codes)), dtype=np.float32)
         self.letters = np.zeros(0, dtype=np.int64)
@@ -354,26 +378,34 @@ def judge(texts: list[str], m: Models, st: S.Statistics) -> list[list[tuple[int,
     or more over the text's best one on the pieces it explains better, no path with a change can pay for its changes, and
     the text is in one language without its sentences being known. Only the others are cut into sentences.
     """
-    pieces = [[w for p in _MAY_END.split(t) if (w := words_of(p))] for t in texts]
-    n = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-    scores, sizes = m.scores([w for p in pieces for w in p])
+    found = [(_ASCII_SCAN if t.isascii() else _SCAN).findall(t) for t in texts]
+    n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    codes = m.coded(list(itertools.chain.from_iterable(found)))
+    of = np.repeat(np.arange(len(texts)), n)
+    word = codes >= 0
+    # pieces are numbered through all texts: a new one begins behind each possible end and with each text
+    piece = (np.cumsum(codes == _END) + of)[word]
     out: list = [None] * len(texts)
-    some = np.flatnonzero(n)
-    if len(some):
-        starts = (np.cumsum(n) - n)[some]
-        whole, letters = np.add.reduceat(scores, starts, axis=0), np.add.reduceat(sizes, starts)
-        words = np.add.reduceat(np.fromiter((len(w) for p in pieces for w in p), dtype=np.int64, count=len(sizes)), starts)
+    if len(piece):
+        rows, of = codes[word], of[word]
+        starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        scores = np.add.reduceat(m.table[rows], starts, axis=0, dtype=np.float64)
+        firsts = np.flatnonzero(np.diff(of[starts], prepend=-1))  # the first piece of each text that has one
+        docs = of[starts][firsts]
+        words = np.bincount(of, minlength=len(texts))[docs]
+        letters = np.bincount(of, weights=m.letters[rows], minlength=len(texts)).astype(np.int64)[docs]
+        whole = np.add.reduceat(scores, firsts, axis=0)
         top = whole.argmax(axis=1)
-        own = scores[np.arange(len(scores)), np.repeat(top, n[some])]
-        gains = np.add.reduceat(np.maximum(scores - own[:, None], 0.0), starts, axis=0).max(axis=1)
-        for k, row, size, code, gain, count in zip(some.tolist(), whole, letters.tolist(), top.tolist(), gains.tolist(), words.tolist()):
-            if size - count < FEWEST:
+        own = scores[np.arange(len(scores)), np.repeat(top, np.diff(np.append(firsts, len(starts))))]
+        gains = np.add.reduceat(np.maximum(scores - own[:, None], 0.0), firsts, axis=0).max(axis=1)
+        for k, row, size, count, code, gain in zip(docs.tolist(), whole, letters.tolist(), words.tolist(), top.tolist(), gains.tolist()):
+            if size < FEWEST:
                 continue
             if gain < CHANGE / 2:
-                out[k] = [(0, len(texts[k].rstrip()), *m.named(row, size, code))]
+                out[k] = [(0, len(texts[k].rstrip()), *m.named(row, size + count, code))]
             else:
-                spans, words = _units(texts[k], st)
-                out[k] = stretches(spans, words, *m.scores(words), m)
+                spans, found_words = _units(texts[k], st)
+                out[k] = stretches(spans, found_words, *m.scores(found_words), m)
     return [[(0, len(t.rstrip()), "und", 1.0)] if got is None else got for t, got in zip(texts, out)]
 
 

@@ -701,7 +701,7 @@ def fuzzy_best_match(spark: SparkSession, base: str) -> DataFrame:
     """The best label of every surface by weighted similarity, where it reaches the score."""
     c = table(spark, base, "concepts").select(F.col("target_iri").alias("iri"), F.col("target_kind").alias("kind"), F.concat(F.array("pref_label"), F.coalesce("alt_labels", F.array().cast("array<string>"))).alias("labels"))
     surfaces = table(spark, base, "ornl_tm_2316_gold").select("surface").unionByName(table(spark, base, "mentions").select(F.col("surface_form").alias("surface")))
-    return linker.fuzzy_labels(surfaces.where("surface is not null").distinct(), c)
+    return linker.fuzzy_labels(surfaces.where("surface is not null"), c)
 
 
 @query("""

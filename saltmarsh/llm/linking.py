@@ -4,9 +4,11 @@ Token-level repair: every distinct token is joined once to the tokens of the ref
 an index of deletion neighbourhoods over letter shapes (l, i and 1 are one shape), and by what linked mentions teach:
 words that only decorate a name, and short forms. The repaired tokens then rank the entries by soft TF-IDF. Names of
 salts are compared as sets of components, whose figures are never repaired. The score from which an entry is accepted
-is fitted on the labelled sample.
+is fitted on all rows of the labelled table, which the workers score and of which only counts are collected.
 
-The reference list is a fixed vocabulary; its size is checked, and beyond the bound the resolver refuses it.
+The reference list is a fixed vocabulary; its size is checked, and beyond the bound the resolver refuses it. What linked
+mentions teach is never cut: up to `MOST_SENT` words are sent to every worker, more are joined with the tokens of the
+surfaces, with the same results.
 
 Defined results: a null or blank surface gives no row; one that names nothing gives `none`; of equally good entries
 preferred labels go before others, then the IRI decides; repeated rows give one result; an empty reference list gives
@@ -20,18 +22,23 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saltmarsh.session import written
+
 #: Entries a reference list may have to be sent to every worker.
 MOST_ENTRIES = 200_000
-#: Least share of all unexplained tokens of linked mentions that a learnt word makes up; so at most 1 / LEAST are sent out.
-LEAST = 1e-4
+#: Learnt words that are sent to every worker; more are joined with the tokens of the surfaces.
+MOST_SENT = 5_000
 #: Targets that a decorating word is seen with, and times that a short form is seen.
 TARGETS, SEEN = 3, 3
+#: Scores from which an entry may be accepted.
+GRID = [x / 100 for x in range(40, 100)]
 
 _SHAPE = str.maketrans({"i": "l", "1": "l", "|": "l", "!": "l", "0": "o"})
 _TOKEN = re.compile(r"[^\W_]+\.?")
@@ -100,6 +107,12 @@ def allowed(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
 
 
+def off(word: str, decoration: str) -> float:
+    """Distance of a word to a decorating word as a share of its length; 1 if they are no misspellings of one another."""
+    k = distance(shape(word), shape(decoration), allowed(decoration))
+    return k / (len(decoration) + 1) if k <= allowed(decoration) else 1.0
+
+
 class Reference:
     """The reference list with its indexes; picklable."""
 
@@ -142,8 +155,15 @@ class Reference:
                 for d in deletions(q, allowed(t)):
                     self.near[d].add(t)
         self.in_order = sorted((shape(t), t) for t in df)
+        self.beside: dict[str, set[str]] = defaultdict(set)
+        self.longest = max((len(shape(d)) for d in self.decorations), default=0)
+        for w in self.decorations:
+            if len(w) >= 4:
+                for d in deletions(shape(w), allowed(w)):
+                    self.beside[d].add(w)
+        self.told: dict[str, float] | None = None
         self.held: dict[str, list[tuple[str, float]]] = {}
-        self.answers: dict[str, str | None] = {}
+        self.answers: dict[str, tuple[str | None, float]] = {}
         self.adorned: dict[str, bool] = {}
         self.whole: dict[str, set[str]] = defaultdict(set)
         for q in self.squashed:
@@ -208,6 +228,26 @@ class Reference:
         k = apart(t, word, most)
         return 1 - k / (max(len(t), len(word)) + 1) if k <= most else 0.0
 
+    def tell(self, words: list[dict]) -> None:
+        """What was learnt of the tokens of the next surface, where it isn't sent out whole."""
+        if self.told is None or len(self.told) > 200_000:
+            self.told, self.decorations, self.aliases = {}, set(), {}
+        for w in words:
+            if w["decorates"]:
+                self.decorations.add(w["word"])
+            if w["alias"]:
+                self.aliases[w["word"]] = w["alias"]
+            self.told[w["word"]] = 1.0 if w["off"] is None else w["off"]
+
+    def nearest(self, t: str) -> float:
+        """Distance to the nearest decorating word as a share of its length; 1 if none is near."""
+        if self.told is not None:
+            return self.told.get(t, 1.0)
+        q = shape(t)
+        if len(q) > self.longest + 2:
+            return 1.0
+        return min((off(t, w) for w in {w for d in deletions(q, 2) for w in self.beside.get(d, ())}), default=1.0)
+
     def decorates(self, token: str) -> bool:
         """Whether a token is a decorating word, perhaps misspelt or in the plural."""
         t = token.rstrip(".")
@@ -218,13 +258,18 @@ class Reference:
             got = False
             if len(t) >= 5 and not any(p >= 0.9 for _, p in self.repair(token)):
                 likely = max((p for _, p in self.repair(token)), default=0.0)
-                near = min((distance(shape(t), shape(d), allowed(d)) / (len(d) + 1) for d in self.decorations if len(d) >= 4 and distance(shape(t), shape(d), allowed(d)) <= allowed(d)), default=1.0)
+                near = self.nearest(t)
                 got = near < 1.0 and 1 - near >= likely
             self.adorned[t] = got
             if len(self.adorned) > 200_000:
                 self.adorned.clear()
         return got
 
+    def tokens_in(self, surface: str) -> list[str]:
+        """Tokens of a surface, figures of its formulas read as such."""
+        surface = _MISREAD.sub(lambda m: f"{m[1]}{_FIGURE[m[2]]} " if shape(m[1].lower()) not in self.components else m[0], unicodedata.normalize("NFKC", surface))
+        return tokens_of(surface)
+
     def components_of(self, tokens: list[str]) -> tuple[set[str], list[str], bool]:
         """(components, other tokens, whether one is an unknown formula)."""
         parts, rest, strange = set(), [], False
@@ -272,8 +317,7 @@ class Reference:
 
     def best(self, surface: str) -> tuple[str | None, float]:
         """The entry a surface names best and its score, before acceptance."""
-        surface = _MISREAD.sub(lambda m: f"{m[1]}{_FIGURE[m[2]]} " if shape(m[1].lower()) not in self.components else m[0], unicodedata.normalize("NFKC", surface))
-        tokens = tokens_of(surface)
+        tokens = self.tokens_in(surface)
         parts, rest, strange = self.components_of(tokens)
         if len(parts) + strange >= 2 or strange or parts and not any(t.rstrip(".") in self.idf for t in rest):
             return (self.salts.get(frozenset(parts)) if not strange else None), 1.0
@@ -296,19 +340,22 @@ class Reference:
                     return min(self.squashed[q])[1], 1 - k / len(q)
         return iri, score
 
-    def resolve(self, surface: str) -> str:
+    def scored(self, surface: str) -> tuple[str | None, float]:
+        """`best`, remembered."""
         answer = self.answers.get(surface)
         if answer is None:
-            iri, score = self.best(surface)
-            answer = self.answers[surface] = iri if iri and score >= self.accept else "none"
+            answer = self.answers[surface] = self.best(surface)
             if len(self.answers) > 200_000:
                 self.answers.clear()
         return answer
 
+    def resolve(self, surface: str) -> str:
+        iri, score = self.scored(surface)
+        return iri if iri and score >= self.accept else "none"
+
     def unexplained(self, surface: str, iri: str, labels: dict[str, list[tuple[str, ...]]]) -> Iterator[tuple[str, str]]:
         """(token, label token or '') of the tokens of a linked surface that repair doesn't explain: decorations and short forms."""
-        surface = _MISREAD.sub(lambda m: f"{m[1]}{_FIGURE[m[2]]} " if shape(m[1].lower()) not in self.components else m[0], unicodedata.normalize("NFKC", surface))
-        tokens = tokens_of(surface)
+        tokens = self.tokens_in(surface)
         parts, rest, _ = self.components_of(tokens)
         if len(parts) >= 2:
             yield from ((t.rstrip("."), "") for t in rest)
@@ -340,8 +387,8 @@ def reference_rows(concepts: DataFrame) -> list[tuple]:
     return [tuple(r) for r in concepts.select("target_iri", "pref_label", "alt_labels", "target_kind").distinct().collect()]
 
 
-def learn(mentions: DataFrame, rows: list[tuple]) -> tuple[set[str], dict[str, str]]:
-    """Decorating words and short forms from all linked mentions."""
+def learn(mentions: DataFrame, rows: list[tuple]) -> DataFrame:
+    """token, decorates, alias: all decorating words and short forms of all linked mentions, one row a token."""
     spark = mentions.sparkSession
     labels: dict[str, list] = defaultdict(list)
     for iri, pref, alts, _ in rows:
@@ -361,48 +408,123 @@ def learn(mentions: DataFrame, rows: list[tuple]) -> tuple[set[str], dict[str, s
 
     linked = mentions.where("status = 'linked' and target_iri is not null and surface_form is not null").select("surface_form", "target_iri")
     c = linked.mapInArrow(run, "token string, label string, target string, n long").groupBy("token", "label").agg(F.sum("n").alias("n"), F.count_distinct("target").alias("targets"))
-    c = c.persist()
-    total = c.agg(F.sum("n")).first()[0] or 0
-    kept = c.where(F.col("n") >= F.lit(total * LEAST)).collect()  # at most 1 / LEAST rows
-    c.unpersist()
-    decorations = {r["token"] for r in kept if not r["label"] and r["targets"] >= TARGETS and r["n"] >= TARGETS}
-    aliases: dict[str, str] = {}
-    for r in sorted(kept, key=lambda r: r["n"]):
-        if r["label"] and r["n"] >= SEEN and r["token"] not in decorations:
-            aliases[r["token"]] = r["label"]
-    return decorations, aliases
+    adorns = (F.col("label") == "") & (F.col("targets") >= TARGETS) & (F.col("n") >= TARGETS)
+    stands = (F.col("label") != "") & (F.col("n") >= SEEN)
+    c = c.where(adorns | stands).groupBy("token").agg(F.max(adorns).alias("decorates"), F.max(F.when(stands, F.struct("n", "label"))).alias("most"))
+    return c.select("token", "decorates", F.when(~F.col("decorates"), F.col("most.label")).alias("alias"))
+
+
+def accepting(counts: dict[tuple[int, bool, bool], int], default: float) -> float:
+    """The acceptance score with the fewest errors; of equal ones the middle. Counted are labelled rows by the number of
+    scores in GRID that their best entry reaches, whether it is the right one, and whether there is a right one."""
+    errors = [sum(n * (not right if i < k else named) for (k, right, named), n in counts.items()) for i in range(len(GRID))]
+    same = [g for g, e in zip(GRID, errors) if e == min(errors)]
+    return same[len(same) // 2] if counts else default
 
 
 def fit(ref: Reference, gold: list[tuple[str, str | None]]) -> float:
-    """The acceptance score with the fewest errors on the labelled sample; of equal ones the middle."""
+    """The acceptance score of a list of labelled surfaces."""
     scored = [(ref.best(s), want) for s, want in gold if s and s.strip()]
-    grid = [x / 100 for x in range(40, 100)]
-    errors = {g: sum((iri if iri and score >= g else None) != want for (iri, score), want in scored) for g in grid}
-    least = min(errors.values(), default=0)
-    same = [g for g in grid if errors[g] == least]
-    return same[len(same) // 2] if scored else ref.accept
+    return accepting(Counter((bisect.bisect_right(GRID, score), iri == want, want is not None) for (iri, score), want in scored), ref.accept)
 
 
-def trained(mentions: DataFrame, concepts: DataFrame, gold: DataFrame, most_gold: int = 5000) -> Reference:
-    """The resolver; the labelled sample is cut at `most_gold` rows by its id."""
-    rows = reference_rows(concepts)
-    decorations, aliases = learn(mentions, rows)
-    ref = Reference(rows, decorations, aliases)
-    sample = gold.select("gold_id", "surface", "expected_target_iri").distinct().orderBy("gold_id").limit(most_gold).collect()
-    ref.accept = fit(ref, [(r[1], r[2]) for r in sample])
-    ref.held, ref.answers, ref.adorned = {}, {}, {}
-    return ref
+def fitted(scored: DataFrame, default: float) -> float:
+    """The acceptance score of all labelled rows; `key` is the right entry. Of them only counts are collected."""
+    reached = F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: g <= F.col("score")))
+    counts = scored.groupBy(reached.alias("k"), F.col("iri").eqNullSafe(F.col("key")).alias("right"), F.col("key").isNotNull().alias("named")).agg(F.count("*").alias("n"))
+    return accepting({(r["k"], r["right"], r["named"]): r["n"] for r in counts.collect()}, default)  # at most 4 rows a score
 
 
-def link_novel(mentions: DataFrame, concepts: DataFrame, gold: DataFrame) -> DataFrame:
-    """mention_id, target_iri of every novel mention with a surface; `none` where it names no entry."""
-    sent = mentions.sparkSession.sparkContext.broadcast(trained(mentions, concepts, gold))  # the reference list, of checked size
+def scored_by_sent(df: DataFrame, sent: Broadcast) -> DataFrame:
+    """key, iri, score of the rows (key, surface), by a resolver that holds all learnt words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref = sent.value
         for b in batches:
-            answers = [ref.resolve(s) for s in b.column("surface_form").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("mention_id"), pa.array(answers, pa.string())], ["mention_id", "target_iri"])
+            answers = [ref.scored(s) for s in b.column("surface").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([a[0] for a in answers], pa.string()), pa.array([a[1] for a in answers], pa.float64())], ["key", "iri", "score"])
+
+    return df.select("key", "surface").mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, iri string, score double")
+
 
-    novel = mentions.where("status = 'novel' and surface_form is not null").where(F.regexp_replace("surface_form", "[\\s\\u00a0]+", "") != "")
-    return novel.select("mention_id", "surface_form").mapInArrow(run, "mention_id long, target_iri string").distinct()
+def near_decorations(words: DataFrame, decorations: DataFrame) -> DataFrame:
+    """word, off: distance of words to their nearest decorating word, found by a join of deletion neighbourhoods."""
+    longest = decorations.agg(F.max(F.length("token"))).first()[0] or 0
+
+    def keys(least: int, longest: float, most: Callable[[str], int], name: str) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                pairs = [(k, w) for w in b.column(0).to_pylist() if len(w) >= least and len(shape(w)) <= longest for k in deletions(shape(w), most(w))]
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in range(2)], ["key", name])
+
+        return run
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offs = [off(w, t) for w, t in zip(b.column("word").to_pylist(), b.column("token").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(offs, pa.float64())], ["word", "off"])
+
+    asked = words.select("word").mapInArrow(keys(5, longest + 2, lambda w: 2, "word"), "key string, word string")
+    known = decorations.select("token").mapInArrow(keys(4, math.inf, allowed, "token"), "key string, token string")
+    pairs = asked.join(known, "key").select("word", "token").distinct()
+    return pairs.mapInArrow(apart, "word string, off double").where("off < 1").groupBy("word").agg(F.min("off").alias("off"))
+
+
+def scored_by_join(df: DataFrame, sent: Broadcast, learnt: DataFrame) -> DataFrame:
+    """key, iri, score of the rows (key, surface), where the resolver holds no learnt words: those of each surface are joined to it."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref = sent.value
+        for b in batches:
+            pairs = [(s, w) for s in b.column("surface").to_pylist() for w in {t.rstrip(".") for t in ref.tokens_in(s)}]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in range(2)], ["surface", "word"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref = sent.value
+        for b in batches:
+            answers = []
+            for s, words in zip(b.column("surface").to_pylist(), b.column("words").to_pylist()):
+                ref.tell(words or [])
+                answers.append(ref.best(s))
+            yield pa.RecordBatch.from_arrays([b.column("surface"), pa.array([a[0] for a in answers], pa.string()), pa.array([a[1] for a in answers], pa.float64())], ["surface", "iri", "score"])
+
+    surfaces = df.select("surface").distinct()
+    held = written(surfaces.mapInArrow(split, "surface string, word string"), "words")
+    words = held.select("word").distinct()
+    decorations = learnt.where("decorates")
+    stems = decorations.select(F.col("token").alias("stem"))
+    words = words.join(learnt.withColumnRenamed("token", "word"), "word", "left").withColumn("stem", F.expr("trim(trailing 's' from word)")).join(stems.withColumn("plural", F.lit(True)), "stem", "left")
+    words = words.join(near_decorations(held.select("word").distinct(), decorations), "word", "left")
+    words = words.select("word", F.coalesce("decorates", "plural", F.lit(False)).alias("decorates"), "alias", "off")
+    by_surface = held.join(words.where("decorates or alias is not null or off is not null"), "word").groupBy("surface").agg(F.collect_list(F.struct("word", "decorates", "alias", "off")).alias("words"))
+    answers = surfaces.join(by_surface, "surface", "left").mapInArrow(run, "surface string, iri string, score double")
+    return df.join(answers, "surface").select("key", "iri", "score")
+
+
+def trained(mentions: DataFrame, concepts: DataFrame, most_sent: int = MOST_SENT) -> tuple[Reference, Callable[[DataFrame], DataFrame]]:
+    """The resolver, and what scores rows (key, surface) by it and by all learnt words."""
+    context = mentions.sparkSession.sparkContext
+    rows = reference_rows(concepts)
+    learnt = learn(mentions, rows).persist()
+    if learnt.count() > most_sent:
+        kept = written(learnt, "learnt")
+        learnt.unpersist()
+        ref = Reference(rows)
+        sent = context.broadcast(ref)  # the reference list, of checked size
+        return ref, lambda df: scored_by_join(df, sent, kept)
+    few = learnt.collect()  # at most `most_sent` rows
+    learnt.unpersist()
+    ref = Reference(rows, {r["token"] for r in few if r["decorates"]}, {r["token"]: r["alias"] for r in few if r["alias"]})
+    sent = context.broadcast(ref)  # the reference list and the learnt words, of checked sizes
+    return ref, lambda df: scored_by_sent(df, sent)
+
+
+def link_novel(mentions: DataFrame, concepts: DataFrame, gold: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """mention_id, target_iri of every novel mention with a surface; `none` where it names no entry."""
+    ref, score = trained(mentions, concepts, most_sent)
+    named = F.regexp_replace("surface", "[\\s\\u00a0]+", "") != ""
+    labelled = gold.select("gold_id", "surface", F.col("expected_target_iri").alias("key")).distinct().where(named)
+    accept = fitted(score(labelled), ref.accept)
+    novel = mentions.where("status = 'novel'").select(F.col("mention_id").alias("key"), F.col("surface_form").alias("surface")).where(named)
+    answer = F.when(F.col("score") >= accept, F.col("iri"))
+    return score(novel).select(F.col("key").alias("mention_id"), F.coalesce(answer, F.lit("none")).alias("target_iri")).distinct()
